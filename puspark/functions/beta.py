@@ -32,45 +32,55 @@ def _stirling_remainder(z):
     return np.where(z < SHIFT, lifted - ((z - 0.5) * np.log(z) - z), tail)
 
 
-def fit(mean, var, mean_log, mean_log1m, rounds=200):
-    """Maximum-likelihood shapes by Newton steps from the moment estimates, every entity at once."""
+def fit(mean, var, mean_log, mean_log1m, rounds=60):
+    """Maximum-likelihood shapes by Newton steps from the moment estimates, every unfinished entity at once."""
     spread = mean * (1 - mean) / var - 1
-    a, b = mean * spread, (1 - mean) * spread
+    shape1, shape2 = mean * spread, (1 - mean) * spread
+    todo = np.flatnonzero(np.isfinite(shape1) & np.isfinite(shape2))
     for _ in range(rounds):
-        both = a + b
-        ga = mean_log - _digamma(a) + _digamma(both)
-        gb = mean_log1m - _digamma(b) + _digamma(both)
-        ta, tb, tc = _trigamma(a), _trigamma(b), _trigamma(both)
+        if not len(todo):
+            break
+        a, b = shape1[todo], shape2[todo]
+        both = _digamma(a + b)
+        ga = mean_log[todo] - _digamma(a) + both
+        gb = mean_log1m[todo] - _digamma(b) + both
+        ta, tb, tc = _trigamma(a), _trigamma(b), _trigamma(a + b)
         det = ta * tb - tc * (ta + tb)
         da = ((tb - tc) * ga + tc * gb) / det
         db = (tc * ga + (ta - tc) * gb) / det
         usable = np.isfinite(da) & np.isfinite(db)
         da, db = np.where(usable, da, 0.0), np.where(usable, db, 0.0)
-        a, b = np.maximum(a + da, a / 3), np.maximum(b + db, b / 3)
-        if np.all(np.abs(da) <= 1e-13 * a) and np.all(np.abs(db) <= 1e-13 * b):
-            break
-    return a, b
+        shape1[todo], shape2[todo] = np.maximum(a + da, a / 3), np.maximum(b + db, b / 3)
+        # convergence is quadratic: after a step this small the next one is below rounding
+        todo = todo[(np.abs(da) > 1e-9 * a) | (np.abs(db) > 1e-9 * b)]
+    return shape1, shape2
 
 
 def _fraction(a, b, x):
-    """Continued fraction of the incomplete beta function (modified Lentz)."""
+    """Continued fraction of the incomplete beta function (modified Lentz), every unfinished entity at once."""
     tiny = 1e-300
+    away = lambda v: np.where(np.abs(v) < tiny, tiny, v)
+    out = np.empty_like(x)
+    todo = np.arange(len(x))
     c = np.ones_like(x)
-    d = 1 - (a + b) * x / (a + 1)
-    d = 1 / np.where(np.abs(d) < tiny, tiny, d)
+    d = 1 / away(1 - (a + b) * x / (a + 1))
     value = d.copy()
-    limit = int(200 + 8 * np.sqrt(np.max(a + b, initial=1.0)))
-    for m in range(1, limit):
-        for top in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
-                    -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1 + top * d
-            c = 1 + top / c
-            d = 1 / np.where(np.abs(d) < tiny, tiny, d)
-            c = np.where(np.abs(c) < tiny, tiny, c)
+    for m in range(1, int(200 + 8 * np.sqrt(np.max(a + b, initial=1.0)))):
+        for top in (
+            m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
+            -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)),
+        ):
+            d = 1 / away(1 + top * d)
+            c = away(1 + top / c)
             value = value * (c * d)
-        if np.all(np.abs(c * d - 1) < 1e-15):
-            break
-    return value
+        going = np.abs(c * d - 1) > 1e-14
+        if not going.all():
+            out[todo[~going]] = value[~going]
+            todo, a, b, x, c, d, value = (v[going] for v in (todo, a, b, x, c, d, value))
+        if not len(todo):
+            return out
+    out[todo] = value
+    return out
 
 
 def upper_tail(a, b, x, upper):

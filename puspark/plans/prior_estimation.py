@@ -49,7 +49,8 @@ class Threshold(NamedTuple):
 def densities(entities: DataFrame, label_col: str = "known_pos", score_col: str = "score_mean") -> Densities:
     """Both densities at every distinct unlabeled score."""
     plans = collect_plan(kde_plan(entities, label_col, score_col))
-    scores = split_scores(entities, label_col, score_col)
+    # the one shuffle of the scores; binning, densities, positions and the threshold sweep all read its result
+    scores = materialise(split_scores(entities, label_col, score_col))
     grid = kde_grid(entities.sparkSession, linear_bin(scores, plans), plans)
     unlabeled = scores.filter(scores["label"] == UNLABELED).drop("label")
     return Densities(plans, scores, density_at(unlabeled, grid, plans))
