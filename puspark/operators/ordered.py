@@ -7,7 +7,7 @@ A sequence is a table of runs (``rn``, ``n_rows``, value): the value holds at po
 from __future__ import annotations
 
 from collections.abc import Sequence
-from typing import NamedTuple
+from typing import Any, NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -140,17 +140,18 @@ def range_medians(runs: DataFrame, windows: Windows, block_rows: int = BLOCK_ROW
         (high_a - low_a + 1).alias("size_a"),
         (high_b - low_b + 1).alias("size_b"),
     )
-    has_core = F.col("core_b") - F.col("core_a") >= 1
     longest = max(high - low + 1 for low, high in (windows.bounds(windows.first), windows.bounds(windows.last)))
+    with_cores = longest >= 4 * size  # shorter windows are a few blocks, which are simply read
+    has_core = F.lit(with_cores) & (F.col("core_b") - F.col("core_a") >= 1)
 
     whole = F.sequence("block_a", "block_b")
     around = F.filter(whole, lambda b: (b < F.col("core_a")) | (b > F.col("core_b")))
     fringe_blocks = asked.select("q", F.explode(F.when(has_core, around).otherwise(whole)).alias("_block"))
     payload = pieces.join(fringe_blocks, "_block").select("q", F.lit(0).alias("kind"), "rn", "n_rows", "r")
-    if longest >= 4 * size:
+    if with_cores:
         payload = payload.unionByName(_core_band(pieces, asked.filter(has_core), size))
 
-    def solve(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def solve(key: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
         begin = windows.first + int(key[0]) * size
         at = np.arange(begin, min(begin + size - 1, windows.last) + 1)
         low, high = windows.bounds(at)
