@@ -6,6 +6,7 @@ A sequence is a table of runs (``rn``, ``n_rows``, value): the value holds at po
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from typing import Any, NamedTuple
 
@@ -31,10 +32,10 @@ def monotone_ratio(
     return _floor_upper(scanned, y, r, mean_y).withColumn("rn", F.col("_before") + 1).drop("_before", "_bucket")
 
 
-def with_position(df: DataFrame, order: str, rows: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def with_position(df: DataFrame, order: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Runs along ``order``: one row per distinct value, its first position ``rn`` and its number of rows ``n_rows``."""
-    counted = df.groupBy(order).agg(F.count(F.lit(1)).alias("n_rows"))
-    placed = with_bucket(counted, order, bucket_edges(df.select(order), order, rows, block_rows), "_bucket")
+    counted = materialise(df.groupBy(order).agg(F.count(F.lit(1)).alias("n_rows")))
+    placed = with_bucket(counted, order, bucket_edges(counted, order, block_rows=block_rows), "_bucket")
     scanned = two_level_scan(placed, [Scan("_before", F.col("n_rows"), "sum", -1)], [order], "_bucket")
     return scanned.withColumn("rn", F.col("_before") + 1).drop("_before", "_bucket")
 
@@ -179,8 +180,9 @@ def range_medians(runs: DataFrame, windows: Windows, block_rows: int = BLOCK_ROW
 
 def _core_band(pieces: DataFrame, asked: DataFrame, size: int) -> DataFrame:
     """Per asked block: the distinct core values near the middle rank (kind 1), the count of those below (kind 2)."""
-    edges = bucket_edges(pieces.select("r"), "r", block_rows=size)
-    placed = with_bucket(pieces, "r", edges, "_bucket").withColumn("_bucket", F.col("_bucket").cast("int"))
+    edges = bucket_edges(pieces.select("r"), "r", block_rows=4 * size)
+    bucket = F.col("_bucket").cast("int") if edges else F.lit(0)
+    placed = with_bucket(pieces, "r", edges, "_bucket").withColumn("_bucket", bucket)
     # core counts per value bucket: cumulative counts along the blocks, read off at both ends of each core
     cells = placed.groupBy("_bucket", "_block").agg(F.sum("n_rows").alias("_c"))
     ends = F.array(
@@ -241,6 +243,8 @@ def rolling_median(runs: DataFrame, n: int, denom: float = 20, block_rows: int =
         return runs
     if n <= block_rows:
         return _smooth_short(runs, half)
+    # blocks grow with the root of n, so that the table of (block, value bucket) counts stays smaller than the data
+    block_rows = max(block_rows, math.isqrt(n))
 
     def trim(df):
         return df.select("rn", "n_rows", "r")

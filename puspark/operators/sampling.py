@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from puspark.operators.checks import require_columns
 from puspark.operators.scan import Scan, two_level_scan
+from puspark.sources.shared import materialise
 
 PREFIX_DIGITS = 4
 
@@ -91,23 +92,26 @@ def _cutoffs(hist: DataFrame, groups: Sequence[str], label: str, ratio: float) -
     ``hist`` counts rows by (groups, label, prefix). Classes sized by a NULL label are capped but do not set
     the size of the smallest class.
     """
-    sizes = hist.groupBy(*groups, label).agg(F.sum("n").alias("_class"))
+    # placed by group once, so that all windows and the final grouping share that shuffle; a group has at most
+    # 16 ** PREFIX_DIGITS rows per class
+    placed = hist.repartition(*groups) if groups else hist
+    within = Window.partitionBy(*groups, label)
+    sized = placed.withColumns(
+        {
+            "_class": F.sum("n").over(within),
+            "_upto": F.sum("n").over(within.orderBy("_prefix").rowsBetween(Window.unboundedPreceding, 0)),
+        }
+    )
     smallest = F.min(F.when(F.col(label).isNotNull(), F.col("_class"))).over(Window.partitionBy(*groups))
-    caps = sizes.withColumn("_cap", F.floor(smallest * F.lit(float(ratio))))
-    along = Window.partitionBy(*groups, label).orderBy("_prefix")
-    running = hist.withColumn("_upto", F.sum("n").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    names = [*groups, label]
-    right = caps.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(names)], "_cap")
-    same = [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(names)]
     return (
-        running.join(right, same)
-        .groupBy(*names)
+        sized.withColumn("_cap", F.floor(smallest * F.lit(float(ratio))))
+        .groupBy(*groups, label)
         .agg(
             F.min(F.when(F.col("_upto") >= F.col("_cap"), F.col("_prefix"))).alias("_edge"),
             F.max(F.when(F.col("_upto") < F.col("_cap"), F.col("_upto"))).alias("_sure"),
-            F.first("_cap").alias("_cap"),
+            F.max("_cap").alias("_cap"),
         )
-        .select(*names, "_edge", (F.col("_cap") - F.coalesce("_sure", F.lit(0))).alias("_left"))
+        .select(*groups, label, "_edge", (F.col("_cap") - F.coalesce("_sure", F.lit(0))).alias("_left"))
     )
 
 
@@ -128,7 +132,7 @@ def downsample(df: DataFrame, label: str, ratio: float, seed: int, key: str = "i
     """
     rows = df.withColumn("_draw", draw(F.lit(seed), key)).withColumn("_prefix", F.substring("_draw", 1, PREFIX_DIGITS))
     hist = rows.groupBy(label, "_prefix").agg(F.count(F.lit(1)).alias("n"))
-    cut = _cutoffs(hist, [], label, ratio).withColumnRenamed(label, "_label")
+    cut = materialise(_cutoffs(hist, [], label, ratio)).withColumnRenamed(label, "_label")
     joined = rows.join(F.broadcast(cut), F.col(label).eqNullSafe(F.col("_label"))).drop("_label")
     return _take(joined, [], label, key)
 
@@ -165,7 +169,7 @@ def downsample_bags(
         )
         .filter("n > 0")
     )
-    cut = _cutoffs(hist, model, label, ratio).select(
+    cut = materialise(_cutoffs(hist, model, label, ratio)).select(
         F.col("common_seed").alias("_seed"),
         F.col("bag").alias("_bag"),
         F.col("fold_id").alias("_fold"),

@@ -43,9 +43,9 @@ def bucket_edges(df: DataFrame, column: str, rows: int | None = None, block_rows
 
 
 def with_bucket(df: DataFrame, column: str, edges: Sequence[float], name: str = "bucket") -> DataFrame:
-    """Add the number of edges at or below ``column``."""
+    """Add the number of edges at or below ``column``; without edges there is no bucket to add."""
     if not edges:
-        return df.withColumn(name, F.lit(0.0))
+        return df
     splits = [-math.inf, *edges, math.inf]
     return Bucketizer(splits=splits, inputCol=column, outputCol=name, handleInvalid="keep").transform(df)
 
@@ -53,7 +53,12 @@ def with_bucket(df: DataFrame, column: str, edges: Sequence[float], name: str =
 def two_level_scan(
     df: DataFrame, scans: Sequence[Scan], order: Sequence[str], block: str, keys: Sequence[str] = ()
 ) -> DataFrame:
-    """Add running aggregates along ``order`` within ``keys``; ``block`` must not decrease along the order."""
+    """Add running aggregates along ``order`` within ``keys``; ``block`` must not decrease along the order.
+
+    A table without the column ``block`` is one that was found to fit one block: a window does.
+    """
+    if block not in df.columns:
+        return _one_level_scan(df, scans, order, keys)
     groups = [*keys, block]
     local = Window.partitionBy(*groups).orderBy(*order)
     earlier = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
@@ -82,3 +87,12 @@ def two_level_scan(
     }
     scratch = [c for c in joined.columns if c.startswith(("_k", "_l_", "_c_"))]
     return joined.withColumns(merged).drop(*scratch)
+
+
+def _one_level_scan(df: DataFrame, scans: Sequence[Scan], order: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    along = Window.partitionBy(*keys).orderBy(*order)
+    running = {}
+    for s in scans:
+        frame = along.rowsBetween(Window.unboundedPreceding, s.upto)
+        running[s.name] = F.coalesce(F.sum(s.value).over(frame), F.lit(0)) if s.how == "sum" else F.max(s.value).over(frame)
+    return df.withColumns(running)

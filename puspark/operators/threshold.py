@@ -31,9 +31,12 @@ def threshold_sweep(unlabeled: DataFrame, thresholds: Sequence[float] = DEFAULT_
     counts = turned.groupBy((F.lit(len(levels)) - F.col("_not_below")).cast("int").alias("level")).agg(
         F.sum(weight).alias("n")
     )
-    known = spark.createDataFrame(
-        [(i, float(t), levels.index(float(t)) + 1) for i, t in enumerate(thresholds)], "idx int, threshold double, level int"
-    )
+    rungs = {t: i for i, t in enumerate(levels, 1)}
+    listed = [
+        F.struct(F.lit(i).alias("idx"), F.lit(float(t)).alias("threshold"), F.lit(rungs[float(t)]).alias("level"))
+        for i, t in enumerate(thresholds)
+    ]
+    known = spark.range(1).select(F.inline(F.array(*listed)))
     ladder = spark.range(len(levels) + 1).select(F.col("id").cast("int").alias("level")).join(counts, "level", "left")
     from_top = Window.orderBy(F.desc("level")).rowsBetween(Window.unboundedPreceding, 0)
     everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

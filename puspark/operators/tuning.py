@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from puspark.operators.checks import require_columns
 from puspark.operators.scan import BLOCK_ROWS, Scan, bucket_edges, two_level_scan, with_bucket
+from puspark.sources.shared import materialise
 
 PER_ROW = ("score", "bag", "known_pos", "ind_id", "counter")  # columns that do not identify a config
 
@@ -28,17 +29,19 @@ def grouped_auc(
 ) -> DataFrame:
     """Area under the ROC curve per group of ``keys``; ties count one half, NULL when a class is missing.
 
-    Rows are first counted per distinct score, then scanned in score buckets, so neither a huge group nor a
-    score shared by many rows lands in one task.
+    The rows are read once and counted per distinct score; the counts are scanned in score buckets. So neither a
+    huge group nor a score shared by many rows lands in one task.
     """
     require_columns(df, [*keys, label, score])
     usable = F.col(score).isNotNull() & ~F.isnan(score) & F.col(label).isin(0, 1)
     # unusable rows count for neither class but keep their group in the result
     tidy = df.select(*keys, F.when(usable, F.col(score)).otherwise(0.0).alias("_score"), F.when(usable, F.col(label)).alias("_label"))
-    counted = tidy.groupBy(*keys, "_score").agg(
-        F.count(F.when(F.col("_label") == 1, 1)).alias("_pos"), F.count(F.when(F.col("_label") == 0, 1)).alias("_neg")
+    counted = materialise(
+        tidy.groupBy(*keys, "_score").agg(
+            F.count(F.when(F.col("_label") == 1, 1)).alias("_pos"), F.count(F.when(F.col("_label") == 0, 1)).alias("_neg")
+        )
     )
-    edges = bucket_edges(tidy.select("_score"), "_score", block_rows=block_rows)
+    edges = bucket_edges(counted, "_score", block_rows=block_rows)
     placed = with_bucket(counted, "_score", edges, "_bucket")
     ranked = two_level_scan(placed, [Scan("_below", F.col("_neg"), "sum", -1)], ["_score"], "_bucket", keys)
     pos, neg, below = (F.col(c).cast("double") for c in ("_pos", "_neg", "_below"))

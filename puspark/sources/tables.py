@@ -5,22 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from puspark.sources.shared import materialise
+
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def quantity_predictions(spark: SparkSession, folder: str) -> DataFrame:
-    """Several scores per order, with labels that follow the order's mean quantity.
+HOT_ROWS = 1_000_000  # keys with more rows than this are joined by broadcast; there are few of them by necessity
+
+
+def with_totals(lines: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Every line with its order's total quantity ``sq`` and number of lines ``n``.
 
-    The per-order totals come from a partial aggregate joined back, not from a window, so an order that
-    holds a large share of all lines is never gathered in one task (AQE splits its side of the join).
+    Totals are partial aggregates joined back. An order with a large share of all lines would send that share
+    to one task of the join, so lines of such orders get their totals from a broadcast table instead: at most
+    one row per ``hot_rows`` lines.
     """
+    totals = materialise(
+        lines.groupBy("l_orderkey").agg(F.sum("l_quantity").alias("sq"), F.count(F.lit(1)).alias("n"))
+    )
+    hot = totals.filter(F.col("n") > hot_rows)
+    if hot.isEmpty():
+        return lines.join(totals, "l_orderkey")
+    rest = lines.join(F.broadcast(hot.select("l_orderkey")), "l_orderkey", "left_anti")
+    return rest.join(totals, "l_orderkey").unionByName(lines.join(F.broadcast(hot), "l_orderkey"))
+
+
+def quantity_predictions(spark: SparkSession, folder: str) -> DataFrame:
+    """Several scores per order, with labels that follow the order's mean quantity."""
     lines = read_table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
-    orders = lines.groupBy("l_orderkey").agg(F.sum("l_quantity").alias("sq"), F.count(F.lit(1)).alias("n"))
     key = F.col("l_orderkey")
     held = key % 5 == 0
-    return lines.join(orders, "l_orderkey").select(
+    return with_totals(lines).select(
         key.alias("ind_id"),
         F.col("l_linenumber").alias("bag"),
         (F.col("l_linenumber") % 2).alias("common_seed"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 import puspark as pu
@@ -46,24 +46,21 @@ def fold_assign_grouped(spark, folder):
 
 
 def fold_sizes_analysis_assessment(spark, folder):
+    """Rows and positives on either side of every split; an analysis set is the seed's total less its own fold."""
     docs, folds = _stratified(spark, folder)
-    folds = materialise(folds)
-    parts = []
-    for seed in SEEDS:
-        for i in range(1, FOLDS + 1):
-            analysis, assessment = pu.split(docs, folds, seed, f"Fold{i}")
-            tagged = analysis.withColumn("part", F.lit("analysis")).unionByName(
-                assessment.withColumn("part", F.lit("assessment"))
-            )
-            parts.append(
-                tagged.groupBy("part").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("known_pos").alias("n_pos")).select(
-                    F.lit(seed).alias("common_seed"), F.lit(f"Fold{i}").alias("fold_id"), "part", "n_rows", "n_pos"
-                )
-            )
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    own = pu.with_folds(docs, folds).groupBy("common_seed", "fold_id").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("known_pos").alias("n_pos")
+    )
+    seed = Window.partitionBy("common_seed")
+    sides = F.array(
+        F.struct(F.lit("assessment").alias("part"), F.col("n_rows"), F.col("n_pos")),
+        F.struct(
+            F.lit("analysis").alias("part"),
+            (F.sum("n_rows").over(seed) - F.col("n_rows")).alias("n_rows"),
+            (F.sum("n_pos").over(seed) - F.col("n_pos")).alias("n_pos"),
+        ),
+    )
+    return own.withColumn("_sides", sides).select("common_seed", "fold_id", F.inline("_sides"))
 
 
 def _fold_counts(spark, folder) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import puspark as pu
 from puspark.operators.density import UNLABELED, collect_plan
 from puspark.plans.prior_estimation import monotone
-from puspark.sources import quantity_predictions, tuning_predictions
+from puspark.sources import materialise, quantity_predictions, tuning_predictions
 
 
 def rounded(column: str, digits: int = 6) -> Column:
@@ -16,7 +16,8 @@ def rounded(column: str, digits: int = 6) -> Column:
 
 
 def _assessment(spark: SparkSession, folder: str) -> DataFrame:
-    return pu.assessment_rows(pu.ensemble_mean(quantity_predictions(spark, folder)))
+    """Mean scores of the assessment rows, averaged once: the estimates below take several passes over them."""
+    return pu.assessment_rows(materialise(pu.ensemble_mean(quantity_predictions(spark, folder))))
 
 
 def auc_by_fold(spark, folder):
@@ -34,7 +35,8 @@ def best_config(spark, folder):
 
 
 def ensemble_mean(spark, folder):
-    return _assessment(spark, folder).select("ind_id", "holdout", "known_pos", "known_neg", rounded("score_mean", 9))
+    means = pu.ensemble_mean(quantity_predictions(spark, folder))
+    return pu.assessment_rows(means).select("ind_id", "holdout", "known_pos", "known_neg", rounded("score_mean", 9))
 
 
 def kde_plan(spark, folder):
@@ -102,7 +104,7 @@ def threshold_pick(spark, folder):
 
 
 def classify(spark, folder):
-    entities = pu.ensemble_mean(quantity_predictions(spark, folder))
+    entities = materialise(pu.ensemble_mean(quantity_predictions(spark, folder)))
     found = pu.calibrate_threshold(pu.assessment_rows(entities))
     return pu.classify(entities, found.threshold).select(
         "ind_id", "holdout", "known_pos", "known_neg", rounded("score_mean", 9), "pred_class"
