@@ -28,6 +28,17 @@ class KdePlan(NamedTuple):
     step: float
     reach: int
 
+    @property
+    def relative_step(self) -> float:
+        """Grid step in bandwidths."""
+        return self.step / self.bandwidth
+
+    @property
+    def kernel_mass(self) -> float:
+        """Divisor that gives the kernel, summed over its grid points and all scores, mass one."""
+        side = sum(math.exp(-0.5 * (j * self.relative_step) ** 2) for j in range(1, self.reach + 1))
+        return (1 + 2 * side) * self.step * self.n
+
 
 def split_scores(entities: DataFrame, label_col: str = "known_pos", score_col: str = "score_mean") -> DataFrame:
     """(label, y, n_rows): how often each score occurs among positives and among unlabeled entities.
@@ -108,18 +119,13 @@ def linear_bin(scores: DataFrame, plans: dict[int, KdePlan]) -> DataFrame:
 
 def kde_grid(spark: SparkSession, binned: DataFrame, plans: dict[int, KdePlan]) -> DataFrame:
     """(label, bin, x, f): the density at every grid point, by spreading each bin over the kernel's reach."""
-    kernels = {}
-    for label, p in plans.items():
-        raw = [math.exp(-0.5 * (j * p.step / p.bandwidth) ** 2) for j in range(p.reach + 1)]
-        total = (raw[0] + 2 * sum(raw[1:])) * p.step * p.n  # mass one on the grid
-        kernels[label] = F.array(*[F.lit(v / total) for v in raw])
-    offset = F.explode(F.sequence(-_by_label(plans, "reach"), _by_label(plans, "reach")))
-    spread = binned.select("label", "bin", "weight", offset.alias("_off"))
-    kernel = F.when(F.col("label") == POSITIVE, kernels[POSITIVE]).otherwise(kernels[UNLABELED])
+    reach = _by_label(plans, "reach")
+    spread = binned.select("label", "bin", "weight", F.explode(F.sequence(-reach, reach)).alias("_off"))
+    lag = F.col("_off") * _by_label(plans, "relative_step")
     falls = spread.select(
         "label",
         (F.col("bin") + F.col("_off")).alias("bin"),
-        (F.col("weight") * F.element_at(kernel, F.abs("_off") + 1)).alias("f"),
+        (F.col("weight") * F.exp(-0.5 * lag * lag) / _by_label(plans, "kernel_mass")).alias("f"),
     ).filter(F.col("bin").between(0, GRID_POINTS - 1))
     points = spark.range(GRID_POINTS).select(
         F.explode(F.array(F.lit(POSITIVE), F.lit(UNLABELED))).alias("label"), F.col("id").cast("int").alias("bin"), F.lit(0.0).alias("f")

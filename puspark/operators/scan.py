@@ -28,6 +28,11 @@ class Scan(NamedTuple):
     upto: int = 0
 
 
+def double_array(values: Sequence[float]) -> Column:
+    """A literal array; as one expression text, for a literal per value takes long to put together."""
+    return F.expr(f"array({', '.join(f'{float(v)!r}D' for v in values)})")
+
+
 def bucket_edges(df: DataFrame, column: str, rows: int | None = None, block_rows: int = BLOCK_ROWS) -> list[float]:
     """Strictly increasing quantile edges of ``column``, about ``block_rows`` rows apart; none for small input.
 
@@ -38,7 +43,7 @@ def bucket_edges(df: DataFrame, column: str, rows: int | None = None, block_rows
     if parts < 2:
         return []
     shares = [i / parts for i in range(1, parts)]
-    quantiles = df.agg(F.percentile_approx(column, shares, max(10_000, 4 * parts)).alias("q")).first()["q"]
+    quantiles = df.agg(F.percentile_approx(column, double_array(shares), max(10_000, 4 * parts)).alias("q")).first()["q"]
     return sorted(set(quantiles or []))
 
 

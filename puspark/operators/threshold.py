@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from puspark.operators.checks import require_columns
-from puspark.operators.scan import with_bucket
+from puspark.operators.scan import double_array, with_bucket
 
 DEFAULT_THRESHOLDS = tuple(i * 0.01 for i in range(100))
 DEFAULT_EPS = 0.01
@@ -31,12 +31,11 @@ def threshold_sweep(unlabeled: DataFrame, thresholds: Sequence[float] = DEFAULT_
     counts = turned.groupBy((F.lit(len(levels)) - F.col("_not_below")).cast("int").alias("level")).agg(
         F.sum(weight).alias("n")
     )
-    rungs = {t: i for i, t in enumerate(levels, 1)}
-    listed = [
-        F.struct(F.lit(i).alias("idx"), F.lit(float(t)).alias("threshold"), F.lit(rungs[float(t)]).alias("level"))
-        for i, t in enumerate(thresholds)
-    ]
-    known = spark.range(1).select(F.inline(F.array(*listed)))
+    known = (
+        spark.range(1)
+        .select(F.posexplode(double_array(thresholds)).alias("idx", "threshold"))
+        .withColumn("level", F.dense_rank().over(Window.orderBy("threshold")))
+    )
     ladder = spark.range(len(levels) + 1).select(F.col("id").cast("int").alias("level")).join(counts, "level", "left")
     from_top = Window.orderBy(F.desc("level")).rowsBetween(Window.unboundedPreceding, 0)
     everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
