@@ -181,8 +181,9 @@ def range_medians(runs: DataFrame, windows: Windows, block_rows: int = BLOCK_ROW
 def _core_band(pieces: DataFrame, asked: DataFrame, size: int) -> DataFrame:
     """Per asked block: the distinct core values near the middle rank (kind 1), the count of those below (kind 2)."""
     edges = bucket_edges(pieces.select("r"), "r", block_rows=4 * size)
-    bucket = F.col("_bucket").cast("int") if edges else F.lit(0)
-    placed = with_bucket(pieces, "r", edges, "_bucket").withColumn("_bucket", bucket)
+    placed = with_bucket(pieces, "r", edges, "_bucket")
+    if not edges:
+        placed = placed.withColumn("_bucket", F.lit(0))
     # core counts per value bucket: cumulative counts along the blocks, read off at both ends of each core
     cells = placed.groupBy("_bucket", "_block").agg(F.sum("n_rows").alias("_c"))
     ends = F.array(

@@ -1,8 +1,8 @@
 """Running sums and maxima over a global order, without gathering the order in one task.
 
 Rows are placed in blocks that follow the order (quantile buckets of a column, ranges of positions,
-prefixes of a hash). A window runs inside each block; the block totals, one row per block, are
-accumulated separately and carried back.
+prefixes of a hash). The block totals, one row per block, are accumulated first; a window then runs inside
+each block, starting from what came before it.
 """
 
 from __future__ import annotations
@@ -52,7 +52,8 @@ def with_bucket(df: DataFrame, column: str, edges: Sequence[float], name: str =
     if not edges:
         return df
     splits = [-math.inf, *edges, math.inf]
-    return Bucketizer(splits=splits, inputCol=column, outputCol=name, handleInvalid="keep").transform(df)
+    placed = Bucketizer(splits=splits, inputCol=column, outputCol=name, handleInvalid="keep").transform(df)
+    return placed.withColumn(name, F.col(name).cast("int"))
 
 
 def two_level_scan(
@@ -65,33 +66,18 @@ def two_level_scan(
     if block not in df.columns:
         return _one_level_scan(df, scans, order, keys)
     groups = [*keys, block]
-    local = Window.partitionBy(*groups).orderBy(*order)
-    earlier = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    values = [f"_v_{s.name}" for s in scans]
     total = {"sum": F.sum, "max": F.max}
-
-    totals = df.groupBy(*groups).agg(*[total[s.how](s.value).alias(f"_t_{s.name}") for s in scans])
-    carried = totals.select(
-        *[F.col(g).alias(f"_k{i}") for i, g in enumerate(groups)],
-        *[total[s.how](f"_t_{s.name}").over(earlier).alias(f"_c_{s.name}") for s in scans],
-    )
-    inside = df.withColumns(
-        {
-            f"_l_{s.name}": total[s.how](s.value).over(local.rowsBetween(Window.unboundedPreceding, s.upto))
-            for s in scans
-        }
+    earlier = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    totals = df.groupBy(*groups).agg(*[total[s.how](s.value).alias(v) for s, v in zip(scans, values)])
+    # what came before a block enters it as one more row at its head: no join, and the rows are shuffled once
+    heads = totals.select(
+        *groups, F.lit(0).alias("_row"), *[total[s.how](v).over(earlier).alias(v) for s, v in zip(scans, values)]
     )
-    same_block = [F.col(g).eqNullSafe(F.col(f"_k{i}")) for i, g in enumerate(groups)]
-    joined = inside.join(carried, same_block)
-    merged = {
-        s.name: (
-            F.coalesce(F.col(f"_l_{s.name}"), F.lit(0)) + F.coalesce(F.col(f"_c_{s.name}"), F.lit(0))
-            if s.how == "sum"
-            else F.greatest(f"_l_{s.name}", f"_c_{s.name}")
-        )
-        for s in scans
-    }
-    scratch = [c for c in joined.columns if c.startswith(("_k", "_l_", "_c_"))]
-    return joined.withColumns(merged).drop(*scratch)
+    rows = df.select("*", F.lit(1).alias("_row"), *[s.value.alias(v) for s, v in zip(scans, values)])
+    inside = [Scan(s.name, F.col(v), s.how, s.upto) for s, v in zip(scans, values)]
+    both = rows.unionByName(heads, allowMissingColumns=True)
+    return _one_level_scan(both, inside, ["_row", *order], groups).filter("_row = 1").drop("_row", *values)
 
 
 def _one_level_scan(df: DataFrame, scans: Sequence[Scan], order: Sequence[str], keys: Sequence[str]) -> DataFrame:

@@ -16,15 +16,16 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a scratch folder only in local mode when it is unset."""
-    folder = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
+    """The folder named by ``spark.checkpoint.dir``; a scratch folder only in local mode when none is set."""
+    folder = spark.conf.get(CHECKPOINT_CONF, None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"set {CHECKPOINT_CONF} to a folder that every executor can reach")
-    folder = tempfile.mkdtemp(prefix="puspark-")
-    spark.conf.set(CHECKPOINT_CONF, folder)
-    return folder
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        if not context.master.startswith("local"):
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that every executor can reach")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="puspark-"))
+    return context.getCheckpointDir().rstrip("/")
 
 
 def materialise(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:

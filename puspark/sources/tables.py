@@ -80,8 +80,8 @@ def document_features(spark: SparkSession, folder: str) -> DataFrame:
         F.col("n_chars").cast("double").alias("n_chars"),
         F.size(words).cast("double").alias("n_words"),
         F.size(F.array_distinct(words)).cast("double").alias("n_distinct"),
-        F.length(F.regexp_replace("text", r"\s+", "")).cast("double").alias("n_letters"),
-        F.length(F.regexp_replace("text", "[^0-9]", "")).cast("double").alias("n_digits"),
+        F.length(F.concat_ws("", words)).cast("double").alias("n_letters"),
+        (F.length("text") - F.length(F.translate("text", "0123456789", ""))).cast("double").alias("n_digits"),
         (F.length("text") - F.length(F.translate("text", "\n", "")) + 1).cast("double").alias("n_lines"),
     )
     at_least_one = F.greatest(F.col("n_words"), F.lit(1.0))

@@ -16,9 +16,10 @@ def test_auc_golden(spark):
     assert pu.grouped_auc(df, ["g"]).first()["auc"] == 0.875
 
 
-def test_auc_undefined_groups(spark):
+@pytest.mark.parametrize("block_rows", [1, 1 << 18])
+def test_auc_undefined_groups(spark, block_rows):
     df = labelled(spark, [("a", 1, 0.9), ("b", 0, 0.1), ("c", None, 0.5), ("d", 1, None), (None, 1, 0.7), (None, 0, 0.2)])
-    assert {r["g"]: r["auc"] for r in pu.grouped_auc(df, ["g"]).collect()} == {"a": None, "b": None, "c": None, "d": None, None: 1.0}
+    assert {r["g"]: r["auc"] for r in pu.grouped_auc(df, ["g"], block_rows=block_rows).collect()} == {"a": None, "b": None, "c": None, "d": None, None: 1.0}
 
 
 @pytest.mark.parametrize("block_rows", [4, 1 << 18])
