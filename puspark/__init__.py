@@ -21,6 +21,56 @@ from puspark.operators.threshold import pick_threshold, threshold_sweep
 from puspark.operators.tuning import auc_by_fold, auc_summary, best_config, grouped_auc, summarise_tuning
 from puspark.plans.classification import classified_entities, classify_pu
 from puspark.plans.prior_estimation import calibrate_threshold, densities, density_ratio, estimate_prior
-from puspark.plans.training import fit_predict_cv, tune_cv
+from puspark.plans.training import draw_samples, fit_models, fit_predict_cv, model_keys, score_rows, tune_cv
 
-__all__ = [name for name in dir() if not name.startswith("_") and name not in ("operators", "plans", "sources", "functions")]
+__all__ = [
+    "assessment_rows",
+    "assign_folds",
+    "auc_by_fold",
+    "auc_summary",
+    "best_config",
+    "beta_moments",
+    "calibrate_threshold",
+    "classified_entities",
+    "classify",
+    "classify_pu",
+    "densities",
+    "density_at",
+    "density_ratio",
+    "downsample",
+    "downsample_bags",
+    "draw_samples",
+    "ensemble_mean",
+    "entity_table",
+    "estimate_prior",
+    "expand_runs",
+    "explicit_grid",
+    "fit_models",
+    "fit_predict_cv",
+    "folds_for",
+    "grouped_auc",
+    "kde_grid",
+    "kde_plan",
+    "latin_hypercube",
+    "linear_bin",
+    "make_bags",
+    "model_keys",
+    "partial_running_max",
+    "pick_threshold",
+    "prior_curve",
+    "prior_from_curve",
+    "pu_metrics",
+    "raw_ratio",
+    "recall",
+    "rolling_median",
+    "score_rows",
+    "score_stats",
+    "split",
+    "split_scores",
+    "summarise_tuning",
+    "threshold_sweep",
+    "tune_cv",
+    "with_confidence",
+    "with_folds",
+    "with_position",
+]

@@ -269,7 +269,7 @@ SCORES = {
   {r('ln(' + _FITTED.format('m * (m * (1 - m) / v - 1)') + ')', 7, 'ln_shape1')},
   {r('ln(' + _FITTED.format('(1 - m) * (m * (1 - m) / v - 1)') + ')', 7, 'ln_shape2')} FROM moments""",
     ),
-    "classified_confidence": with_steps(
+    "confidence": with_steps(
         "moments",
         f"""SELECT c.ind_id, c.pred_class, {r('a_star', 6, 'alpha')}, {r('threshold')},
   CASE WHEN m.n > 1 AND lo < hi THEN 'fitted' ELSE 'degenerate' END AS conf_status,

@@ -123,7 +123,7 @@ def beta_moments(spark, folder):
     )
 
 
-def classified_confidence(spark, folder):
+def confidence(spark, folder):
     got = pu.classified_entities(quantity_predictions(spark, folder))
     return got.select(
         "ind_id", "pred_class", rounded("confidence"), "conf_status", rounded("alpha"), rounded("threshold")
@@ -167,7 +167,7 @@ QUERIES = {
         threshold_pick,
         classify,
         beta_moments,
-        classified_confidence,
+        confidence,
         recall_all,
         pu_metrics,
         pu_metrics_by_group,
