@@ -33,13 +33,12 @@ def double_array(values: Sequence[float]) -> Column:
     return F.expr(f"array({', '.join(f'{float(v)!r}D' for v in values)})")
 
 
-def bucket_edges(df: DataFrame, column: str, rows: int | None = None, block_rows: int = BLOCK_ROWS) -> list[float]:
+def bucket_edges(df: DataFrame, column: str, block_rows: int = BLOCK_ROWS) -> list[float]:
     """Strictly increasing quantile edges of ``column``, about ``block_rows`` rows apart; none for small input.
 
     The edges only balance the work: any edges give the same results.
     """
-    rows = df.count() if rows is None else rows
-    parts = min(math.ceil(rows / block_rows), MAX_BUCKETS)
+    parts = min(math.ceil(df.count() / block_rows), MAX_BUCKETS)
     if parts < 2:
         return []
     shares = [i / parts for i in range(1, parts)]

@@ -60,7 +60,7 @@ def monotone(dens: Densities, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Raw ratio with positions and the partial running maximum."""
     unlabeled = dens.plans[UNLABELED]
     scores = dens.scores.filter(dens.scores["label"] == UNLABELED)
-    edges = bucket_edges(scores, "y", unlabeled.n, block_rows)
+    edges = bucket_edges(scores, "y", block_rows=block_rows) if unlabeled.n > block_rows else []
     return monotone_ratio(raw_ratio(dens.at_unlabeled), unlabeled.mean, edges)
 
 
