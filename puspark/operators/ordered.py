@@ -121,6 +121,35 @@ def range_medians(runs: DataFrame, windows: Windows, block_rows: int = BLOCK_ROW
     in it, reach the task - however long the windows are.
     """
     size = block_rows
+
+    def solve(key: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
+        begin = windows.first + int(key[0]) * size
+        at = np.arange(begin, min(begin + size - 1, windows.last) + 1)
+        low, high = windows.bounds(at)
+        low, high = np.broadcast_to(low, at.shape), np.broadcast_to(high, at.shape)
+        fringe = rows[rows["kind"] == 0].sort_values("rn")
+        core = rows[rows["kind"] == 1]
+        skipped = int(rows.loc[rows["kind"] == 2, "n_rows"].sum())
+        lengths = fringe["n_rows"].to_numpy()
+        ahead = np.cumsum(lengths) - lengths
+        places = np.repeat(fringe["rn"].to_numpy() - ahead, lengths) + np.arange(lengths.sum())
+        values = np.repeat(fringe["r"].to_numpy(), lengths)
+        # fringe before the core, core values, fringe after it: a window is one slice of this
+        border = int(np.searchsorted(places, low.max())) if len(core) or skipped else len(places)
+        start = np.searchsorted(places, low)
+        stop = np.searchsorted(places, high, side="right") + len(core)
+        sequence = np.concatenate((values[:border], core["r"].to_numpy(), values[border:]))
+        weights = np.ones(len(sequence), dtype=np.int64)
+        weights[border : border + len(core)] = core["n_rows"].to_numpy()
+        medians = window_kth(sequence, weights, start, stop, (high - low) // 2 - skipped)
+        rn, n_rows, r = to_runs(begin, medians)
+        return pd.DataFrame({"rn": rn, "n_rows": n_rows, "r": r})
+
+    return block_payload(runs, windows, size).groupBy("q").applyInPandas(solve, RUNS)
+
+
+def block_payload(runs: DataFrame, windows: Windows, size: int) -> DataFrame:
+    """What each block ``q`` of positions is sent: the runs around its core (kind 0) and the core's middle band (1, 2)."""
     blocks = (windows.last - windows.first) // size + 1
     spark = runs.sparkSession
     pieces = _cut(runs, size)
@@ -151,31 +180,7 @@ def range_medians(runs: DataFrame, windows: Windows, block_rows: int = BLOCK_ROW
     payload = pieces.join(fringe_blocks, "_block").select("q", F.lit(0).alias("kind"), "rn", "n_rows", "r")
     if with_cores:
         payload = payload.unionByName(_core_band(pieces, asked.filter(has_core), size))
-
-    def solve(key: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
-        begin = windows.first + int(key[0]) * size
-        at = np.arange(begin, min(begin + size - 1, windows.last) + 1)
-        low, high = windows.bounds(at)
-        low, high = np.broadcast_to(low, at.shape), np.broadcast_to(high, at.shape)
-        fringe = rows[rows["kind"] == 0].sort_values("rn")
-        core = rows[rows["kind"] == 1]
-        skipped = int(rows.loc[rows["kind"] == 2, "n_rows"].sum())
-        lengths = fringe["n_rows"].to_numpy()
-        ahead = np.cumsum(lengths) - lengths
-        places = np.repeat(fringe["rn"].to_numpy() - ahead, lengths) + np.arange(lengths.sum())
-        values = np.repeat(fringe["r"].to_numpy(), lengths)
-        # fringe before the core, core values, fringe after it: a window is one slice of this
-        border = int(np.searchsorted(places, low.max())) if len(core) or skipped else len(places)
-        start = np.searchsorted(places, low)
-        stop = np.searchsorted(places, high, side="right") + len(core)
-        sequence = np.concatenate((values[:border], core["r"].to_numpy(), values[border:]))
-        weights = np.ones(len(sequence), dtype=np.int64)
-        weights[border : border + len(core)] = core["n_rows"].to_numpy()
-        medians = window_kth(sequence, weights, start, stop, (high - low) // 2 - skipped)
-        rn, n_rows, r = to_runs(begin, medians)
-        return pd.DataFrame({"rn": rn, "n_rows": n_rows, "r": r})
-
-    return payload.groupBy("q").applyInPandas(solve, RUNS)
+    return payload
 
 
 def _core_band(pieces: DataFrame, asked: DataFrame, size: int) -> DataFrame:

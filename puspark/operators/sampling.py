@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from puspark.operators.checks import require_columns
+from puspark.operators.joins import HOT_ROWS, skewed_join, small_side
 from puspark.operators.scan import Scan, two_level_scan
 from puspark.sources.shared import materialise
 
@@ -30,29 +31,34 @@ def assign_folds(
     key: str = "ind_id",
     strata: str | None = None,
     group: str | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Table (common_seed, fold_id, key): k disjoint assessment sets per seed.
 
     ``strata`` spreads each value evenly over the folds; ``group`` keeps all rows of a value together. A key
-    has one row in the result, however many rows it has in ``df``.
+    has one row per seed in the result, however many rows it has in ``df``. Groups of more than ``hot_rows`` rows
+    are given their fold by broadcast.
     """
     if strata and group:
         raise ValueError("choose either strata or group")
     require_columns(df, [c for c in (key, strata, group) if c])
     side = [c for c in (strata, group) if c]
     entities = df.groupBy(key).agg(*[F.max(c).alias(c) for c in side]) if side else df.select(key).distinct()
-    unit = group or key
-    units = entities.select(unit).distinct() if group else entities
+    if group:  # rows without a group form one
+        entities = entities.withColumn("_group", F.coalesce(F.col(group).cast("string"), F.lit("")))
+    unit = "_group" if group else key
+    units = entities.groupBy(unit).agg(F.count(F.lit(1)).alias("_size")) if group else entities
     seeded = units.withColumn("common_seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
     drawn = seeded.withColumn("_draw", draw("common_seed", unit)).withColumn(
         "_block", F.substring("_draw", 1, PREFIX_DIGITS)
     )
     keys = ["common_seed", *([strata] if strata else [])]
     ranked = two_level_scan(drawn, [Scan("_before", F.lit(1), "sum", -1)], ["_draw", unit], "_block", keys)
-    folds = ranked.select(
-        "common_seed", F.concat(F.lit("Fold"), F.pmod("_before", F.lit(k)) + 1).alias("fold_id"), unit
-    )
-    return entities.join(folds, group).select("common_seed", "fold_id", key) if group else folds
+    fold = F.concat(F.lit("Fold"), F.pmod("_before", F.lit(k)) + 1).alias("fold_id")
+    if not group:
+        return ranked.select("common_seed", fold, key)
+    folds = materialise(ranked.select("common_seed", fold, unit, "_size"))
+    return skewed_join(entities, folds, unit, "_size", hot_rows).select("common_seed", "fold_id", key)
 
 
 def folds_for(folds: DataFrame, common_seed: int) -> DataFrame:
@@ -133,7 +139,7 @@ def downsample(df: DataFrame, label: str, ratio: float, seed: int, key: str = "i
     rows = df.withColumn("_draw", draw(F.lit(seed), key)).withColumn("_prefix", F.substring("_draw", 1, PREFIX_DIGITS))
     hist = rows.groupBy(label, "_prefix").agg(F.count(F.lit(1)).alias("n"))
     cut = materialise(_cutoffs(hist, [], label, ratio)).withColumnRenamed(label, "_label")
-    joined = rows.join(F.broadcast(cut), F.col(label).eqNullSafe(F.col("_label"))).drop("_label")
+    joined = rows.join(small_side(cut), F.col(label).eqNullSafe(F.col("_label"))).drop("_label")
     return _take(joined, [], label, key)
 
 
@@ -144,12 +150,12 @@ def downsample_bags(
 
     ``folded`` holds each row once per seed with its fold. Counts are taken per *assessment* fold and an analysis
     set's counts are the seed's total less its own fold's, so no row is repeated per fold before it is selected.
-    The cut-offs, one row per model and class, are broadcast: there are as many as models to be fitted.
+    The cut-offs, one row per model and class, are broadcast: there are as few as models to be fitted.
     """
     model = ["common_seed", "bag", "fold_id"]
     seeds = bags.select("common_seed", "bag", "recipe_seed", "counter")
     drawn = (
-        folded.join(F.broadcast(seeds), "common_seed")
+        folded.join(small_side(seeds), "common_seed")
         .withColumn("_draw", draw("recipe_seed", key))
         .withColumn("_prefix", F.substring("_draw", 1, PREFIX_DIGITS))
     )
@@ -159,7 +165,7 @@ def downsample_bags(
     )
     fold_names = folded.groupBy("common_seed").agg(F.collect_set("fold_id").alias("_folds"))
     hist = (
-        per_seed.join(F.broadcast(fold_names), "common_seed")
+        per_seed.join(fold_names, "common_seed")
         .withColumn("fold_id", F.explode("_folds"))
         .select(
             *model,
@@ -185,7 +191,7 @@ def downsample_bags(
         & (F.col("_edge").isNull() | (F.col("_prefix") <= F.col("_edge")))
     )
     rows = (
-        drawn.join(F.broadcast(cut), matched)
+        drawn.join(small_side(cut), matched)
         .withColumn("fold_id", F.col("_fold"))
         .drop("_seed", "_bag", "_fold", "_label")
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from puspark.operators.joins import HOT_ROWS, skewed_join
 from puspark.sources.shared import materialise
 
 
@@ -12,24 +13,10 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-HOT_ROWS = 1_000_000  # keys with more rows than this are joined by broadcast; there are few of them by necessity
-
-
 def with_totals(lines: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Every line with its order's total quantity ``sq`` and number of lines ``n``.
-
-    Totals are partial aggregates joined back. An order with a large share of all lines would send that share
-    to one task of the join, so lines of such orders get their totals from a broadcast table instead: at most
-    one row per ``hot_rows`` lines.
-    """
-    totals = materialise(
-        lines.groupBy("l_orderkey").agg(F.sum("l_quantity").alias("sq"), F.count(F.lit(1)).alias("n"))
-    )
-    hot = totals.filter(F.col("n") > hot_rows)
-    if hot.isEmpty():
-        return lines.join(totals, "l_orderkey")
-    rest = lines.join(F.broadcast(hot.select("l_orderkey")), "l_orderkey", "left_anti")
-    return rest.join(totals, "l_orderkey").unionByName(lines.join(F.broadcast(hot), "l_orderkey"))
+    """Every line with its order's total quantity ``sq`` and number of lines ``n``."""
+    totals = lines.groupBy("l_orderkey").agg(F.sum("l_quantity").alias("sq"), F.count(F.lit(1)).alias("n"))
+    return skewed_join(lines, materialise(totals), "l_orderkey", hot_rows=hot_rows)
 
 
 def quantity_predictions(spark: SparkSession, folder: str) -> DataFrame:

@@ -48,6 +48,19 @@ def test_group_stays_in_one_fold(people):
     assert folds.select("common_seed", "fold_id").distinct().count() == 6
 
 
+def test_hot_group_is_placed_like_any_other(people):
+    plain = rows_of(pu.assign_folds(people, 3, [5, 6], group="source"), "common_seed", "fold_id", "ind_id")
+    assert rows_of(pu.assign_folds(people, 3, [5, 6], group="source", hot_rows=50), "common_seed", "fold_id", "ind_id") == plain
+    assert len(plain) == 400
+
+
+def test_rows_without_a_group_form_one(people):
+    df = people.withColumn("source", F.when(F.col("ind_id") % 10 > 0, F.col("source")))
+    folds = pu.assign_folds(df, 3, [5], group="source")
+    assert folds.count() == 200
+    assert folds.filter(F.col("ind_id") % 10 == 0).select("fold_id").distinct().count() == 1
+
+
 def test_folds_do_not_depend_on_partitioning(people):
     a = pu.assign_folds(people, 3, [9], strata="known_pos")
     b = pu.assign_folds(people.repartition(13), 3, [9], strata="known_pos")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import puspark as pu
 from puspark.functions.medians import smooth_sequence, to_runs, window_kth
-from puspark.operators.ordered import Windows, median_window, range_medians
+from puspark.operators.ordered import Windows, block_payload, median_window, range_medians
 from tests import brute
 
 
@@ -113,32 +113,15 @@ def test_block_medians_match_brute_force(spark, name):
     assert got == [brute.middle(values[i - half : i + half + 1]) for i in range(half, n - half)]
 
 
-def test_block_medians_keep_tasks_small(spark):
+@pytest.mark.parametrize("name", ["random", "a third equal", "flat top"])
+def test_block_medians_keep_tasks_small(spark, name):
     """What one block's task receives does not grow with the window."""
     n, size = 4000, 20
-    values = np.random.default_rng(5).normal(size=n)
-    from puspark.operators import ordered
-
-    received = []
+    runs = as_runs(spark, shapes(n)[name])
     for half in (200, 800):
-        windows = Windows(half + 1, n - half, (1, -half), (1, half))
-        runs = sequence(spark, values)
-        pieces = ordered._cut(runs, size)
-        blocks = (windows.last - windows.first) // size + 1
-        first = windows.first + F.col("q") * size
-        last = F.least(first + size - 1, F.lit(windows.last))
-        asked = spark.range(blocks).withColumnRenamed("id", "q").select(
-            "q",
-            F.ceil((last - half - 1) / size).alias("core_a"),
-            (F.floor((first + half) / size) - 1).alias("core_b"),
-            F.lit(half).alias("mid_a"),
-            F.lit(half).alias("mid_b"),
-            F.lit(2 * half + 1).alias("size_a"),
-            F.lit(2 * half + 1).alias("size_b"),
-        )
-        band = ordered._core_band(pieces, asked, size).filter("kind = 1").groupBy("q").count()
-        received.append(band.agg(F.max("count")).first()[0])
-    assert max(received) <= 12 * size
+        sent = block_payload(runs, Windows(half + 1, n - half, (1, -half), (1, half)), size)
+        held = F.sum(F.when(F.col("kind") == 0, F.col("n_rows")).otherwise(1))
+        assert sent.groupBy("q").agg(held.alias("held")).agg(F.max("held")).first()[0] <= 16 * size
 
 
 @pytest.mark.parametrize("name", list(shapes(10)))
