@@ -128,7 +128,9 @@ def kde_grid(spark: SparkSession, binned: DataFrame, plans: dict[int, KdePlan])
         (F.col("weight") * F.exp(-0.5 * lag * lag) / _by_label(plans, "kernel_mass")).alias("f"),
     ).filter(F.col("bin").between(0, GRID_POINTS - 1))
     points = spark.range(GRID_POINTS).select(
-        F.explode(F.array(F.lit(POSITIVE), F.lit(UNLABELED))).alias("label"), F.col("id").cast("int").alias("bin"), F.lit(0.0).alias("f")
+        F.explode(F.array(F.lit(POSITIVE), F.lit(UNLABELED))).alias("label"),
+        F.col("id").cast("int").alias("bin"),
+        F.lit(0.0).alias("f"),
     )
     return (
         falls.unionByName(points)

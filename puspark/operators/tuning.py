@@ -35,7 +35,11 @@ def grouped_auc(
     require_columns(df, [*keys, label, score])
     usable = F.col(score).isNotNull() & ~F.isnan(score) & F.col(label).isin(0, 1)
     # unusable rows count for neither class but keep their group in the result
-    tidy = df.select(*keys, F.when(usable, F.col(score)).otherwise(0.0).alias("_score"), F.when(usable, F.col(label)).alias("_label"))
+    tidy = df.select(
+        *keys,
+        F.when(usable, F.col(score)).otherwise(0.0).alias("_score"),
+        F.when(usable, F.col(label)).alias("_label"),
+    )
     counted = materialise(
         tidy.groupBy(*keys, "_score").agg(
             F.count(F.when(F.col("_label") == 1, 1)).alias("_pos"), F.count(F.when(F.col("_label") == 0, 1)).alias("_neg")

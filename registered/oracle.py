@@ -372,4 +372,6 @@ WHERE {_FIRST} GROUP BY common_seed, bag, fold_id, holdout"""
     ),
 }
 
-SQL = {**DOCUMENTS, **SCORES}
+BLOCKS = {f"{name}_blocks": SCORES[name] for name in ("auc_by_fold", "ratio_monotone", "ratio_smoothed")}
+
+SQL = {**DOCUMENTS, **SCORES, **BLOCKS}

@@ -11,6 +11,11 @@ from puspark.plans.prior_estimation import monotone
 from puspark.sources import materialise, quantity_predictions, tuning_predictions
 
 
+# The *_blocks queries compute the same rows with small blocks, so that the forms meant for long sequences and large
+# groups are compared as well: with windows of n / 20 positions they reach beyond many blocks already on small tables.
+SMALL_BLOCK = 100
+
+
 def rounded(column: str, digits: int = 6) -> Column:
     return (F.round(column, digits) + F.lit(0.0)).alias(column)
 
@@ -25,6 +30,11 @@ def auc_by_fold(spark, folder):
     return auc.select("common_seed", "fold_id", "config", rounded("auc", 9))
 
 
+def auc_by_fold_blocks(spark, folder):
+    auc = pu.auc_by_fold(tuning_predictions(spark, folder), SMALL_BLOCK)
+    return auc.select("common_seed", "fold_id", "config", rounded("auc", 9))
+
+
 def auc_summary(spark, folder):
     summary = pu.summarise_tuning(tuning_predictions(spark, folder)).auc
     return summary.select("common_seed", "config", rounded("mean_auc", 9), rounded("min_auc", 9))
@@ -78,11 +88,20 @@ def ratio_monotone(spark, folder):
     return _per_score(monotone(pu.densities(_assessment(spark, folder))), "r")
 
 
+def ratio_monotone_blocks(spark, folder):
+    return _per_score(monotone(pu.densities(_assessment(spark, folder)), SMALL_BLOCK), "r")
+
+
 def ratio_smoothed(spark, folder):
     dens = pu.densities(_assessment(spark, folder))
     return pu.expand_runs(pu.density_ratio(dens)).select("rn", rounded("r"))
 
 
+def ratio_smoothed_blocks(spark, folder):
+    dens = pu.densities(_assessment(spark, folder))
+    return pu.expand_runs(pu.density_ratio(dens, block_rows=SMALL_BLOCK)).select("rn", rounded("r"))
+
+
 def prior_curve(spark, folder):
     curve = pu.estimate_prior(_assessment(spark, folder)).curve
     return curve.select("i", rounded("alpha", 9), rounded("d"), rounded("d2"), "is_star")
@@ -151,6 +170,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         auc_by_fold,
+        auc_by_fold_blocks,
         auc_summary,
         best_config,
         ensemble_mean,
@@ -160,7 +180,9 @@ QUERIES = {
         density_at_unlabeled,
         density_ratio_raw,
         ratio_monotone,
+        ratio_monotone_blocks,
         ratio_smoothed,
+        ratio_smoothed_blocks,
         prior_curve,
         prior_estimate,
         threshold_sweep,

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from puspark.operators.scan import Scan, two_level_scan
-from puspark.sources import materialise, quantity_predictions, read_table
+from puspark.sources import materialise, read_table
 from puspark.sources import shared
 from puspark.sources.tables import document_features, with_totals
 

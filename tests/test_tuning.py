@@ -1,6 +1,5 @@
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 import puspark as pu
 from puspark.sources import tuning_predictions
