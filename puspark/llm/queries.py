@@ -3,13 +3,28 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from puspark.llm import mixing
-from puspark.sources import read_table
+from puspark.llm import language, mixing, quality
+from puspark.sources import materialise, read_table
+
+
+def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
+    x = materialise(quality.measured(read_table(spark, folder, "documents")))
+    model = quality.fit(x, read_table(spark, folder, "labels"))
+    return quality.scored(x, model).select(
+        "doc_id", (quality.held_out_rest("doc_id") == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
 
 
 def op5_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(read_table(spark, folder, "documents"))
 
 
-QUERIES = {"op5_mix": op5_mix}
+def op7_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents")
+    model = language.fit(docs.filter(~language.held_out()))
+    return language.identify(docs, model).select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {"op4_quality": op4_quality, "op5_mix": op5_mix, "op7_language": op7_language}
