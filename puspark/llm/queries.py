@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from puspark.llm import language, mixing, quality
+from puspark.llm import decontaminate, language, mixing, quality
 from puspark.sources import materialise, read_table
 
 
+def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.scan(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        decontaminate.n_hit().alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        decontaminate.is_contaminated().alias("contaminated"),
+    )
+
+
 def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
     x = materialise(quality.measured(read_table(spark, folder, "documents")))
     model = quality.fit(x, read_table(spark, folder, "labels"))
@@ -27,4 +39,4 @@ def op7_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(docs, model).select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op4_quality": op4_quality, "op5_mix": op5_mix, "op7_language": op7_language}
+QUERIES = {"op3_decontaminate": op3_decontaminate, "op4_quality": op4_quality, "op5_mix": op5_mix, "op7_language": op7_language}

@@ -34,4 +34,33 @@ SELECT doc_id, source, size, source_size, target,
 FROM ordered
 """
 
-SQL = {"op5_mix": MIX}
+DECONTAMINATE = r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS k, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+item AS (
+  SELECT DISTINCT item_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, size, array_to_string(w[p : p + size - 1], ' ') AS win
+  FROM (SELECT *, unnest(range(1, len(w) - size + 2)) AS p FROM (SELECT *, least(13, len(w)) AS size FROM item WHERE len(w) > 0))),
+places AS (
+  SELECT k, p, size, array_to_string(w[p : p + size - 1], ' ') AS win
+  FROM (SELECT k, w, size, unnest(range(1, len(w) - size + 2)) AS p
+        FROM doc, (SELECT DISTINCT size FROM windows) WHERE len(w) >= size)),
+found AS (SELECT k, p, size, item_id FROM places JOIN windows USING (size, win)),
+hit AS (SELECT k, count(DISTINCT i) AS n_hit FROM (SELECT k, unnest(range(p, p + size)) AS i FROM (SELECT DISTINCT k, p, size FROM found)) GROUP BY k),
+owners AS (
+  SELECT k, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT k, coalesce(item_id::VARCHAR, '') AS item FROM found) GROUP BY k)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM doc LEFT JOIN hit USING (k) LEFT JOIN owners USING (k)
+"""
+
+SQL = {"op3_decontaminate": DECONTAMINATE, "op5_mix": MIX}
