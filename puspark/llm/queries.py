@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from puspark.llm import decontaminate, language, mixing, quality
+from puspark.llm import decontaminate, language, mixing, near_duplicates, quality
 from puspark.sources import materialise, read_table
 
 
+def op2_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates.near_duplicates(read_table(spark, folder, "documents"), k=4, percent=80)
+
+
 def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.scan(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
     return found.select(
@@ -39,4 +43,4 @@ def op7_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(docs, model).select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op3_decontaminate": op3_decontaminate, "op4_quality": op4_quality, "op5_mix": op5_mix, "op7_language": op7_language}
+QUERIES = {"op2_near_duplicates": op2_near_duplicates, "op3_decontaminate": op3_decontaminate, "op4_quality": op4_quality, "op5_mix": op5_mix, "op7_language": op7_language}
