@@ -5,10 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from puspark.llm import decontaminate, language, mixing, near_duplicates, quality
+from puspark.llm import decontaminate, language, mixing, near_duplicates, pii, quality
 from puspark.sources import materialise, read_table
 
 
+def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.sanitise(read_table(spark, folder, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] < pii.BASE_KINDS)
+    return found.select(
+        "doc_id",
+        *[pii.count_of(kind).alias(f"n_{kind}") for kind in pii.KINDS[: pii.BASE_KINDS]],
+        F.sha2(pii.spelled(base), 256).alias("base_sha256"),
+        pii.spelled(F.col("spans")).alias("spans"),
+    )
+
+
 def op2_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.near_duplicates(read_table(spark, folder, "documents"), k=4, percent=80)
 
@@ -43,4 +54,4 @@ def op7_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(docs, model).select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op2_near_duplicates": op2_near_duplicates, "op3_decontaminate": op3_decontaminate, "op4_quality": op4_quality, "op5_mix": op5_mix, "op7_language": op7_language}
+QUERIES = {"op1_pii": op1_pii, "op2_near_duplicates": op2_near_duplicates, "op3_decontaminate": op3_decontaminate, "op4_quality": op4_quality, "op5_mix": op5_mix, "op7_language": op7_language}
