@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from puspark.llm import decontaminate, language, mixing, near_duplicates, pii, quality
+from puspark.llm import decontaminate, language, line_dedup, mixing, near_duplicates, pii, quality
 from puspark.sources import materialise, read_table
 
 
@@ -48,10 +48,15 @@ def op5_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(read_table(spark, folder, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs).select("doc_id", "n_removed", "text")
+
+
 def op7_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents")
     model = language.fit(docs.filter(~language.held_out()))
     return language.identify(docs, model).select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op1_pii": op1_pii, "op2_near_duplicates": op2_near_duplicates, "op3_decontaminate": op3_decontaminate, "op4_quality": op4_quality, "op5_mix": op5_mix, "op7_language": op7_language}
+QUERIES = {"op1_pii": op1_pii, "op2_near_duplicates": op2_near_duplicates, "op3_decontaminate": op3_decontaminate, "op4_quality": op4_quality, "op5_mix": op5_mix, "op6_line_dedup": op6_line_dedup, "op7_language": op7_language}

@@ -63,4 +63,36 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM doc LEFT JOIN hit USING (k) LEFT JOIN owners USING (k)
 """
 
-SQL = {"op3_decontaminate": DECONTAMINATE, "op5_mix": MIX}
+LINE_DEDUP = r"""
+WITH doc AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents),
+raw AS (
+  SELECT doc_id, p, parts[p] AS line,
+         regexp_replace(parts[p], '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS body,
+         len(regexp_extract_all(parts[p], '[^\x20\x09-\x0D]+')) AS w
+  FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS p FROM doc)),
+line AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS i,
+         sum(w) OVER (PARTITION BY doc_id ORDER BY p) AS e
+  FROM raw WHERE w > 0),
+win AS (
+  SELECT a.doc_id, a.i AS f, min(b.i) AS l FROM line a JOIN line b
+    ON a.doc_id = b.doc_id AND b.i BETWEEN a.i AND a.i + 49 AND b.e - a.e + a.w >= 50 GROUP BY ALL
+  UNION
+  SELECT b.doc_id, max(a.i) AS f, b.i AS l FROM line a JOIN line b
+    ON a.doc_id = b.doc_id AND a.i BETWEEN b.i - 49 AND b.i AND b.e - a.e + a.w >= 50 GROUP BY b.doc_id, b.i),
+content AS (
+  SELECT win.doc_id, f, l, string_agg(body, chr(10) ORDER BY i) AS body
+  FROM win JOIN line ON line.doc_id = win.doc_id AND i BETWEEN f AND l GROUP BY ALL),
+origin AS (SELECT body, min((doc_id, f, l)) AS o FROM content GROUP BY body),
+gone AS (
+  SELECT DISTINCT c.doc_id, unnest(range(f, l + 1)) AS i FROM content c JOIN origin USING (body)
+  WHERE c.doc_id <> o[1] OR f > o[3]),
+kept AS (
+  SELECT r.doc_id, string_agg(r.line, chr(10) ORDER BY r.p) AS text
+  FROM raw r LEFT JOIN line USING (doc_id, p) LEFT JOIN gone ON gone.doc_id = r.doc_id AND gone.i = line.i
+  WHERE gone.i IS NULL GROUP BY r.doc_id)
+SELECT doc.doc_id, coalesce(n, 0)::INT AS n_removed, CASE WHEN doc.text IS NULL THEN NULL ELSE coalesce(kept.text, '') END AS text
+FROM doc LEFT JOIN kept USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1) USING (doc_id)
+"""
+
+SQL = {"op6_line_dedup": LINE_DEDUP, "op3_decontaminate": DECONTAMINATE, "op5_mix": MIX}
