@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from puspark.llm import decontaminate, language, line_dedup, mixing, near_duplicates, pii, quality
+from puspark.llm import decontaminate, language, line_dedup, mixing, near_duplicates, pii, quality, warc
 from puspark.sources import materialise, read_table
+from puspark.sources.shared import shared_folder
 
 
 def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
@@ -59,4 +62,18 @@ def op7_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(docs, model).select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op1_pii": op1_pii, "op2_near_duplicates": op2_near_duplicates, "op3_decontaminate": op3_decontaminate, "op4_quality": op4_quality, "op5_mix": op5_mix, "op6_line_dedup": op6_line_dedup, "op7_language": op7_language}
+def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write(read_table(spark, folder, "pages"), path)
+    records = warc.read(spark, path)
+    response = F.col("record_type") == "response"
+    return records.select(
+        F.col("record_id").cast("long").alias("page_id"),
+        F.when(response, F.length("payload").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
+        F.when(response, F.sha1("payload")).otherwise(F.col("payload_digest")).alias("payload_digest"),
+        "record_type",
+        F.col("refers_to").cast("long").alias("refers_to"),
+    )
+
+
+QUERIES = {"op1_pii": op1_pii, "op2_near_duplicates": op2_near_duplicates, "op3_decontaminate": op3_decontaminate, "op4_quality": op4_quality, "op5_mix": op5_mix, "op6_line_dedup": op6_line_dedup, "op7_language": op7_language, "op9_warc": op9_warc}

@@ -95,4 +95,15 @@ SELECT doc.doc_id, coalesce(n, 0)::INT AS n_removed, CASE WHEN doc.text IS NULL
 FROM doc LEFT JOIN kept USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1) USING (doc_id)
 """
 
-SQL = {"op6_line_dedup": LINE_DEDUP, "op3_decontaminate": DECONTAMINATE, "op5_mix": MIX}
+WARC = r"""
+WITH page AS (
+  SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+judged AS (
+  SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) ELSE page_id END AS last_id
+  FROM page)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id < last_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < last_id THEN last_id END AS refers_to
+FROM judged
+"""
+
+SQL = {"op9_warc": WARC, "op6_line_dedup": LINE_DEDUP, "op3_decontaminate": DECONTAMINATE, "op5_mix": MIX}
