@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from puspark.llm import decontaminate, language, line_dedup, mixing, near_duplicates, pii, quality, warc
+from puspark.llm import decontaminate, language, line_dedup, mixing, near_duplicates, pii, quality, url_filter, warc
 from puspark.sources import materialise, read_table
 from puspark.sources.shared import shared_folder
 
@@ -62,6 +62,10 @@ def op7_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(docs, model).select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op8_urls(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.judge(read_table(spark, folder, "pages").select("page_id", "url"))
+
+
 def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
     path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     warc.write(read_table(spark, folder, "pages"), path)
@@ -76,4 +80,4 @@ def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_pii": op1_pii, "op2_near_duplicates": op2_near_duplicates, "op3_decontaminate": op3_decontaminate, "op4_quality": op4_quality, "op5_mix": op5_mix, "op6_line_dedup": op6_line_dedup, "op7_language": op7_language, "op9_warc": op9_warc}
+QUERIES = {"op1_pii": op1_pii, "op2_near_duplicates": op2_near_duplicates, "op3_decontaminate": op3_decontaminate, "op4_quality": op4_quality, "op5_mix": op5_mix, "op6_line_dedup": op6_line_dedup, "op7_language": op7_language, "op8_urls": op8_urls, "op9_warc": op9_warc}

@@ -106,4 +106,62 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id < last_id THEN
 FROM judged
 """
 
-SQL = {"op9_warc": WARC, "op6_line_dedup": LINE_DEDUP, "op3_decontaminate": DECONTAMINATE, "op5_mix": MIX}
+_LEVEL = """
+child{k} AS (SELECT host, t[1:{k}] AS parent, t[{k} + 1] AS child, sum(n) AS n FROM tree{k} WHERE len(t) > {k} GROUP BY ALL),
+wide{k} AS (
+  SELECT host, parent FROM child{k} GROUP BY ALL HAVING count(*) > 16 AND max(n) < 0.5 * sum(n)),
+tree{next} AS (
+  SELECT tree{k}.* EXCLUDE t,
+         CASE WHEN wide{k}.host IS NOT NULL THEN list_concat(list_concat(t[1:{k}], ['*']), t[{k} + 2:]) ELSE t END AS t
+  FROM tree{k} LEFT JOIN wide{k} ON tree{k}.host = wide{k}.host AND len(t) > {k} AND t[1:{k}] = parent),
+"""
+
+URLS = (
+    r"""
+WITH parsed AS (
+  SELECT page_id,
+         translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+rules(rule, name, start, says) AS (
+  VALUES ('org/', 'org', '/', 'allow'), ('example.org/es/', 'example.org', '/es/', 'block'),
+         ('example.org/en/1', 'example.org', '/en/1', 'block'), ('com/fr/', 'com', '/fr/', 'allow'), ('com/de/', 'com', '/de/', 'block')),
+row_no AS (SELECT *, row_number() OVER () AS k FROM parsed),
+fit AS (
+  SELECT k, arg_max(rule, len(rule)) AS rule, arg_max(says, len(rule)) AS says FROM row_no JOIN rules
+    ON (host = name OR ends_with(host, '.' || name)) AND starts_with(path, start) GROUP BY k),
+row AS (
+  SELECT row_no.*, rule, says,
+         list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: CASE
+           WHEN regexp_matches(s, '^[0-9]+$') THEN '{n}'
+           WHEN regexp_matches(s, '^[0-9]+\.[a-z]+$') THEN regexp_replace(s, '^[0-9]+', '{n}')
+           WHEN regexp_matches(s, '[0-9]') THEN '{x}' WHEN len(s) > 24 THEN '{long}' ELSE s END) AS segments
+  FROM row_no LEFT JOIN fit USING (k)),
+tree0 AS (
+  SELECT host, segments, segments AS t, count(*) AS n, count(*) FILTER (says = 'allow') AS a, count(*) FILTER (says = 'block') AS b
+  FROM row GROUP BY ALL),
+"""
+    + "".join(_LEVEL.replace("{k}", str(k)).replace("{next}", str(k + 1)).strip("\n") + "\n" for k in range(4))
+    + r"""
+cell AS (SELECT host, t[1] AS branch, t[2:] AS rest, sum(n) AS n FROM tree4 WHERE len(t) > 0 GROUP BY ALL),
+rest AS (SELECT host, rest, sum(n) AS n_rest FROM cell GROUP BY ALL),
+whole AS (SELECT host, sum(n_rest) AS n_host, count(*) - 1 AS df FROM rest GROUP BY ALL),
+branch AS (
+  SELECT host, branch, sum(n) AS n, sum(n * n / n_rest::DOUBLE) AS q FROM cell JOIN rest USING (host, rest) GROUP BY ALL),
+alike AS (
+  SELECT host, branch FROM branch JOIN whole USING (host) WHERE n_host * q / n - n <= df + 2 * sqrt(2.0::DOUBLE * df)),
+final AS (
+  SELECT tree4.host, segments, a, b,
+         list_concat([CASE WHEN alike.host IS NOT NULL THEN '*' ELSE coalesce(t[1], '') END], t[2:]) AS template
+  FROM tree4 LEFT JOIN alike ON tree4.host = alike.host AND t[1] = branch),
+top AS (SELECT (sum(b) + 1.0::DOUBLE) / (sum(a) + sum(b) + 2.0::DOUBLE) AS share FROM final),
+hosts AS (SELECT host, (sum(b) + 4.0::DOUBLE * (SELECT share FROM top)) / (sum(a) + sum(b) + 4.0::DOUBLE) AS above FROM final GROUP BY host),
+pure AS (
+  SELECT host, template, (sum(b) + 4.0::DOUBLE * any_value(above)) / (sum(a) + sum(b) + 4.0::DOUBLE) AS blocked
+  FROM final JOIN hosts USING (host) GROUP BY ALL)
+SELECT page_id, row.host, path, rule, coalesce(says, CASE WHEN blocked > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+FROM row JOIN final ON row.host = final.host AND row.segments = final.segments
+JOIN pure ON pure.host = final.host AND pure.template = final.template
+"""
+)
+
+SQL = {"op8_urls": URLS, "op9_warc": WARC, "op6_line_dedup": LINE_DEDUP, "op3_decontaminate": DECONTAMINATE, "op5_mix": MIX}
