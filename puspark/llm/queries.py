@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from puspark.llm import decontaminate, language, line_dedup, mixing, near_duplicates, pii, quality, url_filter, warc
+from puspark.llm import decontaminate, embedding_dedup, language, line_dedup, mixing, near_duplicates, pii, quality, url_filter, warc
 from puspark.sources import materialise, read_table
 from puspark.sources.shared import shared_folder
 
@@ -80,4 +80,8 @@ def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_pii": op1_pii, "op2_near_duplicates": op2_near_duplicates, "op3_decontaminate": op3_decontaminate, "op4_quality": op4_quality, "op5_mix": op5_mix, "op6_line_dedup": op6_line_dedup, "op7_language": op7_language, "op8_urls": op8_urls, "op9_warc": op9_warc}
+def op10_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_dedup.near_vectors(read_table(spark, folder, "embeddings"))
+
+
+QUERIES = {"op1_pii": op1_pii, "op2_near_duplicates": op2_near_duplicates, "op3_decontaminate": op3_decontaminate, "op4_quality": op4_quality, "op5_mix": op5_mix, "op6_line_dedup": op6_line_dedup, "op7_language": op7_language, "op8_urls": op8_urls, "op9_warc": op9_warc, "op10_embeddings": op10_embeddings}
