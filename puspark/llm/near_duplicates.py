@@ -280,7 +280,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, pe
                 same = pc.equal(batch.column(0).slice(part.first, part.n), _binary(_class_ids(size, value)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.first, part.n), sets], ["class_id", "shingles"]).filter(same)
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class_id")).distinct().join(classes.select("class_id", "sample.*"), "class_id")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class_id")).distinct().join(classes.select("class_id", "sample.doc_id", "sample.text_key"), "class_id")
     wanted = wanted.select("class_id", F.col("doc_id").alias("i"), F.col("text_key").alias("t"))
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     texts = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_key") == F.col("t")))
@@ -292,21 +292,15 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, pe
     return both.filter(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text).
-
-    Two documents are linked if the Jaccard similarity of their sets of k-word shingles is ``percent`` or more; words
-    are runs of characters other than ASCII white space, A-Z in lower case. The component is named by its least id.
-    Null and empty texts, and texts without words, have an empty set, are linked with nothing and kept. Rows with a
-    null id take part by their text; where no row of a component has an id, its name is null and its rows are kept.
-    Repeated rows are rows of one class each. An empty table gives an empty result; other columns are not read.
-    """
+def labelled(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(doc_id, text_key, n_shingles, component_id, first) of every row; ``first`` marks the rows of a component's least
+    (doc_id, text), null ids last. Rows of the same id and text are alike. Empty sets have no ``first``."""
     docs = docs.select("doc_id", "text")
     rows = materialise(signatures(docs.withColumn("text_key", F.xxhash64("text")), k, ("doc_id", "text_key")))
     some = rows.filter("class_id is not null")
-    sample, minima = F.min(F.struct("doc_id", "text_key")), F.any_value(F.struct("minima", "sketch"))
-    classes = some.groupBy("class_id").agg(F.min("doc_id").alias("doc_id"), sample.alias("sample"), minima.alias("m"))
-    classes = materialise(classes.select("class_id", "doc_id", "sample", "m.*"))
+    sample = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key"))
+    classes = some.groupBy("class_id").agg(sample.alias("sample"), F.any_value(F.struct("minima", "sketch")).alias("m"))
+    classes = materialise(classes.select("class_id", "sample", "m.*"))
     dense = materialise(_sorted(forest(classes)).mapInArrow(_first_round, "tree int, label binary, class_id binary, next_id binary"))
     near = dense.filter("next_id is not null").select(F.least("class_id", "next_id").alias("a"), F.greatest("class_id", "next_id").alias("b")).distinct()
     links = materialise(_confirmed(materialise(near), docs, classes, k, percent))
@@ -319,8 +313,32 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     links = links.unionByName(_confirmed(pairs, docs, classes, k, percent))
     grouped = classes.join(connected_components(links).withColumnRenamed("node", "class_id"), "class_id", "left")
-    grouped = materialise(grouped.select("class_id", "doc_id", F.coalesce("component", "class_id").alias("component")))
-    names = grouped.join(grouped.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select("class_id", "component_id")
-    named = some.join(names, "class_id").select("doc_id", "n_shingles", "component_id")
-    alone = rows.filter("class_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return named.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    grouped = materialise(grouped.select("class_id", "sample", F.coalesce("component", "class_id").alias("component")))
+    names = grouped.join(grouped.groupBy("component").agg(F.min("sample").alias("name")), "component").select("class_id", "name")
+    first = F.col("doc_id").eqNullSafe(F.col("name.doc_id")) & (F.col("text_key") == F.col("name.text_key"))
+    named = some.join(names, "class_id").select("doc_id", "text_key", "n_shingles", F.col("name.doc_id").alias("component_id"), first.alias("first"))
+    alone = rows.filter("class_id is null").select("doc_id", "text_key", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("boolean").alias("first"))
+    return named.unionByName(alone)
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text).
+
+    Two documents are linked if the Jaccard similarity of their sets of k-word shingles is ``percent`` or more; words
+    are runs of characters other than ASCII white space, A-Z in lower case. The component is named by its least id.
+    Null and empty texts, and texts without words, have an empty set, are linked with nothing and kept. Rows with a
+    null id take part by their text; where no row of a component has an id, its name is null and its rows are kept.
+    Repeated rows are rows of one class each. An empty table gives an empty result; other columns are not read.
+    """
+    rows = labelled(docs, k, percent).select("doc_id", "n_shingles", "component_id")
+    return rows.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def without_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` (doc_id, text, any columns) with one row of each component: that of the least id, null ids last, one of
+    them if they repeat. All rows without words stay."""
+    first = labelled(docs, k, percent).filter("first").select(F.col("doc_id").alias("_i"), F.col("text_key").alias("_k")).distinct()
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows = docs.filter(worded).withColumn("_key", F.xxhash64("text"))
+    rows = rows.join(first, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("_key") == F.col("_k")), "left_semi")
+    return rows.dropDuplicates(["doc_id", "_key"]).drop("_key").unionByName(docs.filter(~worded))
