@@ -6,8 +6,9 @@ together. A region is a run of rows with one prefix of three minima. Neighbours
 many rows are cut at longer prefixes (adaptive depth). Candidates are confirmed on full sets, and components are joined.
 
 Two rounds keep the candidates few. The first confirms each row's next neighbour in some trees, which connects groups
-of copies by about as many pairs as rows. The second knows the components and looks at all rows of a region together,
-but only for pairs across components. No round emits all pairs of a group.
+of copies by about as many pairs as rows. The second knows the components: rows of a region that have a candidate in
+another component meet in one task with their full sets, which hands on a spanning forest of the links it finds. No
+round emits all pairs of a group.
 
 Chance that all trees miss a pair of similarity s: (1 - s^3)^16, which is 1e-5 at 0.8 and 2e-7 at 0.85.
 """
@@ -32,10 +33,9 @@ MINIMA = TREES * PREFIX
 FIRST_TREES = 2
 #: Candidates share at least this part of their minima; pairs of similarity 0.8 fall below it with a chance of 3e-6.
 LEAST_SHARED = 0.54
-#: Rows that are compared with each other at a prefix; larger regions are cut at the next byte of the order.
+#: Rows and shingles of a region that are compared in one task; larger regions are cut at the next byte of the order.
 REGION = 2048
-#: Best candidates per row and other component in a region.
-BEST = 16
+REGION_SHINGLES = 1 << 20
 LABEL = 4 * PREFIX + MINIMA
 
 _FACTORS = (mix(np.arange(1, MINIMA + 1, dtype=np.uint64)) | np.uint64(1)).tolist()
@@ -109,7 +109,7 @@ def signatures(docs: DataFrame, k: int, keep: Sequence[str]) -> DataFrame:
 
 
 def forest(classes: DataFrame) -> DataFrame:
-    """(tree, label, class_id): per tree three minima and then a byte of every minimum, in the tree's rotation."""
+    """(tree, label, class_id, size): per tree three minima and then a byte of every minimum, in the tree's rotation."""
     width = 4 * PREFIX
     labels = [
         F.struct(
@@ -118,7 +118,7 @@ def forest(classes: DataFrame) -> DataFrame:
         )
         for t in range(TREES)
     ]
-    return classes.select(F.inline(F.array(*labels)), "class_id")
+    return classes.select(F.inline(F.array(*labels)), "class_id", "size")
 
 
 def _bytes(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
@@ -172,95 +172,126 @@ def _first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = piece["class_id"].combine_chunks()
         after = ids.take(pa.array(np.minimum(np.arange(len(tree)) + 1, len(tree) - 1)))
         after = pc.if_else(pa.array(near), after, pa.scalar(None, pa.binary()))
-        out = pa.Table.from_arrays([piece["tree"], piece["label"], ids, after], ["tree", "label", "class_id", "next_id"]).filter(pa.array(keep))
+        out = pa.Table.from_arrays([piece["tree"], piece["label"], ids, piece["size"], after], ["tree", "label", "class_id", "size", "next_id"]).filter(pa.array(keep))
         yield from out.combine_chunks().to_batches()
         piece, first = following, False
 
 
-def _cut(labels: np.ndarray, start: int, end: int, width: int) -> Iterator[tuple[int, int]]:
-    """A sorted region in parts of at most ``REGION`` rows where longer prefixes can tell the rows apart."""
-    todo = [(start, end, width)]
+def _cut(labels: np.ndarray, sizes: np.ndarray, start: int, end: int, width: int) -> Iterator[tuple[int, int]]:
+    """A sorted region in pieces of bounded rows and shingles, where longer prefixes can tell the rows apart."""
+    before = np.concatenate(([0], np.cumsum(sizes[start:end])))
+    first, todo = start, [(start, end, width)]
     while todo:
         start, end, width = todo.pop()
-        if end - start <= REGION:
+        if end - start <= REGION and before[end - first] - before[start - first] <= REGION_SHINGLES:
             yield start, end
-        elif width == LABEL:  # equal minima throughout
-            for at in range(start, end, REGION // 2):
-                yield at, min(at + REGION, end)
+        elif width == LABEL:  # equal minima throughout: overlapping pieces
+            step = max(1, min(REGION, int(REGION_SHINGLES / sizes[start:end].max(initial=1))) // 2)
+            for at in range(start, end, step):
+                yield at, min(at + 2 * step, end)
         else:
             edges = [start, *(np.flatnonzero(labels[start + 1 : end, width] != labels[start : end - 1, width]) + start + 1).tolist(), end]
-            todo += [(a, b, width + 1) for a, b in zip(edges[:-1], edges[1:])]
+            todo += [(a, b, width + 1) for a, b in zip(edges[:-1], edges[1:]) if b - a > 1]
 
 
-def _across(labels: np.ndarray, component: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Candidates of one region across components: for each row the best of every other component."""
+def _across(labels: np.ndarray, component: np.ndarray) -> np.ndarray:
+    """Rows of a piece that have a candidate in another component."""
     names, code, n = np.unique(component, return_inverse=True, return_counts=True)
-    if len(names) == 1:
-        return
-    minor = np.flatnonzero(code != n.argmax())
+    use = np.zeros(len(code), bool)
+    minor = np.flatnonzero(code != n.argmax()) if len(names) > 1 else ()
     for at in range(0, len(minor), 128):
         own = minor[at : at + 128]
-        shared = _similar(labels[own][:, None, :], labels[None, :, :])
-        i, j = np.nonzero((shared >= LEAST_SHARED) & (code[own][:, None] != code[None, :]))
-        order = np.lexsort((-shared[i, j], code[j], i))
-        i, j = i[order], j[order]
-        group = np.concatenate(([True], (i[1:] != i[:-1]) | (code[j][1:] != code[j][:-1]))) if len(i) else np.zeros(0, bool)
-        place = np.arange(len(i)) - np.maximum.accumulate(np.where(group, np.arange(len(i)), 0))
-        yield own[i[place < BEST]], j[place < BEST]
+        near = (_similar(labels[own][:, None, :], labels[None, :, :]) >= LEAST_SHARED) & (code[own][:, None] != code[None, :])
+        use[own] |= near.any(axis=1)
+        use |= near.any(axis=0)
+    return np.flatnonzero(use)
 
 
-PAIRS = "a binary, b binary, part int, place long, tree int, label binary, class_id binary, component binary"
+PIECES = "piece long, class_id binary, component binary, part int, place long, tree int, label binary, size long"
+PIECE_NAMES = [c.split()[0] for c in PIECES.split(", ")]
 
 
-def _pairs_of(table: pa.Table, known: np.ndarray | None = None) -> tuple[pa.Array, pa.Array]:
-    """Candidates in sorted rows; ``known`` splits the rows where some are missing."""
-    tree, labels = table["tree"].to_numpy(), _bytes(table["label"], LABEL)
-    ids, component = table["class_id"].combine_chunks(), _bytes(table["component"], 16)[:, :8].copy().view(">u8").ravel()
+def _pieces_of(table: pa.Table, first_piece: int, known: np.ndarray | None = None) -> tuple[pa.RecordBatch, int]:
+    """Rows to compare in sorted rows, by piece, and the number of pieces; ``known`` splits the rows where some are missing."""
+    tree, labels, sizes = table["tree"].to_numpy(), _bytes(table["label"], LABEL), table["size"].to_numpy()
+    component = _bytes(table["component"], 16)[:, :8].copy().view(">u8").ravel()
     bounds = _region_bounds(tree, labels, 4 * PREFIX)
     if known is not None:
         bounds = np.union1d(bounds, known)
-    one, other = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    rows, pieces, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
     for start, end in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-        if end - start > 1:
-            for s, e in _cut(labels, start, end, 4 * PREFIX):
-                for i, j in _across(labels[s:e], component[s:e]):
-                    one.append(i + s)
-                    other.append(j + s)
-    return ids.take(pa.array(np.concatenate(one))), ids.take(pa.array(np.concatenate(other)))
-
-
-def _pair_batch(a: pa.Array, b: pa.Array) -> pa.RecordBatch:
-    empty = [pa.nulls(len(a), t) for t in (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())]
-    return pa.RecordBatch.from_arrays([a, b, *empty], [c.split()[0] for c in PAIRS.split(", ")])
+        if end - start > 1 and (component[start + 1 : end] != component[start]).any():
+            for s, e in _cut(labels, sizes, start, end, 4 * PREFIX):
+                use = _across(labels[s:e], component[s:e])
+                if len(use):
+                    rows.append(use + s)
+                    pieces.append(np.full(len(use), first_piece + n))
+                    n += 1
+    at = pa.array(np.concatenate(rows))
+    ids = [table[c].combine_chunks().take(at) for c in ("class_id", "component")]
+    empty = [pa.nulls(len(at), t) for t in (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int64())]
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(pieces)), *ids, *empty], PIECE_NAMES), n
 
 
 def _second_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs, and the rows of the partition's first and last region, which may go on beyond it."""
+    """Rows to compare, by piece; and the rows of the partition's first and last region, which may go on beyond it."""
     pieces = _whole_regions(batches)
-    piece, place = next(pieces, None), 0
-    while piece is not None:
+    table, place, number = next(pieces, None), 0, 0
+    while table is not None:
         following = next(pieces, None)
-        yield _pair_batch(*_pairs_of(piece))
-        bounds = _region_bounds(piece["tree"].to_numpy(), _bytes(piece["label"], LABEL), 4 * PREFIX)
-        edge = np.zeros(len(piece), bool)
+        found, n = _pieces_of(table, (table["part"][0].as_py() << 32) + number)
+        yield found
+        number += n
+        bounds = _region_bounds(table["tree"].to_numpy(), _bytes(table["label"], LABEL), 4 * PREFIX)
+        edge = np.zeros(len(table), bool)
         edge[: min(int(bounds[1]), REGION)] |= place == 0
-        edge[max(int(bounds[-2]), len(piece) - REGION) :] |= following is None
+        edge[max(int(bounds[-2]), len(table) - REGION) :] |= following is None
         if edge.any():
-            places = pa.array((place + np.arange(len(piece)))[edge])
-            kept, n = piece.filter(pa.array(edge)).combine_chunks(), int(edge.sum())
-            arrays = [pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), kept["part"].combine_chunks(), places, *[kept[c].combine_chunks() for c in ("tree", "label", "class_id", "component")]]
-            yield pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in PAIRS.split(", ")])
-        place += len(piece)
-        piece = following
+            kept, count = table.filter(pa.array(edge)).combine_chunks(), int(edge.sum())
+            places = pa.array((place + np.arange(len(table)))[edge])
+            columns = {"piece": pa.nulls(count, pa.int64()), "place": places}
+            yield pa.RecordBatch.from_arrays([columns[c] if c in columns else kept[c].combine_chunks() for c in PIECE_NAMES], PIECE_NAMES)
+        place += len(table)
+        table = following
 
 
 def _at_edges(table: pa.Table) -> pa.Table:
-    """Candidates among the kept rows of one tree; rows that were not neighbours do not meet."""
+    """Rows to compare among the kept rows of one tree; rows that were not neighbours do not meet."""
     table = table.sort_by([("part", "ascending"), ("place", "ascending")]).combine_chunks()
     part, place = table["part"].to_numpy(), table["place"].to_numpy()
     gap = np.flatnonzero((part[1:] == part[:-1]) & (place[1:] != place[:-1] + 1)) + 1
-    a, b = _pairs_of(table, gap)
-    return pa.Table.from_arrays([a, b], ["a", "b"])
+    found, _ = _pieces_of(table, -((table["tree"][0].as_py() + 1) << 32), gap)
+    return pa.Table.from_batches([found]).select(["piece", "class_id", "component"])
+
+
+def _compared(percent: int):
+    """Links across components in one piece, confirmed on full sets: enough of them to connect what is linked."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        ids, sets = table["class_id"].combine_chunks(), table["shingles"].combine_chunks()
+        group = np.unique(_bytes(table["component"], 16).copy().view("V16").ravel(), return_inverse=True)[1].ravel()
+        size = pc.list_value_length(sets).to_numpy(zero_copy_only=False).astype(np.int64)
+        _, term = np.unique(sets.flatten().to_numpy(), return_inverse=True)
+        row = np.repeat(np.arange(len(size)), size)
+        holders = row[np.argsort(term, kind="stable")]
+        ends = np.cumsum(np.bincount(term))
+        starts = np.cumsum(size) - size
+        a, b = [], []
+        for i in np.flatnonzero(group != np.bincount(group).argmax()).tolist():
+            own = term[starts[i] : starts[i] + size[i]]
+            low = np.where(own > 0, ends[own - 1], 0)
+            length = ends[own] - low
+            at = np.arange(length.sum()) + np.repeat(low - (np.cumsum(length) - length), length)
+            common = np.bincount(holders[at], minlength=len(size))
+            linked = np.flatnonzero((100 * common >= percent * (size[i] + size - common)) & (group != group[i]))
+            for j in linked[np.unique(group[linked], return_index=True)[1]].tolist():
+                a.append(i)
+                b.append(j)
+                group[group == group[j]] = group[i]
+        return pa.Table.from_arrays([ids.take(pa.array(a, pa.int64())), ids.take(pa.array(b, pa.int64()))], ["a", "b"])
+
+    return run
 
 
 def _sorted(rows: DataFrame) -> DataFrame:
@@ -268,8 +299,8 @@ def _sorted(rows: DataFrame) -> DataFrame:
     return rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose full sets are similar; sets are made again from one text of each class."""
+def _sets(wanted: DataFrame, docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """(class_id, shingles) of the wanted class ids: sets are made again from one text of each class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -280,12 +311,17 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, pe
                 same = pc.equal(batch.column(0).slice(part.first, part.n), _binary(_class_ids(size, value)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.first, part.n), sets], ["class_id", "shingles"]).filter(same)
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class_id")).distinct().join(classes.select("class_id", "sample.doc_id", "sample.text_key"), "class_id")
+    wanted = wanted.distinct().join(classes.select("class_id", "sample.doc_id", "sample.text_key"), "class_id")
     wanted = wanted.select("class_id", F.col("doc_id").alias("i"), F.col("text_key").alias("t"))
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     texts = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_key") == F.col("t")))
-    sets = texts.groupBy("class_id").agg(F.any_value("text").alias("text")).mapInArrow(run, "class_id binary, shingles array<bigint>")
-    sets = materialise(sets)
+    texts = texts.groupBy("class_id").agg(F.any_value("text").alias("text"))
+    return materialise(texts.mapInArrow(run, "class_id binary, shingles array<bigint>"))
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose full sets are similar."""
+    sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("class_id")), docs, classes, k)
     both = pairs.join(sets.select(F.col("class_id").alias("a"), F.col("shingles").alias("x")), "a")
     both = both.join(sets.select(F.col("class_id").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
@@ -299,19 +335,20 @@ def labelled(docs: DataFrame, k: int, percent: int) -> DataFrame:
     rows = materialise(signatures(docs.withColumn("text_key", F.xxhash64("text")), k, ("doc_id", "text_key")))
     some = rows.filter("class_id is not null")
     sample = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key"))
-    classes = some.groupBy("class_id").agg(sample.alias("sample"), F.any_value(F.struct("minima", "sketch")).alias("m"))
+    classes = some.groupBy("class_id").agg(sample.alias("sample"), F.any_value(F.struct("minima", "sketch", F.col("n_shingles").alias("size"))).alias("m"))
     classes = materialise(classes.select("class_id", "sample", "m.*"))
-    dense = materialise(_sorted(forest(classes)).mapInArrow(_first_round, "tree int, label binary, class_id binary, next_id binary"))
+    dense = materialise(_sorted(forest(classes)).mapInArrow(_first_round, "tree int, label binary, class_id binary, size long, next_id binary"))
     near = dense.filter("next_id is not null").select(F.least("class_id", "next_id").alias("a"), F.greatest("class_id", "next_id").alias("b")).distinct()
     links = materialise(_confirmed(materialise(near), docs, classes, k, percent))
     grouped = connected_components(links)
-    known = dense.select("tree", "label", "class_id").join(grouped.withColumnRenamed("node", "class_id"), "class_id", "left")
+    known = dense.select("tree", "label", "class_id", "size").join(grouped.withColumnRenamed("node", "class_id"), "class_id", "left")
     known = _sorted(known.withColumn("component", F.coalesce("component", "class_id"))).withColumn("part", F.spark_partition_id())
-    found = materialise(known.mapInArrow(_second_round, PAIRS))
-    edges = found.filter("label is not null").groupBy("tree").applyInArrow(_at_edges, "a binary, b binary")
-    pairs = found.filter("label is null").select("a", "b").unionByName(edges)
-    pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    links = links.unionByName(_confirmed(pairs, docs, classes, k, percent))
+    found = materialise(known.mapInArrow(_second_round, PIECES))
+    edges = found.filter("piece is null").groupBy("tree").applyInArrow(_at_edges, "piece long, class_id binary, component binary")
+    pieces = materialise(found.filter("piece is not null").select("piece", "class_id", "component").unionByName(edges))
+    sets = _sets(pieces.select("class_id"), docs, classes, k)
+    more = pieces.join(sets, "class_id").groupBy("piece").applyInArrow(_compared(percent), "a binary, b binary")
+    links = links.unionByName(more)
     grouped = classes.join(connected_components(links).withColumnRenamed("node", "class_id"), "class_id", "left")
     grouped = materialise(grouped.select("class_id", "sample", F.coalesce("component", "class_id").alias("component")))
     names = grouped.join(grouped.groupBy("component").agg(F.min("sample").alias("name")), "component").select("class_id", "name")
@@ -337,8 +374,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 def without_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` (doc_id, text, any columns) with one row of each component: that of the least id, null ids last, one of
     them if they repeat. All rows without words stay."""
-    first = labelled(docs, k, percent).filter("first").select(F.col("doc_id").alias("_i"), F.col("text_key").alias("_k")).distinct()
+    first = labelled(docs, k, percent).filter("first").select("doc_id", "text_key").distinct().toDF("_first_id", "_first_key")
     worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    rows = docs.filter(worded).withColumn("_key", F.xxhash64("text"))
-    rows = rows.join(first, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("_key") == F.col("_k")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "_key"]).drop("_key").unionByName(docs.filter(~worded))
+    rows = docs.filter(worded).withColumn("_text_key", F.xxhash64("text"))
+    rows = rows.join(first, F.col("doc_id").eqNullSafe(F.col("_first_id")) & (F.col("_text_key") == F.col("_first_key")), "left_semi")
+    return rows.dropDuplicates(["doc_id", "_text_key"]).drop("_text_key").unionByName(docs.filter(~worded))
