@@ -9,16 +9,18 @@ from puspark.sources.shared import materialise
 
 
 def _nearest(edges: DataFrame) -> DataFrame:
-    """Every edge u -> v with ``m``, the least neighbour of u. Minima combine before the shuffle; a node with very many
-    neighbours is a skewed key of a sort-merge join, which adaptive execution splits."""
-    return edges.join(edges.groupBy("u").agg(F.min("v").alias("m")), "u")
+    """Every edge u -> v with ``m``, the least neighbour of u. Minima combine before the shuffle and are written, so that
+    both sides of the join are shuffled for it: adaptive execution can split a node with very many neighbours then."""
+    return edges.join(materialise(edges.groupBy("u").agg(F.min("v").alias("m"))), "u")
 
 
 def _step(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = F.least("u", "m")
     large = _nearest(both).filter("v > u").select(F.col("v").alias("u"), least.alias("v")).filter("u > v").distinct()
-    small = _nearest(large).select(F.inline(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))))
+    large = materialise(large)
+    ends = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+    small = _nearest(large).select(F.inline(ends))
     return small.filter("u > v").distinct()
 
 
