@@ -101,9 +101,11 @@ def repeated_runs(docs: DataFrame, least: int = WORDS) -> DataFrame:
     """
     found = materialise(fingerprinted(docs, least))
     shared = found.select(F.explode("marks").alias("mark")).groupBy("mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("mark")
+    shared = materialise(shared)  # so that the join shuffles both sides for itself, and skew can be split
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "first_line", "last_line")
     near = materialise(found.select("doc_id", "text_key", F.inline("windows")).join(shared, "mark", "left_semi"))
     firsts = near.groupBy("content").agg(F.min(order).alias("origin"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    firsts = materialise(firsts)
     own = F.col("doc_id").eqNullSafe(F.col("origin.doc_id")) & (F.col("text_key") == F.col("origin.text_key"))
     later = near.join(firsts, "content").filter(~own | (F.col("first_line") > F.col("origin.last_line")))
     return later.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("first_line", "last_line")).alias("runs"))  # within one text
@@ -129,9 +131,9 @@ def dedup_lines(docs: DataFrame, least: int = WORDS) -> DataFrame:
     of ``docs`` is replaced.
     """
     docs = docs.drop("n_removed")
-    runs = repeated_runs(docs, least).select(F.col("doc_id").alias("_i"), F.col("text_key").alias("_k"), "runs")
-    rows = docs.join(runs, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.xxhash64("text") == F.col("_k")), "left")
-    rows = rows.select(*[docs[c] for c in docs.columns], F.col("runs").alias("_runs"))
+    runs = repeated_runs(docs.select("doc_id", "text"), least).toDF("_dedup_id", "_dedup_key", "_dedup_runs")
+    rows = docs.join(runs, F.col("doc_id").eqNullSafe(F.col("_dedup_id")) & (F.xxhash64("text") == F.col("_dedup_key")), "left")
+    rows = rows.select(*docs.columns, "_dedup_runs")
     at, names = docs.columns.index("text"), [*docs.columns, "n_removed"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
