@@ -31,29 +31,6 @@ def window_kth(values, weights, start, stop, kth):
     return levels[answer]
 
 
-def window_medians(values, start, stop):
-    """Medians of odd-sized windows ``[start, stop)``."""
-    return window_kth(values, np.ones(len(values), dtype=np.int64), start, stop, (stop - start) // 2)
-
-
-def smooth_sequence(values, half):
-    """Running median of half-width ``half`` over a whole short sequence, ends included."""
-    values = np.asarray(values, dtype=np.float64)
-    n = len(values)
-    if half == 0:
-        return values
-    inner = np.arange(half, n - half)
-    mixed = values.copy()
-    mixed[inner] = window_medians(values, inner - half, inner + half + 1)
-    out = mixed.copy()
-    near = np.arange(1, half)
-    out[near] = window_medians(mixed, np.zeros_like(near), 2 * near + 1)
-    out[n - 1 - near] = window_medians(mixed[::-1], np.zeros_like(near), 2 * near + 1)
-    out[0] = np.median([mixed[0], out[1], 3 * out[1] - 2 * out[2]])
-    out[-1] = np.median([mixed[-1], out[-2], 3 * out[-2] - 2 * out[-3]])
-    return out
-
-
 def to_runs(first, values):
     """Run-length encode consecutive equal values starting at position ``first``: (positions, lengths, values)."""
     edge = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))

@@ -5,10 +5,11 @@ from __future__ import annotations
 import math
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from puspark.operators.checks import require_columns
+from puspark.operators.scan import double_array
 
 # fixed values: grid size and support of the binned normal-kernel estimate
 GRID_POINTS = 401
@@ -143,26 +144,25 @@ def kde_grid(spark: SparkSession, binned: DataFrame, plans: dict[int, KdePlan])
 def density_at(unlabeled: DataFrame, grid: DataFrame, plans: dict[int, KdePlan]) -> DataFrame:
     """Add ``f_pos`` and ``f_unl``: both densities at ``y``, linear between grid points, flat beyond the ends.
 
-    The grid cell of a score is computed, so each density is one lookup in a 400-row broadcast table.
+    The grid is worked out once. Its 401 values per class go into the expression as literals and the cell of a score
+    is computed, so the scores are read in one narrow pass without a join.
     """
-    out = unlabeled
-    along = Window.partitionBy("label").orderBy("bin")
-    cells = grid.select("label", F.col("bin").alias("_cell"), F.col("f").alias("_f0"), F.lead("f").over(along).alias("_f1"))
+    values = {(row["label"], row["bin"]): row["f"] for row in grid.collect()}
+    found = {}
     for label, name in ((POSITIVE, "f_pos"), (UNLABELED, "f_unl")):
         p = plans[label]
+        table = double_array([values[label, b] for b in range(GRID_POINTS)])
         place = (F.col("y") - F.lit(p.start)) / F.lit(p.step)
         cell = F.least(F.greatest(F.floor(place), F.lit(0)), F.lit(GRID_POINTS - 2)).cast("int")
-        part = F.least(F.greatest(place - F.col("_cell"), F.lit(0.0)), F.lit(1.0))
-        mine = cells.filter((F.col("label") == label) & F.col("_f1").isNotNull()).drop("label")
-        out = (
-            out.withColumn("_cell", cell)
-            .join(F.broadcast(mine), "_cell")
-            .withColumn(name, F.col("_f0") + (F.col("_f1") - F.col("_f0")) * part)
-            .drop("_cell", "_f0", "_f1")
-        )
-    return out
+        part = F.least(F.greatest(place - cell, F.lit(0.0)), F.lit(1.0))
+        low, high = F.get(table, cell), F.get(table, cell + 1)
+        found[name] = low + (high - low) * part
+    return unlabeled.withColumns(found)
 
 
 def raw_ratio(densities: DataFrame) -> DataFrame:
-    """Add ``r``, positive over unlabeled density; every unlabeled score carries its own kernel mass, so it is finite."""
-    return densities.withColumn("r", F.try_divide("f_pos", "f_unl"))
+    """Add ``r``, positive over unlabeled density. Every unlabeled score carries its own kernel mass, so a missing ratio
+    is an error."""
+    r = F.try_divide("f_pos", "f_unl")
+    missing = F.raise_error(F.lit("the ratio of the densities is missing at a score"))
+    return densities.withColumn("r", F.when(r.isNull() | F.isnan(r), missing).otherwise(r))

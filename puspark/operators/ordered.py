@@ -6,18 +6,17 @@ A sequence is a table of runs (``rn``, ``n_rows``, value): the value holds at po
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from typing import Any, NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from puspark.functions.medians import smooth_sequence, to_runs, window_kth
+from puspark.functions.medians import to_runs, window_kth
 from puspark.operators.checks import require_columns
-from puspark.operators.scan import BLOCK_ROWS, Scan, bucket_edges, two_level_scan, with_bucket
+from puspark.operators.scan import BLOCK_ROWS, Scan, block_size, bucket_edges, two_level_scan, with_bucket
 from puspark.sources.shared import materialise
 
 RUNS = "rn long, n_rows long, r double"
@@ -187,8 +186,6 @@ def _core_band(pieces: DataFrame, asked: DataFrame, size: int) -> DataFrame:
     """Per asked block: the distinct core values near the middle rank (kind 1), the count of those below (kind 2)."""
     edges = bucket_edges(pieces.select("r"), "r", block_rows=4 * size)
     placed = with_bucket(pieces, "r", edges, "_bucket")
-    if not edges:
-        placed = placed.withColumn("_bucket", F.lit(0))
     # core counts per value bucket: cumulative counts along the blocks, read off at both ends of each core
     cells = placed.groupBy("_bucket", "_block").agg(F.sum("n_rows").alias("_c"))
     ends = F.array(
@@ -232,25 +229,24 @@ def _core_band(pieces: DataFrame, asked: DataFrame, size: int) -> DataFrame:
     )
 
 
-def _middle(a: Column, b: Column, c: Column) -> Column:
-    return F.greatest(F.least(a, b), F.least(F.greatest(a, b), c))
+def _middle(a: float, b: float, c: float) -> float:
+    return sorted((a, b, c))[1]
 
 
 def rolling_median(runs: DataFrame, n: int, denom: float = 20, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Running median of a sequence of ``n`` positions with a window of n / denom, as runs.
 
     Towards the ends the window shrinks over the already smoothed sequence, and the two end points follow
-    Tukey's rule. A sequence that fits one block is smoothed in one task, a longer one block by block.
+    Tukey's rule. A NULL or NaN in the sequence is an error: it has no rank.
     """
     require_columns(runs, ["rn", "n_rows", "r"])
     half = (median_window(n, denom) - 1) // 2
-    runs = runs.select("rn", "n_rows", "r")
+    missing = F.raise_error(F.lit("a value of the sequence is missing"))
+    runs = runs.select("rn", "n_rows", F.when(F.col("r").isNull() | F.isnan("r"), missing).otherwise(F.col("r")).alias("r"))
     if half == 0:
         return runs
-    if n <= block_rows:
-        return _smooth_short(runs, half)
     # blocks grow with the root of n, so that the table of (block, value bucket) counts stays smaller than the data
-    block_rows = max(block_rows, math.isqrt(n))
+    block_rows = block_size(n, block_rows)
 
     def trim(df):
         return df.select("rn", "n_rows", "r")
@@ -275,24 +271,12 @@ def _end_points(mixed: DataFrame, smoothed: DataFrame, n: int) -> DataFrame:
         covers = F.lit(i).between(F.col("rn"), F.col("rn") + F.col("n_rows") - 1)
         return F.max(F.when(covers, F.col("r")))
 
-    outer = mixed.agg(value(1).alias("a1"), value(n).alias("b1"))
-    inside = smoothed.agg(
-        value(2).alias("a2"), value(3).alias("a3"), value(n - 1).alias("b2"), value(n - 2).alias("b3")
-    )
-    row = {**outer.first().asDict(), **inside.first().asDict()}
-    ends = outer.sparkSession.range(2).select(
+    a1, b1 = mixed.agg(value(1), value(n)).first()
+    a2, a3, b2, b3 = smoothed.agg(value(2), value(3), value(n - 1), value(n - 2)).first()
+    first = _middle(a1, a2, 3 * a2 - 2 * (b1 if n == 3 else a3))
+    last = _middle(b1, b2, 3 * b2 - 2 * (first if n == 3 else b3))
+    return mixed.sparkSession.range(2).select(
         F.when(F.col("id") == 0, 1).otherwise(n).cast("long").alias("rn"),
         F.lit(1).cast("long").alias("n_rows"),
-        *[F.when(F.col("id") == 0, row[f"a{j}"]).otherwise(row[f"b{j}"]).alias(f"v{j}") for j in (1, 2, 3)],
+        F.when(F.col("id") == 0, first).otherwise(last).alias("r"),
     )
-    v1, v2, v3 = (F.col(f"v{j}") for j in (1, 2, 3))
-    return ends.select("rn", "n_rows", _middle(v1, v2, 3 * v2 - 2 * v3).alias("r"))
-
-
-def _smooth_short(runs: DataFrame, half: int) -> DataFrame:
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("rn")
-        rn, n_rows, r = to_runs(1, smooth_sequence(np.repeat(rows["r"], rows["n_rows"]), half))
-        return pd.DataFrame({"rn": rn, "n_rows": n_rows, "r": r})
-
-    return runs.groupBy(F.lit(0).alias("_one")).applyInPandas(solve, RUNS)

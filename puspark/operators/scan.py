@@ -15,8 +15,9 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_ROWS = 1 << 18
-MAX_BUCKETS = 1 << 16
+BLOCK_ROWS = 1 << 15
+#: Rows per block that the edges between blocks are taken from.
+EDGE_ROWS = 64
 
 
 class Scan(NamedTuple):
@@ -33,23 +34,32 @@ def double_array(values: Sequence[float]) -> Column:
     return F.expr(f"array({', '.join(f'{float(v)!r}D' for v in values)})")
 
 
-def bucket_edges(df: DataFrame, column: str, block_rows: int = BLOCK_ROWS) -> list[float]:
-    """Strictly increasing quantile edges of ``column``, about ``block_rows`` rows apart; none for small input.
+def block_size(n: int, block_rows: int = BLOCK_ROWS) -> int:
+    """Rows per block: at least ``block_rows``, and the root of ``n`` beyond, so that neither blocks nor totals gather."""
+    return max(block_rows, math.isqrt(n))
 
-    The edges only balance the work: any edges give the same results.
+
+def bucket_edges(df: DataFrame, column: str, n: int | None = None, block_rows: int = BLOCK_ROWS) -> list[float]:
+    """Strictly increasing quantile edges of ``column``, about one block apart; ``n``: rows of ``df``, or a bound of them.
+
+    The edges only balance the work: any edges give the same results. So they are taken from a fixed number of rows
+    per block, chosen by a hash of the value, and no task merges summaries of the whole table.
     """
-    parts = min(math.ceil(df.count() / block_rows), MAX_BUCKETS)
+    n = df.count() if n is None else n
+    parts = math.ceil(n / block_size(n, block_rows))
     if parts < 2:
         return []
-    shares = [i / parts for i in range(1, parts)]
-    quantiles = df.agg(F.percentile_approx(column, double_array(shares), max(10_000, 4 * parts)).alias("q")).first()["q"]
+    every = max(1, n // (parts * EDGE_ROWS))
+    chosen = df.filter(F.pmod(F.xxhash64(column), F.lit(every)) == 0)
+    shares = double_array([i / parts for i in range(1, parts)])
+    quantiles = chosen.agg(F.percentile_approx(column, shares, max(10_000, 4 * parts)).alias("q")).first()["q"]
     return sorted(set(quantiles or []))
 
 
 def with_bucket(df: DataFrame, column: str, edges: Sequence[float], name: str = "bucket") -> DataFrame:
-    """Add the number of edges at or below ``column``; without edges there is no bucket to add."""
+    """Add the number of edges at or below ``column``: 0 everywhere if there are none."""
     if not edges:
-        return df
+        return df.withColumn(name, F.lit(0))
     splits = [-math.inf, *edges, math.inf]
     placed = Bucketizer(splits=splits, inputCol=column, outputCol=name, handleInvalid="keep").transform(df)
     return placed.withColumn(name, F.col(name).cast("int"))
@@ -58,12 +68,7 @@ def with_bucket(df: DataFrame, column: str, edges: Sequence[float], name: str =
 def two_level_scan(
     df: DataFrame, scans: Sequence[Scan], order: Sequence[str], block: str, keys: Sequence[str] = ()
 ) -> DataFrame:
-    """Add running aggregates along ``order`` within ``keys``; ``block`` must not decrease along the order.
-
-    A table without the column ``block`` is one that was found to fit one block: a window does.
-    """
-    if block not in df.columns:
-        return _one_level_scan(df, scans, order, keys)
+    """Add running aggregates along ``order`` within ``keys``; ``block`` must not decrease along the order."""
     groups = [*keys, block]
     values = [f"_v_{s.name}" for s in scans]
     total = {"sum": F.sum, "max": F.max}

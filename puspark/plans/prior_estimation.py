@@ -60,16 +60,16 @@ def monotone(dens: Densities, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Raw ratio with positions and the partial running maximum."""
     unlabeled = dens.plans[UNLABELED]
     scores = dens.scores.filter(dens.scores["label"] == UNLABELED)
-    edges = bucket_edges(scores, "y", block_rows=block_rows) if unlabeled.n > block_rows else []
+    edges = bucket_edges(scores, "y", unlabeled.n, block_rows)
     return monotone_ratio(raw_ratio(dens.at_unlabeled), unlabeled.mean, edges)
 
 
 def density_ratio(dens: Densities, denom: float = 20, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Runs (rn, n_rows, r) of the monotone, smoothed ratio along the unlabeled scores."""
     n = dens.plans[UNLABELED].n
-    runs = monotone(dens, block_rows).select("rn", "n_rows", "r")
-    # a longer sequence is read by several passes of the block-wise median
-    return rolling_median(runs if n <= block_rows else materialise(runs), n, denom, block_rows)
+    # written once, as the median reads it in several passes
+    runs = materialise(monotone(dens, block_rows).select("rn", "n_rows", "r"))
+    return rolling_median(runs, n, denom, block_rows)
 
 
 def estimate_prior(

@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import puspark as pu
-from puspark.functions.medians import smooth_sequence, to_runs, window_kth
+from puspark.functions.medians import to_runs, window_kth
 from puspark.operators.ordered import Windows, block_payload, median_window, range_medians
 from tests import brute
 
@@ -55,7 +55,7 @@ def test_partial_running_max_floor_and_blocks(spark):
     ],
 )
 def test_running_median_golden(spark, values, half, expected):
-    assert list(smooth_sequence(values, half)) == expected
+    assert brute.running_median(values, half) == expected
     n = len(values)
     denom = n / (2 * half + 1)
     assert median_window(n, denom) == 2 * half + 1
@@ -72,13 +72,6 @@ def test_median_window_longer_than_data():
     assert median_window(6, 0.5) == 5
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(0, 6), min_size=1, max_size=40), st.data())
-def test_smooth_sequence_matches_brute_force(values, data):
-    half = data.draw(st.integers(0, (len(values) - 1) // 2))
-    assert list(smooth_sequence(values, half)) == brute.running_median(values, half)
-
-
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 5), st.integers(1, 4)), min_size=1, max_size=20), st.data())
 def test_window_kth_counts_weights(items, data):
@@ -125,7 +118,7 @@ def test_block_medians_keep_tasks_small(spark, name):
 
 
 @pytest.mark.parametrize("name", list(shapes(10)))
-def test_rolling_median_blocks_equal_short_form(spark, name):
+def test_rolling_median_is_the_same_at_any_block_size(spark, name):
     n = 900
     values = shapes(n)[name]
     expected = brute.running_median(values, (median_window(n, 3) - 1) // 2)
@@ -133,6 +126,41 @@ def test_rolling_median_blocks_equal_short_form(spark, name):
     assert values_of(pu.rolling_median(as_runs(spark, values), n, 3, block_rows=16), 16) == expected
 
 
+@pytest.mark.parametrize("values, half", [([3, 1, 2], 1), ([2, 2, 5, 1], 1), ([4, 1, 3, 5, 2], 2), ([1] * 7, 3)])
+def test_rolling_median_of_very_short_sequences(spark, values, half):
+    n = len(values)
+    for block_rows in (1, 2, 50):
+        got = values_of(pu.rolling_median(sequence(spark, values), n, n / (2 * half + 1), block_rows))
+        assert got == brute.running_median(values, half)
+
+
+@pytest.mark.parametrize("value", [None, float("nan")])
+def test_missing_value_is_an_error(spark, value):
+    runs = spark.createDataFrame([(k + 1, 1, 1.0 if k != 4 else value) for k in range(60)], "rn long, n_rows long, r double")
+    with pytest.raises(Exception, match="missing"):
+        pu.rolling_median(runs, 60).collect()
+
+
+def test_median_has_a_group_per_block(spark, monkeypatch):
+    """No plan gathers the sequence in one group, however short it is."""
+    from pyspark.sql import GroupedData
+
+    grouped = []
+    held = GroupedData.applyInPandas
+    monkeypatch.setattr(GroupedData, "applyInPandas", lambda self, *a, **b: grouped.append(str(self)) or held(self, *a, **b))
+    pu.rolling_median(as_runs(spark, shapes(50)["random"]), 50, 3)
+    assert grouped and all("q" in g for g in grouped)
+
+
+def test_edges_take_a_few_rows_per_block(spark):
+    from puspark.operators.scan import EDGE_ROWS, bucket_edges
+
+    df = spark.range(200_000).select((F.col("id") * 7919 % 200_000 / 200_000).alias("y"))
+    edges = bucket_edges(df, "y", 200_000, 2_000)
+    assert len(edges) == 99 and all(abs(e - (k + 1) / 100) < 0.03 for k, e in enumerate(edges))
+    assert bucket_edges(df, "y", 100, 2_000) == [] and EDGE_ROWS * 100 < 200_000
+
+
 def test_positions(spark):
     scores = [0.5] * 40 + [0.1, 0.1, 0.9, 0.3] * 5
     df = spark.createDataFrame([(s,) for s in scores], "y double")
