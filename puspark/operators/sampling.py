@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from puspark.operators.checks import require_columns
-from puspark.operators.joins import HOT_ROWS, skewed_join, small_side
+from puspark.operators.joins import BROADCAST_ROWS, HOT_ROWS, skewed_join, small_side
 from puspark.operators.scan import Scan, two_level_scan
 from puspark.sources.shared import materialise
 
@@ -43,7 +43,13 @@ def assign_folds(
         raise ValueError("choose either strata or group")
     require_columns(df, [c for c in (key, strata, group) if c])
     side = [c for c in (strata, group) if c]
-    entities = df.groupBy(key).agg(*[F.max(c).alias(c) for c in side]) if side else df.select(key).distinct()
+    if side:  # one value per entity
+        differs = F.raise_error(F.concat(F.lit(f"differing values of {side[0]} for {key} "), F.col(key).cast("string")))
+        agreed = F.min(side[0]).eqNullSafe(F.max(side[0])) & ((F.count(side[0]) == 0) | (F.count(side[0]) == F.count(F.lit(1))))
+        entities = df.groupBy(key).agg(F.max(side[0]).alias(side[0]), agreed.alias("_one"))
+        entities = entities.select(key, F.when(F.col("_one"), F.col(side[0])).otherwise(differs).alias(side[0]))
+    else:
+        entities = df.select(key).distinct()
     if group:  # rows without a group form one
         entities = entities.withColumn("_group", F.coalesce(F.col(group).cast("string"), F.lit("")))
     unit = "_group" if group else key
@@ -70,6 +76,20 @@ def with_folds(df: DataFrame, folds: DataFrame, key: str = "ind_id") -> DataFram
     return df.join(folds, key)
 
 
+def require_partition(df: DataFrame, folds: DataFrame, key: str = "ind_id") -> None:
+    """Every entity of ``df`` is in exactly one fold per seed: otherwise a model could be assessed on its training rows,
+    or rows would be left out of training and scores. Counts combine before their shuffle."""
+    repeated = folds.groupBy("common_seed", key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).collect()
+    if repeated:
+        row = repeated[0]
+        raise ValueError(f"{key} {row[key]!r} is in {row['n']} folds of seed {row['common_seed']}; one is expected")
+    seeds = folds.agg(F.count_distinct("common_seed")).first()[0]
+    placed = folds.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    lost = df.select(key).distinct().join(placed, key, "left").filter(F.coalesce("_n", F.lit(0)) < seeds).limit(1).collect()
+    if lost:
+        raise ValueError(f"{key} {lost[0][key]!r} has no fold in {seeds - (lost[0]['_n'] or 0)} of {seeds} seeds")
+
+
 def split(df: DataFrame, folds: DataFrame, common_seed: int, fold_id: str, key: str = "ind_id"):
     """(analysis, assessment) rows of one fold of one seed."""
     placed = with_folds(df, folds_for(folds, common_seed), key)
@@ -121,26 +141,48 @@ def _cutoffs(hist: DataFrame, groups: Sequence[str], label: str, ratio: float) -
     )
 
 
-def _take(rows: DataFrame, groups: Sequence[str], label: str, key: str) -> DataFrame:
-    """Rows before the edge prefix, plus the first ``_left`` rows of the edge prefix itself."""
-    inside = rows.filter(F.col("_edge").isNull() | (F.col("_prefix") < F.col("_edge")))
+def _last_kept(rows: DataFrame, groups: Sequence[str], label: str, key: str) -> DataFrame:
+    """Per group and class the last row that is kept of the edge prefix: ``_left`` rows of it are, in order of the draw."""
     place = F.row_number().over(Window.partitionBy(*groups, label).orderBy("_draw", key))
     edge = rows.filter(F.col("_prefix") == F.col("_edge")).withColumn("_place", place)
-    kept = edge.filter(F.col("_place") <= F.col("_left")).drop("_place")
-    return inside.unionByName(kept).drop("_draw", "_prefix", "_edge", "_left")
+    last = F.struct(F.col("_draw").alias("draw"), F.col(key).alias("key"))
+    return edge.filter(F.col("_place") == F.col("_left")).select(*groups, label, last.alias("_last"))
+
+
+def _is_kept(key: str) -> Column:
+    """A class smaller than its cap is kept whole; of others what comes no later than the last kept row."""
+    here = F.struct(F.col("_draw").alias("draw"), F.col(key).alias("key"))
+    upto = (F.col("_prefix") == F.col("_edge")) & F.coalesce(here <= F.col("_last"), F.lit(False))
+    return F.col("_edge").isNull() | (F.col("_prefix") < F.col("_edge")) | upto
+
+
+def _broadcast_joined(rows: DataFrame, cut: DataFrame, matched: Column) -> DataFrame:
+    """``rows`` joined with the cut-offs by broadcast: as few rows as models and classes, and more in several passes."""
+    parts = max(1, -(-cut.count() // BROADCAST_ROWS))
+    slot = F.pmod(F.xxhash64(*cut.columns), F.lit(parts))
+    pieces = [rows.join(F.broadcast(cut.filter(slot == i) if parts > 1 else cut), matched) for i in range(parts)]
+    out = pieces[0]
+    for piece in pieces[1:]:
+        out = out.unionByName(piece)
+    return out
 
 
 def downsample(df: DataFrame, label: str, ratio: float, seed: int, key: str = "ind_id") -> DataFrame:
     """At most ``floor(ratio * size of the smallest class)`` rows of each class, drawn by ``seed``.
 
-    One narrow pass counts rows by (class, hash prefix), a second keeps whole prefixes up to the cap; only
-    the rows of the one prefix the cap falls in are ranked.
+    Narrow passes count rows by (class, hash prefix) and rank those of the one prefix that the cap falls in; the rows
+    themselves are read once, and kept by comparing their draw with the last one kept.
     """
-    rows = df.withColumn("_draw", draw(F.lit(seed), key)).withColumn("_prefix", F.substring("_draw", 1, PREFIX_DIGITS))
+    drawn = draw(F.lit(seed), key)
+    rows = df.withColumn("_draw", drawn).withColumn("_prefix", F.substring("_draw", 1, PREFIX_DIGITS))
     hist = rows.groupBy(label, "_prefix").agg(F.count(F.lit(1)).alias("n"))
     cut = materialise(_cutoffs(hist, [], label, ratio)).withColumnRenamed(label, "_label")
-    joined = rows.join(small_side(cut), F.col(label).eqNullSafe(F.col("_label"))).drop("_label")
-    return _take(joined, [], label, key)
+    same = F.col(label).eqNullSafe(F.col("_label"))
+    narrow = _broadcast_joined(rows.select(label, key, "_draw", "_prefix"), cut, same).drop("_label")
+    last = _last_kept(narrow, [], label, key).withColumnRenamed(label, "_l")
+    cut = materialise(cut.join(last, F.col("_label").eqNullSafe(F.col("_l")), "left").drop("_l"))
+    kept = _broadcast_joined(rows, cut, same).filter(_is_kept(key))
+    return kept.drop("_label", "_draw", "_prefix", "_edge", "_left", "_last")
 
 
 def downsample_bags(
@@ -150,7 +192,6 @@ def downsample_bags(
 
     ``folded`` holds each row once per seed with its fold. Counts are taken per *assessment* fold and an analysis
     set's counts are the seed's total less its own fold's, so no row is repeated per fold before it is selected.
-    The cut-offs, one row per model and class, are broadcast: there are as few as models to be fitted.
     """
     model = ["common_seed", "bag", "fold_id"]
     seeds = bags.select("common_seed", "bag", "recipe_seed", "counter")
@@ -175,14 +216,8 @@ def downsample_bags(
         )
         .filter("n > 0")
     )
-    cut = materialise(_cutoffs(hist, model, label, ratio)).select(
-        F.col("common_seed").alias("_seed"),
-        F.col("bag").alias("_bag"),
-        F.col("fold_id").alias("_fold"),
-        F.col(label).alias("_label"),
-        "_edge",
-        "_left",
-    )
+    renamed = {"common_seed": "_seed", "bag": "_bag", "fold_id": "_fold", label: "_label"}
+    cut = materialise(_cutoffs(hist, model, label, ratio).withColumnsRenamed(renamed))
     matched = (
         (F.col("common_seed") == F.col("_seed"))
         & (F.col("bag") == F.col("_bag"))
@@ -190,12 +225,14 @@ def downsample_bags(
         & (F.col("fold_id") != F.col("_fold"))
         & (F.col("_edge").isNull() | (F.col("_prefix") <= F.col("_edge")))
     )
-    rows = (
-        drawn.join(small_side(cut), matched)
-        .withColumn("fold_id", F.col("_fold"))
-        .drop("_seed", "_bag", "_fold", "_label")
-    )
-    return _take(rows, model, label, key)
+    narrow = drawn.select("common_seed", "bag", "fold_id", label, key, "_draw", "_prefix")
+    names = list(renamed.values())
+    last = _last_kept(_broadcast_joined(narrow, cut, matched & (F.col("_prefix") == F.col("_edge"))), names[:3], "_label", key)
+    last = last.withColumnsRenamed({c: f"{c}2" for c in names})
+    same = [F.col(c).eqNullSafe(F.col(f"{c}2")) for c in names]
+    cut = materialise(cut.join(last, same, "left").drop(*[f"{c}2" for c in names]))
+    rows = _broadcast_joined(drawn, cut, matched).filter(_is_kept(key)).withColumn("fold_id", F.col("_fold"))
+    return rows.drop(*names, "_draw", "_prefix", "_edge", "_left", "_last")
 
 
 def latin_hypercube(
@@ -204,7 +241,8 @@ def latin_hypercube(
     """``n`` space-filling configs per seed: (common_seed, config, one column per parameter).
 
     Each parameter's range is cut into n equal strata and every stratum's mid-point is used once. Integer bounds
-    give integer values.
+    give integer values, both ends as likely as the others: the strata then divide the whole numbers of the range. Where
+    these are fewer than n, configs may agree in all parameters; one of them is kept, so there may be fewer than n.
     """
     grid = spark.range(1, n + 1).select(
         F.explode(F.array(*[F.lit(int(s)) for s in seeds])).alias("common_seed"), F.col("id").cast("int").alias("config")
@@ -213,10 +251,10 @@ def latin_hypercube(
         order = Window.partitionBy("common_seed").orderBy(
             F.md5(F.concat_ws("|", "common_seed", F.lit(name), "config")), "config"
         )
-        value = F.lit(float(low)) + (F.row_number().over(order) - 0.5) / n * (high - low)
+        part = (F.row_number().over(order) - 0.5) / n
         whole = isinstance(low, int) and isinstance(high, int)
-        grid = grid.withColumn(name, F.round(value).cast("int") if whole else value)
-    return grid
+        grid = grid.withColumn(name, (low + F.floor(part * (high - low + 1))).cast("int") if whole else low + part * F.lit(float(high - low)))
+    return grid.groupBy("common_seed", *ranges).agg(F.min("config").alias("config")).select("common_seed", "config", *ranges)
 
 
 def explicit_grid(bags: DataFrame, grid: DataFrame) -> DataFrame:

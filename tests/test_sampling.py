@@ -147,3 +147,28 @@ def test_explicit_grid(spark):
     assert rows_of(pu.explicit_grid(pu.make_bags(spark, [3, 4], 2), grid), "common_seed", "config", "num_trees") == {
         (s, c, 10 * c) for s in (3, 4) for c in (1, 2)
     }
+
+
+def test_differing_strata_of_an_entity_are_an_error(spark):
+    df = spark.createDataFrame([(1, 0), (1, 1), (2, 0)], "ind_id int, known_pos int")
+    with pytest.raises(Exception, match="differing values of known_pos"):
+        pu.assign_folds(df, 2, [1], strata="known_pos").collect()
+
+
+def test_grid_has_distinct_configs_that_reach_both_ends(spark):
+    got = pu.latin_hypercube(spark, {"max_depth": (2, 4)}, 30, [1, 2]).collect()
+    assert sorted((r["common_seed"], r["max_depth"]) for r in got) == [(s, d) for s in (1, 2) for d in (2, 3, 4)]
+    wide = pu.latin_hypercube(spark, {"max_depth": (2, 4), "rate": (0.0, 1.0)}, 9, [1]).collect()
+    assert sorted(r["max_depth"] for r in wide) == [2, 2, 2, 3, 3, 3, 4, 4, 4]
+
+
+def test_cut_offs_beyond_one_broadcast(spark, monkeypatch):
+    from puspark.operators import sampling
+
+    df = spark.range(400).selectExpr("id as ind_id", "cast(id % 4 = 0 as int) as known_pos")
+    folds = pu.assign_folds(df, 2, [1])
+    folded = pu.with_folds(df, folds)
+    bags = pu.make_bags(spark, [1], 3)
+    whole = sorted(map(str, pu.downsample_bags(folded, bags, "known_pos", 1.0).collect()))
+    monkeypatch.setattr(sampling, "BROADCAST_ROWS", 5)
+    assert sorted(map(str, pu.downsample_bags(folded, bags, "known_pos", 1.0).collect())) == whole
