@@ -22,6 +22,7 @@ from puspark.operators.tuning import auc_by_fold, auc_summary, best_config, grou
 from puspark.plans.classification import classified_entities, classify_pu
 from puspark.plans.prior_estimation import calibrate_threshold, densities, density_ratio, estimate_prior
 from puspark.plans.training import draw_samples, fit_models, fit_predict_cv, model_keys, score_rows, tune_cv
+from puspark.sources.shared import workspace
 
 __all__ = [
     "assessment_rows",
@@ -73,4 +74,5 @@ __all__ = [
     "with_confidence",
     "with_folds",
     "with_position",
+    "workspace",
 ]

@@ -1,13 +1,14 @@
 """Cross-validated random-forest ensembles: one forest per (seed, bag, fold, config), every row scored out of fold.
 
 The feature table is joined with its folds once and written partitioned by fold; all training samples are drawn in
-one pass and written partitioned by model, so a fit reads its own sample only. Scoring is one scan per fold, whatever
-the number of models: all of a fold's models are applied to a row side by side.
+one pass and written partitioned by model, so a fit reads its own sample only. Forests are fitted a few at a time;
+their scores are written and they are let go before the next ones, so neither the driver nor a task ever holds more
+than one chunk of them, and a chunk is bounded by the number of tree nodes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from typing import NamedTuple
 
@@ -15,14 +16,15 @@ from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from puspark.operators.checks import require_columns, require_unique
-from puspark.operators.sampling import downsample_bags, explicit_grid, with_folds
-from puspark.sources.shared import materialise
+from puspark.operators.sampling import downsample_bags, explicit_grid, require_partition, with_folds
+from puspark.sources.shared import materialise, table_path
 
-MODELS_PER_SCAN = 32
+#: Tree nodes of the forests that score rows side by side: some 90 bytes of a task's binary each.
+NODES_PER_SCAN = 250_000
 NOT_PARAMETERS = ("common_seed", "config")
 
 
@@ -52,6 +54,7 @@ def draw_samples(
     require_columns(folds, ["common_seed", "fold_id", key])
     require_columns(bags, ["common_seed", "bag", "recipe_seed", "counter"])
     require_unique(features, key)
+    require_partition(features, folds, key)
     fold = ["common_seed", "fold_id"]
     model = ["common_seed", "bag", "fold_id"]
     # rebalancing groups rows by directory and still splits a large one over several tasks
@@ -92,8 +95,13 @@ def fit_models(
     forest: RandomForestClassifier,
     fixed: Mapping[str, object] | None = None,
     parallelism: int = 4,
-) -> list[Fitted]:
-    """Fit one pipeline per key. Driver threads only submit the jobs; the fits themselves run on the executors."""
+    nodes: int = NODES_PER_SCAN,
+) -> Iterator[list[Fitted]]:
+    """Fit one pipeline per key; chunks of one fold with about ``nodes`` tree nodes, by whole rounds of ``parallelism``.
+
+    Driver threads only submit the jobs; the fits themselves run on the executors. A chunk is not held here once it is
+    handed out.
+    """
 
     def fit(key: ModelKey) -> Fitted:
         sample = training.filter(
@@ -102,9 +110,20 @@ def fit_models(
         steps = [stage.copy() for stage in stages] + [_configured(forest, key, fixed or {})]
         return Fitted(key, Pipeline(stages=steps).fit(sample))
 
+    by_fold: dict[tuple[int, str], list[ModelKey]] = {}
+    for key in keys:
+        by_fold.setdefault((key.common_seed, key.fold_id), []).append(key)
     wrapped = inheritable_thread_target(training.sparkSession)(fit)
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        return list(pool.map(wrapped, keys))
+        for own in by_fold.values():
+            chunk: list[Fitted] = []
+            for i in range(0, len(own), parallelism):
+                chunk += pool.map(wrapped, own[i : i + parallelism])
+                if sum(m.model.stages[-1].totalNumNodes for m in chunk) >= nodes:
+                    yield chunk
+                    chunk = []
+            if chunk:
+                yield chunk
 
 
 def score_rows(rows: DataFrame, models: Sequence[Fitted], keep: Sequence[str]) -> DataFrame:
@@ -131,33 +150,31 @@ def score_rows(rows: DataFrame, models: Sequence[Fitted], keep: Sequence[str]) -
     return wide.select(*keep, F.inline(F.array(*each)))
 
 
-def _chunks(models: Sequence[Fitted]):
-    for i in range(0, len(models), MODELS_PER_SCAN):
-        yield models[i : i + MODELS_PER_SCAN]
-
-
-def _stack(parts: Sequence[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part, allowMissingColumns=True)
-    return out
-
-
 def score_assessment(folded: DataFrame, models: Sequence[Fitted], keep: Sequence[str]) -> DataFrame:
-    """Every row scored by the models whose training left its fold out; reads each fold's directory only."""
-    by_fold: dict[tuple[int, str], list[Fitted]] = {}
-    for fitted in models:
-        by_fold.setdefault((fitted.key.common_seed, fitted.key.fold_id), []).append(fitted)
-    parts = []
-    for (seed, fold), group in by_fold.items():
-        rows = folded.filter((F.col("common_seed") == seed) & (F.col("fold_id") == fold)).drop("common_seed", "fold_id")
-        parts += [score_rows(rows, chunk, keep) for chunk in _chunks(group)]
-    return _stack(parts)
+    """The rows of the models' fold, which their training left out; reads that fold's directory only."""
+    key = models[0].key
+    own = (F.col("common_seed") == key.common_seed) & (F.col("fold_id") == key.fold_id)
+    return score_rows(folded.filter(own).drop("common_seed", "fold_id"), models, keep)
 
 
 def score_holdout(holdout: DataFrame, models: Sequence[Fitted], keep: Sequence[str]) -> DataFrame:
     """Every holdout row scored by every model."""
-    return _stack([score_rows(holdout, chunk, keep) for chunk in _chunks(models)])
+    return score_rows(holdout, models, keep)
+
+
+def _written(
+    spark: SparkSession, chunks: Iterator[list[Fitted]], scored: Callable[[list[Fitted]], Sequence[DataFrame]]
+) -> DataFrame:
+    """The scores of all chunks in one table; each chunk is scored, written and let go before the next one is fitted."""
+    path, schema = table_path(spark), None
+    for models in chunks:
+        for part in scored(models):
+            part.write.mode("append").parquet(path)
+            schema = part.schema
+        del models
+    if schema is None:
+        raise ValueError("there is no model to fit: seeds of folds, bags and grid have none in common")
+    return spark.read.schema(schema).parquet(path)
 
 
 def tune_cv(
@@ -176,8 +193,8 @@ def tune_cv(
     samples = draw_samples(features, folds, bags, ratio, label, key)
     keys = model_keys(folds, bags, grid)
     forest = forest or RandomForestClassifier(labelCol=label)
-    models = fit_models(samples.training, keys, stages, forest, parallelism=parallelism)
-    return materialise(score_assessment(samples.folded, models, [key, label]))
+    chunks = fit_models(samples.training, keys, stages, forest, parallelism=parallelism)
+    return _written(features.sparkSession, chunks, lambda models: [score_assessment(samples.folded, models, [key, label])])
 
 
 def fit_predict_cv(
@@ -198,9 +215,11 @@ def fit_predict_cv(
     samples = draw_samples(features, folds, bags, ratio, label, key)
     keys = model_keys(folds, bags)
     forest = forest or RandomForestClassifier(labelCol=label)
-    models = fit_models(samples.training, keys, stages, forest, params, parallelism)
     keep = [key, label, negative]
-    scored = score_assessment(samples.folded, models, keep).withColumn("holdout", F.lit(0))
-    if holdout is not None:
-        scored = scored.unionByName(score_holdout(holdout, models, keep).withColumn("holdout", F.lit(1)))
-    return materialise(scored)
+
+    def scored(models: list[Fitted]) -> list[DataFrame]:
+        out = [score_assessment(samples.folded, models, keep).withColumn("holdout", F.lit(0))]
+        return out if holdout is None else [*out, score_holdout(holdout, models, keep).withColumn("holdout", F.lit(1))]
+
+    chunks = fit_models(samples.training, keys, stages, forest, params, parallelism)
+    return _written(features.sparkSession, chunks, scored)

@@ -82,3 +82,19 @@ def test_scan_within_keys(spark, blocks):
         assert [r["upto"] for r in mine] == np.cumsum(v).tolist()
         assert [r["before"] for r in mine] == (np.cumsum(v) - v).tolist()
         assert [r["top"] for r in mine] == np.maximum.accumulate(v).tolist()
+
+
+def test_workspace_deletes_its_tables(spark, tmp_path):
+    import os
+
+    from puspark.sources import materialise, workspace
+    from puspark.sources.shared import shared_folder
+
+    kept = materialise(spark.range(5))
+    with workspace(spark):
+        inside = materialise(spark.range(7))
+        folder = inside.inputFiles()[0].removeprefix("file://").rpartition("/")[0]
+        assert os.path.isdir(folder) and folder.startswith(shared_folder(spark).removeprefix("file:"))
+        inside.write.parquet(f"{tmp_path}/result")
+    assert not os.path.exists(folder)
+    assert kept.count() == 5 and spark.read.parquet(f"{tmp_path}/result").count() == 7

@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 import puspark as pu
 from puspark.plans.training import draw_samples, model_keys
+from puspark.plans import training
 from puspark.sources import document_features, materialise
+from registered.documents import NAME_BINS, with_name_bins
 
 
 def stages():
@@ -88,3 +90,59 @@ def test_model_keys(spark, folds):
 def test_repeated_entity_is_refused(spark, features, folds):
     with pytest.raises(ValueError, match="rows"):
         draw_samples(features.unionByName(features.limit(1)), folds, pu.make_bags(spark, [3], 1), 1.0)
+
+
+def test_overlapping_folds_are_refused(spark, features, folds):
+    bags = pu.make_bags(spark, [3], 1)
+    twice = folds.unionByName(folds.limit(3).withColumn("fold_id", F.lit("Fold9")))
+    with pytest.raises(ValueError, match="2 folds of seed 3"):
+        draw_samples(features, twice, bags, 1.0)
+
+
+def test_entities_without_a_fold_are_refused(spark, features, folds):
+    bags = pu.make_bags(spark, [3], 1)
+    with pytest.raises(ValueError, match="has no fold in 1 of 1 seeds"):
+        draw_samples(features, folds.filter("ind_id % 7 <> 0"), bags, 1.0)
+    two = folds.unionByName(folds.filter("ind_id % 7 <> 0").withColumn("common_seed", F.lit(4)))
+    with pytest.raises(ValueError, match="has no fold in 1 of 2 seeds"):
+        draw_samples(features, two, bags, 1.0)
+
+
+def test_several_seeds_and_chunks(spark, features, monkeypatch):
+    """Both seeds are tuned, and no more forests than one chunk's are held at a time."""
+    monkeypatch.setattr(training, "NODES_PER_SCAN", 1)
+    alive = []
+    fit = training.fit_models
+
+    def watched(*args, **options):
+        import gc
+        import weakref
+
+        for chunk in fit(*args, **options, nodes=1):
+            gc.collect()
+            assert sum(r() is not None for r in alive) == 0
+            alive.extend(weakref.ref(m.model) for m in chunk)
+            yield chunk
+            del chunk
+
+    monkeypatch.setattr(training, "fit_models", watched)
+    folds = materialise(pu.assign_folds(features, 2, [3, 4], strata="known_pos"))
+    grid = spark.createDataFrame([(1, 2, 2), (2, 3, 2)], "config int, num_trees int, max_depth int")
+    got = pu.tune_cv(features, folds, pu.make_bags(spark, [3, 4], 1), grid, stages(), 1.0, forest(), parallelism=1)
+    assert got.count() == 2 * 2 * features.count()
+    assert len(alive) == 2 * 2 * 2
+    assert pu.summarise_tuning(got).best.count() == 2
+
+
+def test_forest_takes_more_names_than_bins(spark, features, folds):
+    many = with_name_bins(features.withColumn("source", F.concat(F.lit("s"), F.col("ind_id"))))
+    assert many.select("source").distinct().count() > NAME_BINS
+    steps = [VectorAssembler(inputCols=["n_words", "lang_bin", "source_bin"], outputCol="features")]
+    params = {"num_trees": 2, "max_depth": 2}
+    got = pu.fit_predict_cv(many, folds, pu.make_bags(spark, [3], 1), steps, 1.0, params, None, RandomForestClassifier(labelCol="known_pos", maxBins=NAME_BINS))
+    assert got.count() == features.count()
+
+
+def test_nothing_to_fit_is_an_error(spark, features, folds):
+    with pytest.raises(ValueError, match="no model"):
+        pu.fit_predict_cv(features, folds, pu.make_bags(spark, [99], 1), stages(), 1.0, None, None, forest())
