@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +14,9 @@ SEEDS = (11, 12)
 FOLDS = 3
 BAGS = 2
 RATIO = 1.5
+CONFIGS = 5
+#: Names are hashed into so many bins: a forest takes any number of sources.
+NAME_BINS = 64
 NUMBERS = ["n_chars", "n_words", "n_lines", "mean_word_len", "distinct_share", "digit_share"]
 
 
@@ -102,74 +105,87 @@ def grid_latin_hypercube(spark, folder):
 # --- forests ---------------------------------------------------------------------------------------------------
 
 
+def with_name_bins(features: DataFrame) -> DataFrame:
+    bins = {f"{name}_bin": F.pmod(F.xxhash64(name), F.lit(NAME_BINS)).cast("double") for name in ("lang", "source")}
+    return features.withColumns(bins)
+
+
 def _features(spark, folder):
     """(training table, holdout of verified negatives), measured once."""
-    features = materialise(document_features(spark, folder))
+    features = materialise(with_name_bins(document_features(spark, folder)))
     return features.filter("known_neg = 0"), features.filter("known_neg = 1")
 
 
-def _stages():
-    return [
-        StringIndexer(inputCols=["lang", "source"], outputCols=["lang_ix", "source_ix"], handleInvalid="keep"),
-        VectorAssembler(inputCols=[*NUMBERS, "lang_ix", "source_ix"], outputCol="features"),
-    ]
+def stages():
+    return [VectorAssembler(inputCols=[*NUMBERS, "lang_bin", "source_bin"], outputCol="features")]
 
 
 def _forest():
-    return RandomForestClassifier(labelCol="known_pos", maxBins=128)
+    return RandomForestClassifier(labelCol="known_pos", maxBins=NAME_BINS)
 
 
 def _tuned(spark, folder):
     features, _ = _features(spark, folder)
-    seeds = SEEDS[:1]
-    folds = materialise(pu.assign_folds(features, FOLDS, seeds, strata="known_pos"))
-    grid = pu.latin_hypercube(spark, {"num_trees": (4, 12), "max_depth": (2, 6)}, 2, seeds)
-    return pu.tune_cv(
-        features, folds, pu.make_bags(spark, seeds, 1), grid, _stages(), RATIO, _forest(), parallelism=6
-    )
+    folds = materialise(pu.assign_folds(features, FOLDS, SEEDS, strata="known_pos"))
+    grid = pu.latin_hypercube(spark, {"num_trees": (2, 6), "max_depth": (2, 6)}, CONFIGS, SEEDS)
+    bags = pu.make_bags(spark, SEEDS, BAGS)
+    return pu.tune_cv(features, folds, bags, grid, stages(), RATIO, _forest(), parallelism=6)
 
 
 def _predicted(spark, folder, with_holdout: bool):
     features, holdout = _features(spark, folder)
-    seeds = SEEDS[:1]
-    folds = materialise(pu.assign_folds(features, FOLDS, seeds, strata="known_pos"))
+    folds = materialise(pu.assign_folds(features, FOLDS, SEEDS, strata="known_pos"))
+    bags = pu.make_bags(spark, SEEDS, BAGS)
+    params = {"num_trees": 8, "max_depth": 4}
     return pu.fit_predict_cv(
-        features,
-        folds,
-        pu.make_bags(spark, seeds, BAGS),
-        _stages(),
-        RATIO,
-        {"num_trees": 8, "max_depth": 4},
-        holdout if with_holdout else None,
-        _forest(),
-        parallelism=6,
+        features, folds, bags, stages(), RATIO, params, holdout if with_holdout else None, _forest(), parallelism=6
     )
 
 
+def _in_range():
+    return F.coalesce(F.col("score").between(0, 1), F.lit(False)).cast("int")
+
+
 def _coverage(preds: DataFrame, *keys: str) -> DataFrame:
     """Rows and entities each model scored, and whether all scores are probabilities."""
     return preds.groupBy("common_seed", "bag", "fold_id", *keys).agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.countDistinct("ind_id").alias("n_entities"),
         F.sum("known_pos").alias("n_pos"),
-        F.min(F.coalesce(F.col("score").between(0, 1), F.lit(False)).cast("int")).alias("in_range"),
+        F.min(_in_range()).alias("in_range"),
     )
 
 
+def split_rows(spark, folder):
+    """Both sides of one split, row by row."""
+    docs, folds = _stratified(spark, folder)
+    sides = zip(("analysis", "assessment"), pu.split(docs, folds, SEEDS[0], "Fold2"))
+    analysis, assessment = (rows.select("ind_id", "known_pos", F.lit(name).alias("part")) for name, rows in sides)
+    return analysis.unionByName(assessment)
+
+
 def tune_cv_scores(spark, folder):
-    return _tuned(spark, folder)
+    """Every scored row with its model's key and label, and whether its score is a probability."""
+    tuned = _tuned(spark, folder)
+    return tuned.select("common_seed", "bag", "counter", "fold_id", "config", "ind_id", "known_pos", _in_range().alias("in_range"))
 
 
 def tune_cv_coverage(spark, folder):
     return _coverage(_tuned(spark, folder), "config")
 
 
+def _scored_rows(preds: DataFrame) -> DataFrame:
+    return preds.select(
+        "common_seed", "bag", "counter", "fold_id", "holdout", "ind_id", "known_pos", "known_neg", _in_range().alias("in_range")
+    )
+
+
 def train_predict_assess(spark, folder):
-    return _predicted(spark, folder, False)
+    return _scored_rows(_predicted(spark, folder, False))
 
 
 def train_predict_holdout(spark, folder):
-    return _predicted(spark, folder, True)
+    return _scored_rows(_predicted(spark, folder, True))
 
 
 def train_predict_coverage(spark, folder):
@@ -177,8 +193,21 @@ def train_predict_coverage(spark, folder):
 
 
 def documents_classified(spark, folder):
-    """Documents end to end: forests, mean score, prior, threshold, class, confidence."""
-    return pu.classified_entities(_predicted(spark, folder, True))
+    """Documents end to end - forests, mean score, prior, threshold, class, confidence - as facts that must hold."""
+    result = pu.classify_pu(_predicted(spark, folder, True))
+    above = (F.col("score_mean") > result.threshold.threshold).cast("int")
+    known = F.col("conf_status").isin("fitted", "constant")
+    fair = F.when(known, F.col("confidence").between(0, 1)).otherwise(F.col("confidence").isNull())
+    return result.scored.select(
+        "ind_id",
+        "holdout",
+        "known_pos",
+        "known_neg",
+        F.col("score_mean").between(0, 1).cast("int").alias("mean_ok"),
+        (F.col("pred_class") == above).cast("int").alias("class_ok"),
+        F.coalesce(fair, F.lit(False)).cast("int").alias("confidence_ok"),
+        F.lit(int(0 <= result.alpha <= 1)).alias("alpha_ok"),
+    )
 
 
 QUERIES = {
@@ -188,6 +217,7 @@ QUERIES = {
         fold_assign_stratified,
         fold_assign_grouped,
         fold_sizes_analysis_assessment,
+        split_rows,
         bag_table,
         downsample_bag,
         downsample_all_bags,

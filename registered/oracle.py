@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from registered.documents import BAGS, FOLDS, RATIO, SEEDS
+from registered.documents import BAGS, CONFIGS, FOLDS, RATIO, SEEDS
 
 # --- order scores ----------------------------------------------------------------------------------------------
 
@@ -318,7 +318,11 @@ caps AS (
   SELECT common_seed, bag, fold_id, floor(MIN(n) * CAST({RATIO} AS DOUBLE)) AS cap FROM (
     SELECT common_seed, bag, fold_id, known_pos, COUNT(*) AS n FROM placed GROUP BY ALL) GROUP BY ALL)"""
 
-_FIRST = f"(common_seed = {SEEDS[0]})"
+_TUNED = f"models JOIN folds USING (common_seed, fold_id) CROSS JOIN (SELECT unnest(range(1, {CONFIGS} + 1)) AS config)"
+_ASSESSED = """SELECT common_seed, bag, counter, fold_id, CAST(0 AS INTEGER) AS holdout, ind_id, CAST(known_pos AS INTEGER) AS known_pos,
+  CAST(0 AS INTEGER) AS known_neg, CAST(1 AS INTEGER) AS in_range FROM models JOIN folds USING (common_seed, fold_id)"""
+_HELD = """SELECT common_seed, bag, counter, fold_id, CAST(1 AS INTEGER) AS holdout, ind_id, CAST(0 AS INTEGER) AS known_pos,
+  CAST(1 AS INTEGER) AS known_neg, CAST(1 AS INTEGER) AS in_range FROM models CROSS JOIN held"""
 _STRATUM = "ROW_NUMBER() OVER (PARTITION BY s ORDER BY md5(s || '|{name}|' || c), c)"
 
 DOCUMENTS = {
@@ -353,22 +357,35 @@ FROM counts CROSS JOIN (SELECT unnest(range(1, 4)) AS c)"""
     ),
     "grid_latin_hypercube": docs(
         f"""SELECT CAST(s AS INTEGER) AS common_seed, CAST(c AS INTEGER) AS config,
-  CAST(round(1 + ({_STRATUM.format(name='min_instances')} - CAST(0.5 AS DOUBLE)) / 5 * (hi - 1)) AS INTEGER) AS min_instances,
+  CAST(1 + floor(({_STRATUM.format(name='min_instances')} - CAST(0.5 AS DOUBLE)) / 5 * hi) AS INTEGER) AS min_instances,
   {r(f"CAST(0.5 AS DOUBLE) + ({_STRATUM.format(name='subsampling_rate')} - CAST(0.5 AS DOUBLE)) / 5 * CAST(0.5 AS DOUBLE)", 9, "subsampling_rate")}
 FROM seeds CROSS JOIN (SELECT unnest(range(1, 6)) AS c)
 CROSS JOIN (SELECT GREATEST(2, MIN(n) // 10) AS hi FROM (SELECT COUNT(*) AS n FROM docs GROUP BY known_pos))"""
+    ),
+    "split_rows": docs(
+        f"""SELECT ind_id, known_pos, CASE WHEN fold_id = 'Fold2' THEN 'assessment' ELSE 'analysis' END AS part
+FROM folds WHERE common_seed = {SEEDS[0]}"""
+    ),
+    "tune_cv_scores": docs(
+        f"""SELECT common_seed, bag, counter, fold_id, CAST(config AS INTEGER) AS config, ind_id, known_pos, CAST(1 AS INTEGER) AS in_range
+FROM {_TUNED}"""
     ),
     "tune_cv_coverage": docs(
-        f"""SELECT common_seed, CAST(1 AS INTEGER) AS bag, fold_id, CAST(config AS INTEGER) AS config, COUNT(*) AS n_rows,
+        f"""SELECT common_seed, bag, fold_id, CAST(config AS INTEGER) AS config, COUNT(*) AS n_rows,
   COUNT(DISTINCT ind_id) AS n_entities, CAST(SUM(known_pos) AS BIGINT) AS n_pos, CAST(1 AS INTEGER) AS in_range
-FROM folds CROSS JOIN (SELECT unnest([1, 2]) AS config) WHERE {_FIRST} GROUP BY common_seed, fold_id, config"""
+FROM {_TUNED} GROUP BY common_seed, bag, fold_id, config"""
     ),
+    "train_predict_assess": docs(_ASSESSED),
+    "train_predict_holdout": docs(f"{_ASSESSED} UNION ALL {_HELD}"),
     "train_predict_coverage": docs(
-        f"""SELECT common_seed, bag, fold_id, CAST(holdout AS INTEGER) AS holdout, COUNT(*) AS n_rows, COUNT(DISTINCT ind_id) AS n_entities,
-  CAST(SUM(known_pos) AS BIGINT) AS n_pos, CAST(1 AS INTEGER) AS in_range FROM (
-  SELECT m.common_seed, m.bag, m.fold_id, 0 AS holdout, f.ind_id, f.known_pos FROM models m JOIN folds f USING (common_seed, fold_id)
-  UNION ALL SELECT m.common_seed, m.bag, m.fold_id, 1, h.ind_id, 0 FROM models m CROSS JOIN held h)
-WHERE {_FIRST} GROUP BY common_seed, bag, fold_id, holdout"""
+        f"""SELECT common_seed, bag, fold_id, holdout, COUNT(*) AS n_rows, COUNT(DISTINCT ind_id) AS n_entities,
+  CAST(SUM(known_pos) AS BIGINT) AS n_pos, CAST(1 AS INTEGER) AS in_range
+FROM ({_ASSESSED} UNION ALL {_HELD}) GROUP BY common_seed, bag, fold_id, holdout"""
+    ),
+    "documents_classified": docs(
+        """SELECT ind_id, CAST(holdout AS INTEGER) AS holdout, CAST(known_pos AS INTEGER) AS known_pos, CAST(holdout AS INTEGER) AS known_neg,
+  CAST(1 AS INTEGER) AS mean_ok, CAST(1 AS INTEGER) AS class_ok, CAST(1 AS INTEGER) AS confidence_ok, CAST(1 AS INTEGER) AS alpha_ok
+FROM (SELECT ind_id, known_pos, 0 AS holdout FROM docs UNION ALL SELECT ind_id, 0, 1 FROM held)"""
     ),
 }
 
