@@ -51,7 +51,8 @@ def _distinct(row: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
 
 
 def measures(texts: Texts) -> np.ndarray:
-    """Transformed statistics, one row per text: logarithms of counts, logits of smoothed shares."""
+    """Transformed statistics, one row per text: logarithms of counts, logits of shares. All are drawn to usual values by
+    some ten words or fifty characters, so that short texts are no outliers."""
     n = texts.n
     found = words(texts, NOT_SPACE)
     hashes = word_hashes(texts, found)
@@ -64,33 +65,33 @@ def measures(texts: Texts) -> np.ndarray:
     def total(values: np.ndarray) -> np.ndarray:
         return np.bincount(found.row, weights=values, minlength=n)
 
-    def share(part: np.ndarray, whole: np.ndarray, prior: float = 0.02) -> np.ndarray:
-        p = (part + prior) / (whole + 1.0)
+    def share(part: np.ndarray, whole: np.ndarray, usual: float = 0.02, prior: float = 10.0) -> np.ndarray:
+        p = (part + usual * prior) / (whole + prior)
         return np.log(p / (1 - np.minimum(p, 1 - 1e-6)))
 
-    mean = total(length) / np.maximum(count, 1)
-    spread = np.sqrt(np.maximum(total(length**2) / np.maximum(count, 1) - mean**2, 0))
+    mean = (total(length) + 50) / (count + 10)
+    spread = np.sqrt(np.maximum((total(length**2) + 340) / (count + 10) - mean**2, 0))
     same = np.zeros(len(hashes), bool)
     same[1:] = (hashes[1:] == hashes[:-1]) & (found.row[1:] == found.row[:-1])
     tail = texts.data[found.ends - 1] if len(hashes) else np.zeros(0, np.uint8)
     odd = _MARK[tail] | (tail == ord("!"))
     return np.column_stack(
         (
-            np.log1p(count),
-            np.log1p(lines.counts),
+            np.log(count + 20),
+            np.log(lines.counts + 5),
             np.log1p(mean),
             np.log1p(spread),
-            share(total(length > 12), count),
-            share(total(length < 4), count),
-            share(_distinct(found.row, hashes, n), count),
+            share(total(length > 12), count, 0.05),
+            share(total(length < 4), count, 0.4),
+            share(_distinct(found.row, hashes, n), count, 0.8),
             share(total(same), count),
             share(lines.counts - _distinct(lines.row, line_hashes, n), lines.counts),
-            share(_per_row(texts, _UPPER), size),
-            share(_per_row(texts, _DIGIT), size),
-            share(_per_row(texts, _STOP), size),
-            share(_per_row(texts, texts_table("!")), size),
-            share(_per_row(texts, _MARK), size),
-            share(_per_row(texts, texts_table("|")), size),
+            share(_per_row(texts, _UPPER), size, 0.02, 50),
+            share(_per_row(texts, _DIGIT), size, 0.005, 50),
+            share(_per_row(texts, _STOP), size, 0.02, 50),
+            share(_per_row(texts, texts_table("!")), size, 0.002, 50),
+            share(_per_row(texts, _MARK), size, 0.002, 50),
+            share(_per_row(texts, texts_table("|")), size, 0.002, 50),
             share(total(odd), count),
         )
     )
