@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, IsNull, StringStartsWith
 
+from puspark.sources.shared import materialise
+
 #: Payloads below this many bytes are always written.
 LEAST_REVISIT = 1000
 DATE = "2024-01-01T00:00:00Z"
@@ -36,6 +38,7 @@ def judged(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     rows = rows.withColumn("payload_digest", F.sha1(F.encode("payload", "UTF-8")))
     last = rows.filter(F.col("payload_bytes") >= least).groupBy("payload_digest", "payload_bytes")
     last = last.agg(F.max("page_id").alias("last_id"), F.count(F.lit(1)).alias("n")).filter("n > 1 and last_id is not null").drop("n")
+    last = materialise(last)  # of known size: where it is small, Spark joins it without moving the payloads
     rows = rows.join(last.withColumnsRenamed({"payload_digest": "d", "payload_bytes": "b"}), (F.col("payload_digest") == F.col("d")) & (F.col("payload_bytes") == F.col("b")), "left")
     revisit = F.col("last_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last_id"))
     return rows.select(
@@ -212,7 +215,10 @@ class WarcSource(DataSource):
 
 
 def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
-    """Records under ``path`` with the columns of ``SCHEMA``; revisits have a null payload. An empty folder has none."""
+    """Records under ``path`` with the columns of ``SCHEMA``; revisits have a null payload. An empty folder has none.
+
+    Turns on the session's setting for filters pushed down to Python data sources.
+    """
     spark.dataSource.register(WarcSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
