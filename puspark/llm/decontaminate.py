@@ -1,6 +1,6 @@
 """Benchmark decontamination: an FM-index per training shard, searched backwards for the benchmark's windows.
 
-A shard is a few megabytes of whole texts inside a task. Words that occur in no benchmark item separate runs; runs too
+A shard is about a megabyte of whole texts inside a task. Words that occur in no benchmark item separate runs; runs too
 short for any window are left out, as no window can lie in them. The rest is indexed: suffix array, Burrows-Wheeler
 transform in a wavelet matrix, suffix positions sampled. All windows are searched at once by rank queries, located by
 walking to the next sample, and merged into spans. The benchmark goes to the tasks in blocks of bounded size.
@@ -24,6 +24,8 @@ RATIO = 20
 #: Benchmark text per broadcast.
 BLOCK_BYTES = 8 << 20
 SAMPLE = 8
+#: Text in one index.
+SHARD_BYTES = 1 << 20
 
 
 class WaveletMatrix:
@@ -226,7 +228,7 @@ def _scan(rows: DataFrame, windows: Windows) -> DataFrame:
             text, _, old_spans, old_items = batch.columns[-4:]
             old_spans, old_items = old_spans.to_pylist(), old_items.to_pylist()
             counts, spans, items = [], [], []
-            for texts in slices(text):
+            for texts in slices(text, size=SHARD_BYTES):
                 n, found, owners = hits(texts, shared.value)
                 counts.append(n)
                 for k in range(texts.n):

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -146,7 +147,9 @@ def dedup_lines(docs: DataFrame, least: int = WORDS) -> DataFrame:
                 if gone:
                     changed[k] = without_lines(texts[k].as_py(), gone)
             if changed:
-                texts = pa.array([changed.get(k, t) for k, t in enumerate(texts.to_pylist())], texts.type)
+                mask = np.zeros(len(texts), bool)
+                mask[list(changed)] = True
+                texts = pc.replace_with_mask(texts, pa.array(mask), pa.array(list(changed.values()), texts.type))
             columns = [texts if k == at else batch.column(k) for k in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(removed, pa.int32())], names)
 

@@ -10,8 +10,9 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-#: Bytes of text that are handled at a time, besides the rest of a longer document.
-SLICE_BYTES = 1 << 21
+#: Bytes of text that are handled at a time, besides the rest of a longer document; arrays of a slice take some
+#: hundred times this, so that many workers fit beside each other.
+SLICE_BYTES = 1 << 19
 
 
 def byte_class(lows: str) -> np.ndarray:
@@ -43,21 +44,29 @@ def mix(x: np.ndarray) -> np.ndarray:
 BASE = 0x9E3779B97F4A7C15 | 1
 
 
+def _series(base: int, n: int) -> np.ndarray:
+    steps = np.full(n, base, U64)
+    steps[0] = 1
+    return np.multiply.accumulate(steps)
+
+
 @cache
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    def series(base: int) -> np.ndarray:
-        steps = np.full(1 << bits, base, U64)
-        steps[0] = 1
-        return np.multiply.accumulate(steps)
+def _kept_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _series(BASE, 2 * SLICE_BYTES), _series(pow(BASE, -1, 1 << 64), 2 * SLICE_BYTES)
+
 
-    return series(BASE), series(pow(BASE, -1, 1 << 64))
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least ``n`` powers of the base and of its inverse; those for slices of usual size are kept."""
+    return _kept_powers() if n <= 2 * SLICE_BYTES else (_series(BASE, n), _series(pow(BASE, -1, 1 << 64), n))
 
 
 def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hash of every ``values[start:end]``, equal for equal contents wherever they stand."""
-    power, inverse = _powers(max(1, int(len(values)).bit_length()))
+    power, inverse = _powers(len(values) + 1)
     sums = np.zeros(len(values) + 1, U64)
-    np.cumsum((values.astype(U64) + U64(1)) * power[: len(values)], out=sums[1:])
+    np.add(values, U64(1), out=sums[1:], casting="unsafe", dtype=U64)
+    sums[1:] *= power[: len(values)]
+    np.cumsum(sums, out=sums)
     return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(U64) * U64(BASE))
 
 
