@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from puspark.llm.text import Texts, char_offsets, mix, slices
+from puspark.sources.shared import materialise
 
 BUCKETS = 1 << 14
 GRAMS = (1, 2, 3)
@@ -86,7 +87,7 @@ def counts(docs: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages in order, log-probabilities (buckets x languages) and log-priors, from the rows of ``docs``."""
-    table = counts(docs)
+    table = materialise(counts(docs))
     langs = sorted(r[0] for r in table.filter("bucket = -1").select("lang").limit(MOST_LANGUAGES + 1).collect())
     if len(langs) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
