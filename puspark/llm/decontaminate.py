@@ -117,35 +117,65 @@ class FMIndex:
 
 @dataclass
 class Windows:
-    """The windows of a block of items: patterns by length, and the items of each pattern."""
+    """The windows of a block of items, by length: one distinct window of symbols per row. The items of window k are the
+    ``names`` at ``owners[starts[k]:starts[k + 1]]``."""
 
     vocabulary: np.ndarray
     patterns: list[np.ndarray]
-    owners: list[list[tuple[str, ...]]]
+    starts: list[np.ndarray]
+    owners: list[np.ndarray]
+    names: list[str]
 
     @property
     def shortest(self) -> int:
         return min(p.shape[1] for p in self.patterns)
 
+    def items(self, length: int, k: int) -> list[str]:
+        """Of window ``k`` of the ``length``-th list."""
+        starts = self.starts[length]
+        return [self.names[c] for c in self.owners[length][starts[k] : starts[k + 1]].tolist()]
+
+
+def _distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows of a matrix and the place of every row among them."""
+    order = np.lexsort(rows.T[::-1])
+    fresh = np.ones(len(rows), bool)
+    fresh[1:] = (rows[order[1:]] != rows[order[:-1]]).any(axis=1)
+    place = np.empty(len(rows), np.int64)
+    place[order] = np.cumsum(fresh) - 1
+    return rows[order[fresh]], place
+
 
 def windows_of(items: Sequence[tuple[str | None, str | None]], length: int = WINDOW) -> Windows:
     """``length`` consecutive words each; an item of fewer, but not none, is one window. A null id counts as an empty one."""
     if not items:
-        return Windows(np.zeros(0, np.uint64), [], [])
-    sequences: list[np.ndarray] = []
+        return Windows(np.zeros(0, np.uint64), [], [], [], [])
+    hashes, counts = [], []
     for texts in slices(pa.array([t for _, t in items], pa.string())):
         found = words(texts, LETTER_DIGIT)
-        sequences += np.split(word_hashes(texts, found), np.cumsum(found.counts)[:-1])
-    vocabulary = np.unique(np.concatenate(sequences))
-    owners: dict[tuple[int, ...], set[str]] = {}
-    for (item, _), hashes in zip(items, sequences):
-        symbols = (np.searchsorted(vocabulary, hashes) + 1).tolist()
-        size = min(length, len(symbols))
-        for k in range(len(symbols) - size + 1 if size else 0):
-            owners.setdefault(tuple(symbols[k : k + size]), set()).add("" if item is None else str(item))
-    sizes = sorted({len(p) for p in owners})
-    groups = [[p for p in owners if len(p) == s] for s in sizes]
-    return Windows(vocabulary, [np.array(g, np.int64) for g in groups], [[tuple(sorted(owners[p])) for p in g] for g in groups])
+        hashes.append(word_hashes(texts, found))
+        counts.append(found.counts)
+    vocabulary, symbols = np.unique(np.concatenate(hashes), return_inverse=True)
+    symbols = symbols.astype(np.int32) + 1
+    count = np.concatenate(counts)
+    first = np.cumsum(count) - count
+    ids = ["" if item is None else str(item) for item, _ in items]
+    names = sorted(set(ids))
+    code_of = {name: k for k, name in enumerate(names)}
+    code = np.array([code_of[i] for i in ids])
+    out = Windows(vocabulary, [], [], [], names)
+    size = np.minimum(count, length)
+    for own in np.unique(size[size > 0]).tolist():
+        some = np.flatnonzero(size == own)
+        n = count[some] - own + 1
+        item = np.repeat(some, n)
+        start = np.arange(len(item)) + np.repeat(first[some] - (np.cumsum(n) - n), n)
+        patterns, place = _distinct(symbols[start[:, None] + np.arange(own)])
+        pairs = np.unique(place * len(names) + code[item])
+        out.patterns.append(patterns)
+        out.starts.append(np.searchsorted(pairs, np.arange(len(patterns) + 1) * len(names)).astype(np.int32))
+        out.owners.append((pairs % len(names)).astype(np.int32))
+    return out
 
 
 def _occurrences(index: FMIndex, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -183,14 +213,14 @@ def hits(texts: Texts, windows: Windows) -> tuple[np.ndarray, dict[int, list[tup
     symbols[apart] = 0
     index = FMIndex(symbols, len(windows.vocabulary))
     cover = np.zeros(len(known) + 1, np.int64)
-    for patterns, owners in zip(windows.patterns, windows.owners):
+    for length, patterns in enumerate(windows.patterns):
         which, place = _occurrences(index, patterns)
         first = word[place]
         np.add.at(cover, first, 1)
         np.add.at(cover, first + patterns.shape[1], -1)
         pairs = np.unique(found.row[first] * len(patterns) + which)
         for pair in pairs.tolist():
-            items.setdefault(pair // len(patterns), set()).update(owners[pair % len(patterns)])
+            items.setdefault(pair // len(patterns), set()).update(windows.items(length, pair % len(patterns)))
     hit = np.cumsum(cover)[:-1] > 0
     edge = np.ones(len(hit) + 1, bool)
     edge[1:-1] = (hit[1:] != hit[:-1]) | (found.row[1:] != found.row[:-1])
