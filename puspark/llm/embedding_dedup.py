@@ -60,7 +60,7 @@ def audited_beam(graph: hnsw.Graph, keys: np.ndarray, cosine: float, beam: int =
     return min(beam, n)
 
 
-INDEX = "dim int, shard int, class_id long, n long, vector array<float>, level int, links array<array<int>>, beam int"
+INDEX = "dim int, shard int, class_id long, n long, vector {vector}, level int, links array<array<int>>, beam int"
 
 
 def _build(cosine: float):
@@ -158,9 +158,11 @@ def near_vectors(vectors: DataFrame, cosine: float = LEAST_COSINE) -> DataFrame:
     A component is named by its least id. Vectors that are null or zero, or hold null or non-finite components, are
     linked with nothing and kept; vectors of different length are not compared. Rows with a null id take part by their
     vector; where no row of a component has an id its name is null and its rows are kept. An empty table gives an empty
-    result; other columns are not read.
+    result; other columns are not read. Components may be of any number type; all but floats are taken as doubles.
     """
-    rows = vectors.select("vec_id", "embedding")
+    given = vectors.schema["embedding"].dataType.simpleString()
+    kept = given if given == "array<float>" else "array<double>"
+    rows = vectors.select("vec_id", F.col("embedding").cast(kept).alias("embedding"))
     numbers = F.transform("embedding", lambda v: v.cast("double"))
     finite = F.forall(numbers, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     valid = F.coalesce(finite & F.exists(numbers, lambda v: v != 0), F.lit(False))
@@ -170,7 +172,7 @@ def near_vectors(vectors: DataFrame, cosine: float = LEAST_COSINE) -> DataFrame:
     classes = materialise(classes.withColumns({"class_id": F.monotonically_increasing_id(), "dim": F.size("embedding")}))
     shards = max(SHARDS, math.ceil(classes.count() / SHARD_ROWS))
     dealt = classes.withColumn("shard", F.pmod(F.xxhash64("class_id"), F.lit(shards)).cast("int"))
-    index = materialise(dealt.select("dim", "shard", "class_id", "n", "embedding").groupBy("dim", "shard").applyInArrow(_build(cosine), INDEX))
+    index = materialise(dealt.select("dim", "shard", "class_id", "n", "embedding").groupBy("dim", "shard").applyInArrow(_build(cosine), INDEX.format(vector=kept)))
     every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
     blocks = index.withColumn("block", every)
     queries = dealt.select("dim", F.col("shard").alias("block"), "class_id", "embedding").withColumn("shard", every)

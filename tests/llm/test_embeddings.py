@@ -79,3 +79,19 @@ def test_beam_widens_until_the_audit_passes():
             return None, np.zeros((len(queries), width)) + (np.arange(width) == 0) * (width >= 100)
 
     assert ed.audited_beam(Blind(), np.arange(400, dtype=np.uint64), 0.9) == 192
+
+
+@pytest.mark.parametrize("kind", ["double", "int", "decimal(10,2)"])
+def test_components_of_any_number_type(spark, kind):
+    rows = [(1, [10.0, 0.0]), (2, [9.0, 1.0]), (3, [0.0, 10.0]), (4, [20.0, 0.0]), (5, None), (6, [0.0, 0.0]), (7, [10.0, 0.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("vec_id", f"cast(embedding as array<{kind}>) as embedding")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in ed.near_vectors(table).collect()}
+    assert got == {1: (3, 1, True), 2: (3, 1, False), 3: (0, 3, True), 4: (3, 1, False), 5: (0, 5, True), 6: (0, 6, True), 7: (3, 1, False)}
+
+
+def test_doubles_keep_their_precision(spark):
+    below = [0.9 - 1e-12, (1 - (0.9 - 1e-12) ** 2) ** 0.5]
+    above = [0.9 + 1e-12, (1 - (0.9 + 1e-12) ** 2) ** 0.5]
+    rows = [(1, [1e300, 0.0]), (2, below), (3, [0.0] * 2 + [1.0]), (4, [0.0] * 2 + [1.0]), (5, above)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in ed.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (1, 3), 5: (2, 1)}
