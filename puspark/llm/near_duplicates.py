@@ -33,8 +33,9 @@ MINIMA = TREES * PREFIX
 FIRST_TREES = 2
 #: Candidates share at least this part of their minima; pairs of similarity 0.8 fall below it with a chance of 3e-6.
 LEAST_SHARED = 0.54
-#: Rows and shingles of a region that are compared in one task; larger regions are cut at the next byte of the order.
+#: Rows of a region that are compared in one task; larger regions are cut at the next byte of the order.
 REGION = 2048
+#: Shingles whose sets meet in one task: candidates of more are dealt over several, two longer ones have their own.
 REGION_SHINGLES = 1 << 20
 LABEL = 4 * PREFIX + MINIMA
 
@@ -177,16 +178,15 @@ def _first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece, first = following, False
 
 
-def _cut(labels: np.ndarray, sizes: np.ndarray, start: int, end: int, width: int) -> Iterator[tuple[int, int]]:
-    """A sorted region in pieces of bounded rows and shingles, where longer prefixes can tell the rows apart."""
-    before = np.concatenate(([0], np.cumsum(sizes[start:end])))
-    first, todo = start, [(start, end, width)]
+def _cut(labels: np.ndarray, start: int, end: int, width: int) -> Iterator[tuple[int, int]]:
+    """A sorted region in pieces of bounded rows, where longer prefixes can tell the rows apart."""
+    todo = [(start, end, width)]
     while todo:
         start, end, width = todo.pop()
-        if end - start <= REGION and before[end - first] - before[start - first] <= REGION_SHINGLES:
+        if end - start <= REGION:
             yield start, end
         elif width == LABEL:  # equal minima throughout: overlapping pieces
-            step = max(1, min(REGION, int(REGION_SHINGLES / sizes[start:end].max(initial=1))) // 2)
+            step = max(1, REGION // 2)
             for at in range(start, end, step):
                 yield at, min(at + 2 * step, end)
         else:
@@ -194,17 +194,41 @@ def _cut(labels: np.ndarray, sizes: np.ndarray, start: int, end: int, width: int
             todo += [(a, b, width + 1) for a, b in zip(edges[:-1], edges[1:]) if b - a > 1]
 
 
-def _across(labels: np.ndarray, component: np.ndarray) -> np.ndarray:
-    """Rows of a piece that have a candidate in another component."""
+def _candidates(labels: np.ndarray, component: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of a piece that are candidates and of different components."""
     names, code, n = np.unique(component, return_inverse=True, return_counts=True)
-    use = np.zeros(len(code), bool)
-    minor = np.flatnonzero(code != n.argmax()) if len(names) > 1 else ()
+    sketch = np.ascontiguousarray(labels[:, 4 * PREFIX :].T)
+    minor = np.flatnonzero(code != n.argmax()) if len(names) > 1 else np.zeros(0, np.int64)
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for at in range(0, len(minor), 128):
         own = minor[at : at + 128]
-        near = (_similar(labels[own][:, None, :], labels[None, :, :]) >= LEAST_SHARED) & (code[own][:, None] != code[None, :])
-        use[own] |= near.any(axis=1)
-        use |= near.any(axis=0)
-    return np.flatnonzero(use)
+        equal = np.zeros((len(own), len(code)), np.uint8)
+        for place in sketch:
+            equal += place[own][:, None] == place
+        i, j = np.nonzero((equal >= LEAST_SHARED * MINIMA) & (code[own][:, None] != code))
+        a.append(own[i])
+        b.append(j)
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _across(labels: np.ndarray, component: np.ndarray, sizes: np.ndarray) -> Iterator[np.ndarray]:
+    """Rows of a piece that have a candidate in another component, in one group or several of bounded shingles; both
+    rows of every pair of candidates are in one of them, at any size."""
+    a, b = _candidates(labels, component)
+    use = np.unique(np.concatenate((a, b)))
+    if sizes[use].sum() <= REGION_SHINGLES:
+        if len(use):
+            yield use
+        return
+    block, n, held = np.zeros(len(labels), np.int64), 0, 0
+    for row in use[np.argsort(component[use], kind="stable")].tolist():
+        if held and held + sizes[row] > REGION_SHINGLES // 2:
+            n, held = n + 1, 0
+        block[row], held = n, held + sizes[row]
+    both = np.minimum(block[a], block[b]) * (n + 1) + np.maximum(block[a], block[b])
+    order = np.argsort(both, kind="stable")
+    for own in np.split(order, np.flatnonzero(np.diff(both[order])) + 1):
+        yield np.unique(np.concatenate((a[own], b[own])))
 
 
 PIECES = "piece long, class_id binary, component binary, part int, place long, tree int, label binary, size long"
@@ -221,9 +245,8 @@ def _pieces_of(table: pa.Table, first_piece: int, known: np.ndarray | None = Non
     rows, pieces, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
     for start, end in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
         if end - start > 1 and (component[start + 1 : end] != component[start]).any():
-            for s, e in _cut(labels, sizes, start, end, 4 * PREFIX):
-                use = _across(labels[s:e], component[s:e])
-                if len(use):
+            for s, e in _cut(labels, start, end, 4 * PREFIX):
+                for use in _across(labels[s:e], component[s:e], sizes[s:e]):
                     rows.append(use + s)
                     pieces.append(np.full(len(use), first_piece + n))
                     n += 1

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from puspark.llm import near_duplicates as nd
@@ -77,3 +79,44 @@ def test_empty_table(spark):
     assert nd.near_duplicates(docs(spark, [])).count() == 0
     got = nd.near_duplicates(docs(spark, [(2, ""), (1, None)])).collect()
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got) == [(1, 0, 1, True), (2, 0, 2, True)]
+
+
+def _sorted_rows(sketches, sizes):
+    """Rows of one region of tree 0, each of its own component, as they stand in a partition."""
+    labels = sorted(bytes(4 * nd.PREFIX) + s for s in sketches)
+    ids = [k.to_bytes(8, "big") * 2 for k in range(len(labels))]
+    numbers = {"tree": pa.array([0] * len(labels), pa.int32()), "size": pa.array(sizes, pa.int64())}
+    return pa.table(numbers | {"label": pa.array(labels, pa.binary()), "class_id": pa.array(ids, pa.binary()), "component": pa.array(ids, pa.binary())})
+
+
+def _met(batch):
+    """Pairs of class ids that meet in a piece."""
+    pieces = {}
+    for piece, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        pieces.setdefault(piece, []).append(int.from_bytes(own[:8], "big"))
+    return {(a, b) for own in pieces.values() for a in own for b in own if a < b}, pieces
+
+
+def test_candidates_of_any_size_meet():
+    sketches = [bytes([k] * 10 + [7] * (nd.MINIMA - 10)) for k in range(2)]
+    table = _sorted_rows(sketches, [600_000, 600_000])
+    assert _met(nd._pieces_of(table, 0)[0])[0] == {(0, 1)}
+    rng = np.random.default_rng(1)
+    sketches = rng.integers(0, 256, (60, nd.MINIMA), np.uint8)
+    sketches[:, 12:] = 7
+    sizes = rng.integers(1, nd.REGION_SHINGLES // 4, 60)
+    pairs, pieces = _met(nd._pieces_of(_sorted_rows([s.tobytes() for s in sketches], sizes), 0)[0])
+    assert pairs == {(a, b) for b in range(60) for a in range(b)}
+    assert max(sizes[own].sum() for own in pieces.values()) <= nd.REGION_SHINGLES
+
+
+def test_long_texts_are_linked(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(4):  # of similarity 0.82, over half of what one task holds each
+        words = rng.integers(0, 1 << 26, 560_000)
+        rows.append((2 * k, " ".join(map(str, words))))
+        words[:56_000] = rng.integers(0, 1 << 26, 56_000)
+        rows.append((2 * k + 1, " ".join(map(str, words))))
+    got = nd.near_duplicates(docs(spark, rows), k=4).select("doc_id", "component_id").collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: i - i % 2 for i in range(8)}
