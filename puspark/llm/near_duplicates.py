@@ -2,8 +2,9 @@
 
 Texts become sets of hashed word shingles; equal sets are one class, and one row per class goes on. Each class has 48
 minima, and each of 16 trees sorts all classes by its own rotation of them, so classes that share a long prefix stand
-together. A region is a run of rows with one prefix of three minima. Neighbours in the order are candidates; regions of
-many rows are cut at longer prefixes (adaptive depth). Candidates are confirmed on full sets, and components are joined.
+together. A region is a run of rows with one prefix of three minima. Rows of a region whose sketches are alike are
+candidates, whatever the region's size: larger regions are compared block by block. Candidates are confirmed on full
+sets, and components are joined.
 
 Two rounds keep the candidates few. The first confirms each row's next neighbour in some trees, which connects groups
 of copies by about as many pairs as rows. The second knows the components: rows of a region that have a candidate in
@@ -20,7 +21,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from puspark.llm.components import connected_components
@@ -33,7 +34,7 @@ MINIMA = TREES * PREFIX
 FIRST_TREES = 2
 #: Candidates share at least this part of their minima; pairs of similarity 0.8 fall below it with a chance of 3e-6.
 LEAST_SHARED = 0.54
-#: Rows of a region that are compared in one task; larger regions are cut at the next byte of the order.
+#: Rows of a region that are compared in one task; of larger regions, blocks of half as many meet two by two.
 REGION = 2048
 #: Shingles whose sets meet in one task: candidates of more are dealt over several, two longer ones have their own.
 REGION_SHINGLES = 1 << 20
@@ -178,24 +179,9 @@ def _first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece, first = following, False
 
 
-def _cut(labels: np.ndarray, start: int, end: int, width: int) -> Iterator[tuple[int, int]]:
-    """A sorted region in pieces of bounded rows, where longer prefixes can tell the rows apart."""
-    todo = [(start, end, width)]
-    while todo:
-        start, end, width = todo.pop()
-        if end - start <= REGION:
-            yield start, end
-        elif width == LABEL:  # equal minima throughout: overlapping pieces
-            step = max(1, REGION // 2)
-            for at in range(start, end, step):
-                yield at, min(at + 2 * step, end)
-        else:
-            edges = [start, *(np.flatnonzero(labels[start + 1 : end, width] != labels[start : end - 1, width]) + start + 1).tolist(), end]
-            todo += [(a, b, width + 1) for a, b in zip(edges[:-1], edges[1:]) if b - a > 1]
-
-
-def _candidates(labels: np.ndarray, component: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of a piece that are candidates and of different components."""
+def _candidates(labels: np.ndarray, component: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of a piece that are candidates and of different components; rows of block 1 do not meet each other,
+    nor do those of block 2, as they have a piece for that."""
     names, code, n = np.unique(component, return_inverse=True, return_counts=True)
     sketch = np.ascontiguousarray(labels[:, 4 * PREFIX :].T)
     minor = np.flatnonzero(code != n.argmax()) if len(names) > 1 else np.zeros(0, np.int64)
@@ -205,86 +191,103 @@ def _candidates(labels: np.ndarray, component: np.ndarray) -> tuple[np.ndarray,
         equal = np.zeros((len(own), len(code)), np.uint8)
         for place in sketch:
             equal += place[own][:, None] == place
-        i, j = np.nonzero((equal >= LEAST_SHARED * MINIMA) & (code[own][:, None] != code))
+        i, j = np.nonzero((equal >= LEAST_SHARED * MINIMA) & (code[own][:, None] != code) & ((block[own][:, None] != block) | (block == 0)))
         a.append(own[i])
         b.append(j)
     return np.concatenate(a), np.concatenate(b)
 
 
-def _across(labels: np.ndarray, component: np.ndarray, sizes: np.ndarray) -> Iterator[np.ndarray]:
+def _across(labels: np.ndarray, component: np.ndarray, sizes: np.ndarray, block: np.ndarray) -> Iterator[np.ndarray]:
     """Rows of a piece that have a candidate in another component, in one group or several of bounded shingles; both
     rows of every pair of candidates are in one of them, at any size."""
-    a, b = _candidates(labels, component)
+    a, b = _candidates(labels, component, block)
     use = np.unique(np.concatenate((a, b)))
     if sizes[use].sum() <= REGION_SHINGLES:
         if len(use):
             yield use
         return
-    block, n, held = np.zeros(len(labels), np.int64), 0, 0
+    dealt, n, held = np.zeros(len(labels), np.int64), 0, 0
     for row in use[np.argsort(component[use], kind="stable")].tolist():
         if held and held + sizes[row] > REGION_SHINGLES // 2:
             n, held = n + 1, 0
-        block[row], held = n, held + sizes[row]
-    both = np.minimum(block[a], block[b]) * (n + 1) + np.maximum(block[a], block[b])
+        dealt[row], held = n, held + sizes[row]
+    both = np.minimum(dealt[a], dealt[b]) * (n + 1) + np.maximum(dealt[a], dealt[b])
     order = np.argsort(both, kind="stable")
     for own in np.split(order, np.flatnonzero(np.diff(both[order])) + 1):
         yield np.unique(np.concatenate((a[own], b[own])))
 
 
-PIECES = "piece long, class_id binary, component binary, part int, place long, tree int, label binary, size long"
-PIECE_NAMES = [c.split()[0] for c in PIECES.split(", ")]
+def _tasks(known: DataFrame, dense: DataFrame, grouped: DataFrame) -> DataFrame:
+    """``known`` (tree, label, class_id, size, component) by ``task``: regions, and pairs of blocks of larger regions.
 
+    The rows of a region's main component have blocks of their own, which do not meet each other; so a row has one copy
+    for each block of other rows, and these have one for each block of any rows. ``block`` is 0 in tasks of one block.
+    """
+    region, own = F.substring("label", 1, 4 * PREFIX).alias("region"), ["tree", "region"]
+    crowded = materialise(dense.groupBy("tree", region).count().filter(F.col("count") > REGION).select(*own))
+    rows = dense.select("tree", region, "class_id").join(crowded, own).join(grouped.withColumnRenamed("node", "class_id"), "class_id", "left")
+    parts = rows.groupBy(*own, F.coalesce("component", "class_id").alias("component")).agg(F.count(F.lit(1)).alias("n"))
+    parts = parts.groupBy(*own).agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n_all"))
+    blocks = lambda n: F.ceil(n / (REGION // 2)).cast("int")
+    parts = materialise(parts.select(*own, "main", blocks(F.col("n_main")).alias("n_main"), blocks(F.col("n_all") - F.col("n_main")).alias("n_rest")))
+
+    def copy(x: Column, y: Column, block: Column) -> Column:
+        return F.struct(x.alias("x"), y.alias("y"), block.cast("tinyint").alias("block"))
+
+    def numbers(n: Column) -> Column:
+        return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+
+    mine = F.pmod(F.xxhash64("class_id", "tree"), F.when(F.col("component") == F.col("main"), F.col("n_main")).otherwise(F.col("n_rest"))).cast("int")
+    rest = F.transform(numbers(F.col("n_rest")), lambda x: copy(F.least(x, "mine"), F.greatest(x, "mine"), F.when(x == F.col("mine"), 0).when(x > F.col("mine"), 1).otherwise(2)))
+    main = F.transform(numbers(F.col("n_main")), lambda y: copy(F.col("mine"), F.col("n_rest") + y, F.lit(1)))
+    of_main = F.transform(numbers(F.col("n_rest")), lambda x: copy(x, F.col("n_rest") + F.col("mine"), F.lit(2)))
+    copies = F.when(F.col("main").isNull(), F.array(copy(F.lit(0), F.lit(0), F.lit(0)))).when(F.col("component") == F.col("main"), of_main).otherwise(F.concat(rest, main))
+    rows = known.withColumn("region", region).join(parts, own, "left").withColumn("mine", mine)
+    rows = rows.select("tree", "region", "label", "class_id", "size", "component", F.inline(copies))
+    return rows.select(F.xxhash64("tree", "region", "x", "y").alias("task"), "label", "class_id", "size", "component", "block")
+
+
+def _whole_tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """A sorted partition in pieces that end between tasks."""
+    held: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        table = table if held is None else pa.concat_tables([held, table]).combine_chunks()
+        task = table["task"].to_numpy()
+        cut = int(np.searchsorted(task, task[-1]))
+        if cut:
+            yield table.slice(0, cut).combine_chunks()
+        held = table.slice(cut).combine_chunks()
+    if held is not None:
+        yield held
 
-def _pieces_of(table: pa.Table, first_piece: int, known: np.ndarray | None = None) -> tuple[pa.RecordBatch, int]:
-    """Rows to compare in sorted rows, by piece, and the number of pieces; ``known`` splits the rows where some are missing."""
-    tree, labels, sizes = table["tree"].to_numpy(), _bytes(table["label"], LABEL), table["size"].to_numpy()
+
+def _pieces_of(table: pa.Table, first_piece: int) -> tuple[pa.RecordBatch, int]:
+    """Rows to compare in rows sorted by task, by piece, and the number of pieces."""
+    task, labels, sizes, block = table["task"].to_numpy(), _bytes(table["label"], LABEL), table["size"].to_numpy(), table["block"].to_numpy()
     component = _bytes(table["component"], 16)[:, :8].copy().view(">u8").ravel()
-    bounds = _region_bounds(tree, labels, 4 * PREFIX)
-    if known is not None:
-        bounds = np.union1d(bounds, known)
+    bounds = np.flatnonzero(np.concatenate(([True], task[1:] != task[:-1], [True])))
     rows, pieces, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
-    for start, end in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-        if end - start > 1 and (component[start + 1 : end] != component[start]).any():
-            for s, e in _cut(labels, start, end, 4 * PREFIX):
-                for use in _across(labels[s:e], component[s:e], sizes[s:e]):
-                    rows.append(use + s)
-                    pieces.append(np.full(len(use), first_piece + n))
-                    n += 1
+    for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        if e - s > 1 and (component[s + 1 : e] != component[s]).any():
+            for use in _across(labels[s:e], component[s:e], sizes[s:e], block[s:e]):
+                rows.append(use + s)
+                pieces.append(np.full(len(use), first_piece + n))
+                n += 1
     at = pa.array(np.concatenate(rows))
     ids = [table[c].combine_chunks().take(at) for c in ("class_id", "component")]
-    empty = [pa.nulls(len(at), t) for t in (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int64())]
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(pieces)), *ids, *empty], PIECE_NAMES), n
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(pieces)), *ids], ["piece", "class_id", "component"]), n
 
 
 def _second_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows to compare, by piece; and the rows of the partition's first and last region, which may go on beyond it."""
-    pieces = _whole_regions(batches)
-    table, place, number = next(pieces, None), 0, 0
-    while table is not None:
-        following = next(pieces, None)
+    """Rows to compare, by piece."""
+    number = 0
+    for table in _whole_tasks(batches):
         found, n = _pieces_of(table, (table["part"][0].as_py() << 32) + number)
         yield found
         number += n
-        bounds = _region_bounds(table["tree"].to_numpy(), _bytes(table["label"], LABEL), 4 * PREFIX)
-        edge = np.zeros(len(table), bool)
-        edge[: min(int(bounds[1]), REGION)] |= place == 0
-        edge[max(int(bounds[-2]), len(table) - REGION) :] |= following is None
-        if edge.any():
-            kept, count = table.filter(pa.array(edge)).combine_chunks(), int(edge.sum())
-            places = pa.array((place + np.arange(len(table)))[edge])
-            columns = {"piece": pa.nulls(count, pa.int64()), "place": places}
-            yield pa.RecordBatch.from_arrays([columns[c] if c in columns else kept[c].combine_chunks() for c in PIECE_NAMES], PIECE_NAMES)
-        place += len(table)
-        table = following
-
-
-def _at_edges(table: pa.Table) -> pa.Table:
-    """Rows to compare among the kept rows of one tree; rows that were not neighbours do not meet."""
-    table = table.sort_by([("part", "ascending"), ("place", "ascending")]).combine_chunks()
-    part, place = table["part"].to_numpy(), table["place"].to_numpy()
-    gap = np.flatnonzero((part[1:] == part[:-1]) & (place[1:] != place[:-1] + 1)) + 1
-    found, _ = _pieces_of(table, -((table["tree"][0].as_py() + 1) << 32), gap)
-    return pa.Table.from_batches([found]).select(["piece", "class_id", "component"])
 
 
 def _compared(percent: int):
@@ -365,10 +368,9 @@ def labelled(docs: DataFrame, k: int, percent: int) -> DataFrame:
     links = materialise(_confirmed(materialise(near), docs, classes, k, percent))
     grouped = connected_components(links)
     known = dense.select("tree", "label", "class_id", "size").join(grouped.withColumnRenamed("node", "class_id"), "class_id", "left")
-    known = _sorted(known.withColumn("component", F.coalesce("component", "class_id"))).withColumn("part", F.spark_partition_id())
-    found = materialise(known.mapInArrow(_second_round, PIECES))
-    edges = found.filter("piece is null").groupBy("tree").applyInArrow(_at_edges, "piece long, class_id binary, component binary")
-    pieces = materialise(found.filter("piece is not null").select("piece", "class_id", "component").unionByName(edges))
+    tasks = _tasks(known.withColumn("component", F.coalesce("component", "class_id")), dense, grouped)
+    tasks = tasks.repartition("task").sortWithinPartitions("task").withColumn("part", F.spark_partition_id())
+    pieces = materialise(tasks.mapInArrow(_second_round, "piece long, class_id binary, component binary"))
     sets = _sets(pieces.select("class_id"), docs, classes, k)
     more = pieces.join(sets, "class_id").groupBy("piece").applyInArrow(_compared(percent), "a binary, b binary")
     links = links.unionByName(more)

@@ -82,10 +82,10 @@ def test_empty_table(spark):
 
 
 def _sorted_rows(sketches, sizes):
-    """Rows of one region of tree 0, each of its own component, as they stand in a partition."""
-    labels = sorted(bytes(4 * nd.PREFIX) + s for s in sketches)
+    """Rows of one task, each of its own component, as they stand in a partition."""
+    labels = [bytes(4 * nd.PREFIX) + s for s in sketches]
     ids = [k.to_bytes(8, "big") * 2 for k in range(len(labels))]
-    numbers = {"tree": pa.array([0] * len(labels), pa.int32()), "size": pa.array(sizes, pa.int64())}
+    numbers = {"task": pa.array([0] * len(labels), pa.int64()), "size": pa.array(sizes, pa.int64()), "block": pa.array([0] * len(labels), pa.int8())}
     return pa.table(numbers | {"label": pa.array(labels, pa.binary()), "class_id": pa.array(ids, pa.binary()), "component": pa.array(ids, pa.binary())})
 
 
@@ -120,3 +120,25 @@ def test_long_texts_are_linked(spark):
         rows.append((2 * k + 1, " ".join(map(str, words))))
     got = nd.near_duplicates(docs(spark, rows), k=4).select("doc_id", "component_id").collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == {i: i - i % 2 for i in range(8)}
+
+
+def test_every_pair_across_components_of_a_crowded_region_meets(spark, monkeypatch):
+    monkeypatch.setattr(nd, "REGION", 8)
+    n, name = 45, lambda k: k.to_bytes(8, "big") * 2
+    component = [0 if k < 20 else 20 + (k - 20) // 2 for k in range(n)]
+    dense = [(t, bytes([t] * 12 + [k] * nd.MINIMA), name(k), 5) for t, k in [(0, k) for k in range(n)] + [(1, 1), (1, 2), (1, 44)] + [(2, k) for k in range(20)]]
+    dense = spark.createDataFrame(dense, "tree int, label binary, class_id binary, size long")
+    grouped = spark.createDataFrame([(name(k), name(c)) for k, c in enumerate(component) if k < 40], "node binary, component binary")
+    known = dense.join(grouped.toDF("class_id", "component"), "class_id", "left").selectExpr("tree", "label", "class_id", "size", "coalesce(component, class_id) component")
+    component[40:] = range(40, 45)
+    tasks, seen = {}, {}
+    for r in nd._tasks(known, dense, grouped).collect():
+        tasks.setdefault((r["task"], bytes(r["label"])[0]), []).append((int.from_bytes(r["class_id"][:8], "big"), r["block"]))
+    for (_, tree), own in tasks.items():
+        for a, x in own:
+            for b, y in own:
+                if component[a] < component[b] and (x != y or x == 0):
+                    seen[tree, a, b] = seen.get((tree, a, b), 0) + 1
+    want = {(0, a, b) for a in range(n) for b in range(n) if component[a] < component[b]} | {(1, 1, 44), (1, 2, 44)}
+    assert seen == dict.fromkeys(want, 1)
+    assert len(tasks) > 20
