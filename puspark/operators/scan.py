@@ -21,7 +21,8 @@ EDGE_ROWS = 64
 
 
 class Scan(NamedTuple):
-    """One running aggregate: ``how`` is ``sum`` or ``max``; ``upto`` 0 includes the row itself, -1 stops before it."""
+    """One running aggregate: ``how`` is ``sum``, ``xor`` (of integers) or ``max``; ``upto`` 0 includes the row itself, -1
+    stops before it. Sums and xors of nothing are 0."""
 
     name: str
     value: Column
@@ -29,6 +30,9 @@ class Scan(NamedTuple):
     upto: int = 0
 
 
+_HOW = {"sum": F.sum, "xor": F.bit_xor, "max": F.max}
+
+
 def double_array(values: Sequence[float]) -> Column:
     """A literal array; as one expression text, for a literal per value takes long to put together."""
     return F.expr(f"array({', '.join(f'{float(v)!r}D' for v in values)})")
@@ -71,12 +75,11 @@ def two_level_scan(
     """Add running aggregates along ``order`` within ``keys``; ``block`` must not decrease along the order."""
     groups = [*keys, block]
     values = [f"_v_{s.name}" for s in scans]
-    total = {"sum": F.sum, "max": F.max}
     earlier = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
-    totals = df.groupBy(*groups).agg(*[total[s.how](s.value).alias(v) for s, v in zip(scans, values)])
+    totals = df.groupBy(*groups).agg(*[_HOW[s.how](s.value).alias(v) for s, v in zip(scans, values)])
     # what came before a block enters it as one more row at its head: no join, and the rows are shuffled once
     heads = totals.select(
-        *groups, F.lit(0).alias("_row"), *[total[s.how](v).over(earlier).alias(v) for s, v in zip(scans, values)]
+        *groups, F.lit(0).alias("_row"), *[_HOW[s.how](v).over(earlier).alias(v) for s, v in zip(scans, values)]
     )
     rows = df.select("*", F.lit(1).alias("_row"), *[s.value.alias(v) for s, v in zip(scans, values)])
     inside = [Scan(s.name, F.col(v), s.how, s.upto) for s, v in zip(scans, values)]
@@ -89,5 +92,6 @@ def _one_level_scan(df: DataFrame, scans: Sequence[Scan], order: Sequence[str],
     running = {}
     for s in scans:
         frame = along.rowsBetween(Window.unboundedPreceding, s.upto)
-        running[s.name] = F.coalesce(F.sum(s.value).over(frame), F.lit(0)) if s.how == "sum" else F.max(s.value).over(frame)
+        value = _HOW[s.how](s.value).over(frame)
+        running[s.name] = value if s.how == "max" else F.coalesce(value, F.lit(0))
     return df.withColumns(running)
