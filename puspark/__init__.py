@@ -10,6 +10,7 @@ from puspark.operators.sampling import (
     assign_folds,
     downsample,
     downsample_bags,
+    downsample_sets,
     explicit_grid,
     folds_for,
     latin_hypercube,
@@ -17,6 +18,7 @@ from puspark.operators.sampling import (
     split,
     with_folds,
 )
+from puspark.operators.splits import bootstrap_splits, members, monte_carlo_splits, repeated_folds
 from puspark.operators.threshold import pick_threshold, threshold_sweep
 from puspark.operators.tuning import auc_by_fold, auc_summary, best_config, grouped_auc, summarise_tuning
 from puspark.plans.classification import classified_entities, classify_pu
@@ -31,6 +33,7 @@ __all__ = [
     "auc_summary",
     "best_config",
     "beta_moments",
+    "bootstrap_splits",
     "calibrate_threshold",
     "classified_entities",
     "classify",
@@ -40,6 +43,7 @@ __all__ = [
     "density_ratio",
     "downsample",
     "downsample_bags",
+    "downsample_sets",
     "draw_samples",
     "ensemble_mean",
     "entity_table",
@@ -55,7 +59,9 @@ __all__ = [
     "latin_hypercube",
     "linear_bin",
     "make_bags",
+    "members",
     "model_keys",
+    "monte_carlo_splits",
     "partial_running_max",
     "pick_threshold",
     "prior_curve",
@@ -63,6 +69,7 @@ __all__ = [
     "pu_metrics",
     "raw_ratio",
     "recall",
+    "repeated_folds",
     "rolling_median",
     "score_rows",
     "score_stats",

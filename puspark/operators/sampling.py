@@ -216,13 +216,38 @@ def downsample_bags(
         )
         .filter("n > 0")
     )
+    return _kept_rows(drawn, hist, F.col("fold_id") != F.col("_fold"), label, ratio, key)
+
+
+def downsample_sets(analysis: DataFrame, bags: DataFrame, label: str, ratio: float, key: str = "ind_id") -> DataFrame:
+    """The training sample of every (common_seed, bag, fold_id) from rows that say which sets they are in.
+
+    ``analysis`` holds a row once per (common_seed, fold_id) it trains, with ``times``: how often; sets may overlap. Each
+    time is a row of its own, drawn by itself. Counts are taken per set; only narrow columns are repeated for them.
+    """
+    model = ["common_seed", "bag", "fold_id"]
+    seeds = bags.select("common_seed", "bag", "recipe_seed", "counter")
+    own = F.when(F.col("_copy") == 1, F.col(key).cast("string")).otherwise(F.concat_ws("|", key, "_copy"))
+    drawn = (
+        analysis.withColumn("_copy", F.explode(F.sequence(F.lit(1), "times")))
+        .join(small_side(seeds), "common_seed")
+        .withColumn("_draw", draw("recipe_seed", own))
+        .withColumn("_prefix", F.substring("_draw", 1, PREFIX_DIGITS))
+        .drop("times", "_copy")
+    )
+    hist = drawn.groupBy(*model, label, "_prefix").agg(F.count(F.lit(1)).alias("n"))
+    return _kept_rows(drawn, hist, F.col("fold_id") == F.col("_fold"), label, ratio, key)
+
+
+def _kept_rows(drawn: DataFrame, hist: DataFrame, of_set: Column, label: str, ratio: float, key: str) -> DataFrame:
+    """Rows of every model's sample; ``of_set`` tells whether a row's ``fold_id`` is in the set of split ``_fold``."""
     renamed = {"common_seed": "_seed", "bag": "_bag", "fold_id": "_fold", label: "_label"}
-    cut = materialise(_cutoffs(hist, model, label, ratio).withColumnsRenamed(renamed))
+    cut = materialise(_cutoffs(hist, ["common_seed", "bag", "fold_id"], label, ratio).withColumnsRenamed(renamed))
     matched = (
         (F.col("common_seed") == F.col("_seed"))
         & (F.col("bag") == F.col("_bag"))
         & F.col(label).eqNullSafe(F.col("_label"))
-        & (F.col("fold_id") != F.col("_fold"))
+        & of_set
         & (F.col("_edge").isNull() | (F.col("_prefix") <= F.col("_edge")))
     )
     narrow = drawn.select("common_seed", "bag", "fold_id", label, key, "_draw", "_prefix")

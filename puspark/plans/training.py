@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from puspark.operators.checks import require_columns, require_unique
 from puspark.operators.sampling import downsample_bags, explicit_grid, require_partition, with_folds
+from puspark.operators.splits import is_split_table, require_disjoint, split_samples
 from puspark.sources.shared import materialise, table_path
 
 #: Tree nodes of the forests that score rows side by side: some 90 bytes of a task's binary each.
@@ -49,15 +50,22 @@ class Samples(NamedTuple):
 def draw_samples(
     features: DataFrame, folds: DataFrame, bags: DataFrame, ratio: float, label: str = "known_pos", key: str = "ind_id"
 ) -> Samples:
-    """The folded feature table and the training sample of every model, both written."""
+    """The rows every split assesses and the training sample of every model, both written.
+
+    ``folds`` is a table of folds, which are trained on all others of their seed, or a split table, whose sets may overlap.
+    """
     require_columns(features, [key, label])
     require_columns(folds, ["common_seed", "fold_id", key])
     require_columns(bags, ["common_seed", "bag", "recipe_seed", "counter"])
     require_unique(features, key)
-    require_partition(features, folds, key)
     fold = ["common_seed", "fold_id"]
     model = ["common_seed", "bag", "fold_id"]
     # rebalancing groups rows by directory and still splits a large one over several tasks
+    if is_split_table(folds):
+        require_disjoint(features, folds, key)
+        assessed, training = split_samples(features, folds, bags, label, ratio, key)
+        return Samples(materialise(assessed.hint("rebalance", *fold), fold), materialise(training.hint("rebalance", *model), model))
+    require_partition(features, folds, key)
     folded = materialise(with_folds(features, folds, key).hint("rebalance", *fold), fold)
     training = downsample_bags(folded, bags, label, ratio, key)
     return Samples(folded, materialise(training.hint("rebalance", *model), model))

@@ -164,6 +164,42 @@ def split_rows(spark, folder):
     return analysis.unionByName(assessment)
 
 
+REPEATS = 2
+SHARE = 0.75
+SAMPLES = 3
+
+
+def split_repeated_rows(spark, folder):
+    """Both parts of all splits of repeated folds, row by row."""
+    return pu.repeated_folds(labelled(spark, folder), FOLDS, REPEATS, SEEDS[:1], strata="known_pos").drop("times")
+
+
+def split_monte_carlo_rows(spark, folder):
+    return pu.monte_carlo_splits(labelled(spark, folder), SHARE, SAMPLES, SEEDS, strata="known_pos").drop("times")
+
+
+def bootstrap_rows(spark, folder):
+    """How often every row is in every bootstrap sample, and the rows that are in none."""
+    return pu.bootstrap_splits(labelled(spark, folder), SAMPLES, SEEDS, strata="known_pos")
+
+
+def downsample_bootstrap(spark, folder):
+    """The training sample of every bag and bootstrap sample: how many copies of every row are kept."""
+    docs = labelled(spark, folder)
+    splits = materialise(pu.bootstrap_splits(docs, SAMPLES, SEEDS, strata="known_pos"))
+    sample = pu.downsample_sets(pu.members(docs, splits, "analysis"), pu.make_bags(spark, SEEDS, BAGS), "known_pos", RATIO)
+    return sample.groupBy("common_seed", "bag", "fold_id", "ind_id", "known_pos").agg(F.count(F.lit(1)).alias("copies"))
+
+
+def tune_cv_repeated(spark, folder):
+    """What each model of overlapping splits scored, with its config."""
+    features, _ = _features(spark, folder)
+    splits = materialise(pu.repeated_folds(features, FOLDS, REPEATS, SEEDS[:1], strata="known_pos"))
+    grid = spark.createDataFrame([(1, 3, 3)], "config int, num_trees int, max_depth int")
+    bags = pu.make_bags(spark, SEEDS[:1], 1)
+    return _coverage(pu.tune_cv(features, splits, bags, grid, stages(), RATIO, _forest(), parallelism=6), "config")
+
+
 def tune_cv_scores(spark, folder):
     """Every scored row with its model's key and label, and whether its score is a probability."""
     tuned = _tuned(spark, folder)
@@ -218,6 +254,10 @@ QUERIES = {
         fold_assign_grouped,
         fold_sizes_analysis_assessment,
         split_rows,
+        split_repeated_rows,
+        split_monte_carlo_rows,
+        bootstrap_rows,
+        downsample_bootstrap,
         bag_table,
         downsample_bag,
         downsample_all_bags,
@@ -225,6 +265,7 @@ QUERIES = {
         grid_latin_hypercube,
         tune_cv_scores,
         tune_cv_coverage,
+        tune_cv_repeated,
         train_predict_assess,
         train_predict_holdout,
         train_predict_coverage,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from registered.documents import BAGS, CONFIGS, FOLDS, RATIO, SEEDS
+from registered.documents import BAGS, CONFIGS, FOLDS, RATIO, REPEATS, SAMPLES, SEEDS, SHARE
 
 # --- order scores ----------------------------------------------------------------------------------------------
 
@@ -325,7 +325,59 @@ _HELD = """SELECT common_seed, bag, counter, fold_id, CAST(1 AS INTEGER) AS hold
   CAST(1 AS INTEGER) AS known_neg, CAST(1 AS INTEGER) AS in_range FROM models CROSS JOIN held"""
 _STRATUM = "ROW_NUMBER() OVER (PARTITION BY s ORDER BY md5(s || '|{name}|' || c), c)"
 
+
+def _drawn(n: int, seeds: str) -> str:
+    """Numbered draws of every seed, and each row's place in its class's draw."""
+    return f"""drawn AS (SELECT s, i, s * 1000 + i AS d FROM (SELECT unnest([{seeds}]) AS s) CROSS JOIN (SELECT unnest(range(1, {n} + 1)) AS i)),
+ranked AS MATERIALIZED (
+  SELECT s, i, d, ind_id, known_pos, COUNT(*) OVER (PARTITION BY d, known_pos) AS n,
+         ROW_NUMBER() OVER (PARTITION BY d, known_pos ORDER BY md5(d || '|' || ind_id), ind_id) - 1 AS place
+  FROM docs CROSS JOIN drawn)"""
+
+
+_REPEATED = f"""{_drawn(REPEATS, str(SEEDS[0]))},
+repeated AS (
+  SELECT CAST(s AS INTEGER) AS common_seed, 'Repeat' || i || '.Fold' || f AS fold_id, ind_id, known_pos,
+         CASE WHEN place % {FOLDS} + 1 = f THEN 'assessment' ELSE 'analysis' END AS part
+  FROM ranked CROSS JOIN (SELECT unnest(range(1, {FOLDS} + 1)) AS f))"""
+_BOOTSTRAP = f"""{_drawn(SAMPLES, _SEEDS)},
+picks AS (
+  SELECT d, known_pos, CAST('0x' || md5('pick|' || d || '|' || known_pos || '|' || place)[1:15] AS BIGINT) % n AS place, COUNT(*) AS times
+  FROM ranked GROUP BY ALL),
+sampled AS (
+  SELECT CAST(s AS INTEGER) AS common_seed, 'Bootstrap' || i AS fold_id, ind_id, known_pos,
+         CASE WHEN times IS NULL THEN 'assessment' ELSE 'analysis' END AS part, CAST(COALESCE(times, 1) AS INTEGER) AS times
+  FROM ranked LEFT JOIN picks USING (d, known_pos, place))"""
+_COPIES = f"""{_BOOTSTRAP},
+copied AS (
+  SELECT common_seed, bag, recipe_seed, fold_id, ind_id, known_pos, unnest(range(1, times + 1)) AS copy
+  FROM sampled JOIN bags USING (common_seed) WHERE part = 'analysis'),
+place AS (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY common_seed, bag, fold_id, known_pos ORDER BY
+    md5(recipe_seed || '|' || ind_id || CASE WHEN copy > 1 THEN '|' || copy ELSE '' END), ind_id) AS place FROM copied),
+cap AS (
+  SELECT common_seed, bag, fold_id, floor(MIN(n) * CAST({RATIO} AS DOUBLE)) AS cap FROM (
+    SELECT common_seed, bag, fold_id, known_pos, COUNT(*) AS n FROM copied GROUP BY ALL) GROUP BY ALL)"""
+
 DOCUMENTS = {
+    "split_repeated_rows": docs("SELECT common_seed, fold_id, ind_id, part FROM repeated", _REPEATED),
+    "split_monte_carlo_rows": docs(
+        f"""SELECT CAST(s AS INTEGER) AS common_seed, 'Split' || i AS fold_id, ind_id,
+  CASE WHEN place < floor(n * CAST({SHARE} AS DOUBLE)) THEN 'analysis' ELSE 'assessment' END AS part FROM ranked""",
+        _drawn(SAMPLES, _SEEDS),
+    ),
+    "bootstrap_rows": docs("SELECT common_seed, fold_id, ind_id, part, times FROM sampled", _BOOTSTRAP),
+    "downsample_bootstrap": docs(
+        """SELECT common_seed, bag, fold_id, ind_id, known_pos, COUNT(*) AS copies
+FROM place JOIN cap USING (common_seed, bag, fold_id) WHERE place <= cap GROUP BY ALL""",
+        _COPIES,
+    ),
+    "tune_cv_repeated": docs(
+        """SELECT common_seed, CAST(1 AS INTEGER) AS bag, fold_id, CAST(1 AS INTEGER) AS config, COUNT(*) AS n_rows,
+  COUNT(DISTINCT ind_id) AS n_entities, CAST(SUM(known_pos) AS BIGINT) AS n_pos, CAST(1 AS INTEGER) AS in_range
+FROM repeated WHERE part = 'assessment' GROUP BY common_seed, fold_id""",
+        _REPEATED,
+    ),
     "fold_assign": docs(
         f"SELECT CAST(s AS INTEGER) AS common_seed, {_FOLD.format(part='s', unit='ind_id')} AS fold_id, ind_id FROM docs CROSS JOIN seeds"
     ),
