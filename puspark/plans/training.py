@@ -1,15 +1,18 @@
 """Cross-validated random-forest ensembles: one forest per (seed, bag, fold, config), every row scored out of fold.
 
 The feature table is joined with its folds once and written partitioned by fold; all training samples are drawn in
-one pass and written partitioned by model, so a fit reads its own sample only. Forests are fitted a few at a time;
-their scores are written and they are let go before the next ones, so neither the driver nor a task ever holds more
-than one chunk of them, and a chunk is bounded by the number of tree nodes.
+one pass and written partitioned by model, so a fit reads its own sample only. Forests are fitted a few at a time, large
+ones in slices of trees, whose votes are added up; their scores are written and they are let go. What a task holds of
+them is bounded by a number of tree nodes that is known before they are fitted.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator, Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
+from functools import reduce
+from operator import add
 from typing import NamedTuple
 
 from pyspark import inheritable_thread_target
@@ -26,6 +29,8 @@ from puspark.sources.shared import materialise, table_path
 
 #: Tree nodes of the forests that score rows side by side: some 90 bytes of a task's binary each.
 NODES_PER_SCAN = 250_000
+#: Between the seeds of a forest's slices.
+SEED_STEP = 1_000_003
 NOT_PARAMETERS = ("common_seed", "config")
 
 
@@ -38,8 +43,25 @@ class ModelKey(NamedTuple):
 
 
 class Fitted(NamedTuple):
+    """A forest, or ``trees`` of its ``all_trees``."""
+
     key: ModelKey
     model: PipelineModel
+    trees: int = 1
+    all_trees: int = 1
+
+    @property
+    def nodes(self) -> int:
+        return self.model.stages[-1].totalNumNodes
+
+
+class Slice(NamedTuple):
+    """Trees to fit: the ``number``-th slice of a forest."""
+
+    key: ModelKey
+    number: int
+    trees: int
+    all_trees: int
 
 
 class Samples(NamedTuple):
@@ -96,6 +118,17 @@ def _configured(forest: RandomForestClassifier, key: ModelKey, fixed: Mapping[st
     return forest.copy(settings)
 
 
+def tree_slices(key: ModelKey, forest: RandomForestClassifier, rows: int, nodes: int) -> list[Slice]:
+    """The trees of a forest in slices of at most ``nodes`` nodes; one tree is the least slice.
+
+    A tree of depth d has less than 2^(d+1) nodes, and less than twice as many as its leaves can have rows.
+    """
+    leaves = max(1, rows // max(1, forest.getMinInstancesPerNode()))
+    most = min(2 ** (forest.getMaxDepth() + 1) - 1, 2 * leaves - 1)
+    own, all_trees = max(1, nodes // most), forest.getNumTrees()
+    return [Slice(key, i, min(own, all_trees - start), all_trees) for i, start in enumerate(range(0, all_trees, own))]
+
+
 def fit_models(
     training: DataFrame,
     keys: Sequence[ModelKey],
@@ -105,55 +138,82 @@ def fit_models(
     parallelism: int = 4,
     nodes: int = NODES_PER_SCAN,
 ) -> Iterator[list[Fitted]]:
-    """Fit one pipeline per key; chunks of one fold with about ``nodes`` tree nodes, by whole rounds of ``parallelism``.
+    """Fit one pipeline per key, in slices of at most ``nodes`` tree nodes; chunks hold slices of one split.
 
-    Driver threads only submit the jobs; the fits themselves run on the executors. A chunk is not held here once it is
-    handed out.
+    Driver threads only submit the jobs, ``parallelism`` at a time, and the next one as soon as one is done; the fits
+    themselves run on the executors. A chunk is handed out once slices with ``nodes`` nodes wait, or all of its split
+    are done, and is not held here then. The first slice is drawn by the model's seed, further ones by their own.
     """
-
-    def fit(key: ModelKey) -> Fitted:
+    model = ["common_seed", "bag", "fold_id"]
+    sizes = {tuple(r[c] for c in model): r["count"] for r in training.groupBy(*model).count().collect()}
+    slices: list[Slice] = []
+    for key in sorted(keys, key=lambda k: (k.common_seed, k.fold_id)):
+        configured = _configured(forest, key, fixed or {})
+        slices += tree_slices(key, configured, sizes.get((key.common_seed, key.bag, key.fold_id), 0), nodes)
+
+    def fit(part: Slice) -> Fitted:
+        key = part.key
         sample = training.filter(
             (F.col("common_seed") == key.common_seed) & (F.col("bag") == key.bag) & (F.col("fold_id") == key.fold_id)
         )
-        steps = [stage.copy() for stage in stages] + [_configured(forest, key, fixed or {})]
-        return Fitted(key, Pipeline(stages=steps).fit(sample))
+        trees = _configured(forest, key, fixed or {}).setNumTrees(part.trees)
+        steps = [stage.copy() for stage in stages] + [trees.setSeed(trees.getSeed() + SEED_STEP * part.number)]
+        return Fitted(key, Pipeline(stages=steps).fit(sample), part.trees, part.all_trees)
+
+    def split_of(key: ModelKey) -> tuple[int, str]:
+        return key.common_seed, key.fold_id
 
-    by_fold: dict[tuple[int, str], list[ModelKey]] = {}
-    for key in keys:
-        by_fold.setdefault((key.common_seed, key.fold_id), []).append(key)
+    left = Counter(split_of(part.key) for part in slices)
+    held: dict[tuple[int, str], list[Fitted]] = {}
     wrapped = inheritable_thread_target(training.sparkSession)(fit)
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        for own in by_fold.values():
-            chunk: list[Fitted] = []
-            for i in range(0, len(own), parallelism):
-                chunk += pool.map(wrapped, own[i : i + parallelism])
-                if sum(m.model.stages[-1].totalNumNodes for m in chunk) >= nodes:
-                    yield chunk
-                    chunk = []
-            if chunk:
-                yield chunk
+        running: set[Future[Fitted]] = set()
+        try:
+            while slices or running:
+                while slices and len(running) < parallelism:
+                    running.add(pool.submit(wrapped, slices.pop(0)))
+                done, running = wait(running, return_when=FIRST_COMPLETED)
+                while done:
+                    one = done.pop().result()
+                    held.setdefault(split_of(one.key), []).append(one)
+                    left[split_of(one.key)] -= 1
+                    del one
+                ready = [name for name in held if not left[name]]
+                if not ready and sum(m.nodes for own in held.values() for m in own) >= nodes:
+                    ready = [max(held, key=lambda name: sum(m.nodes for m in held[name]))]
+                for name in ready:
+                    yield held.pop(name)
+        finally:
+            for future in running:
+                future.cancel()
 
 
 def score_rows(rows: DataFrame, models: Sequence[Fitted], keep: Sequence[str]) -> DataFrame:
-    """Each of ``rows`` scored by each of ``models``, in one scan: (model key, kept columns, score)."""
+    """Each of ``rows`` scored by each of ``models``, in one scan: (model key, kept columns, score).
+
+    Slices of one forest give one row: the sum of their votes over the number of all its trees.
+    """
     wide = rows
     base = rows.columns
-    scores: list[str] = []
+    votes: dict[ModelKey, list[str]] = {}
     for i, fitted in enumerate(models):
         probability = fitted.model.stages[-1].getProbabilityCol()
-        scores.append(f"_score{i}")
-        score = F.get(vector_to_array(probability), F.lit(1)).alias(scores[-1])
-        wide = fitted.model.transform(wide).select(*base, *scores[:-1], score)
+        before = [name for names in votes.values() for name in names]
+        share = F.get(vector_to_array(probability), F.lit(1))
+        if fitted.trees != fitted.all_trees:
+            share = share * F.lit(fitted.trees / fitted.all_trees)
+        wide = fitted.model.transform(wide).select(*base, *before, share.alias(f"_votes{i}"))
+        votes.setdefault(fitted.key, []).append(f"_votes{i}")
     each = [
         F.struct(
-            F.lit(m.key.common_seed).alias("common_seed"),
-            F.lit(m.key.bag).alias("bag"),
-            F.lit(m.key.counter).alias("counter"),
-            F.lit(m.key.fold_id).alias("fold_id"),
-            *[F.lit(value).alias(name) for name, value in m.key.params],
-            F.col(scores[i]).alias("score"),
+            F.lit(key.common_seed).alias("common_seed"),
+            F.lit(key.bag).alias("bag"),
+            F.lit(key.counter).alias("counter"),
+            F.lit(key.fold_id).alias("fold_id"),
+            *[F.lit(value).alias(name) for name, value in key.params],
+            reduce(add, [F.col(name) for name in names]).alias("score"),
         )
-        for i, m in enumerate(models)
+        for key, names in votes.items()
     ]
     return wide.select(*keep, F.inline(F.array(*each)))
 
@@ -173,16 +233,33 @@ def score_holdout(holdout: DataFrame, models: Sequence[Fitted], keep: Sequence[s
 def _written(
     spark: SparkSession, chunks: Iterator[list[Fitted]], scored: Callable[[list[Fitted]], Sequence[DataFrame]]
 ) -> DataFrame:
-    """The scores of all chunks in one table; each chunk is scored, written and let go before the next one is fitted."""
-    path, schema = table_path(spark), None
+    """The scores of all chunks in one table; each chunk is scored, written and let go.
+
+    Votes of forests that are in several chunks are written beside it and added up at the end.
+    """
+    whole, parts, schema, sliced = table_path(spark), table_path(spark), None, False
     for models in chunks:
-        for part in scored(models):
-            part.write.mode("append").parquet(path)
-            schema = part.schema
-        del models
+        trees = Counter()
+        for m in models:
+            trees[m.key] += m.trees
+        complete = [m for m in models if trees[m.key] == m.all_trees]
+        partial = [m for m in models if trees[m.key] != m.all_trees]
+        for path, own in ((whole, complete), (parts, partial)):
+            for part in scored(own) if own else ():
+                part.write.mode("append").parquet(path)
+                schema = part.schema
+        sliced |= bool(partial)
+        del models, complete, partial
+        m = own = part = None
     if schema is None:
         raise ValueError("there is no model to fit: seeds of folds, bags and grid have none in common")
-    return spark.read.schema(schema).parquet(path)
+    spark.createDataFrame([], schema).write.mode("append").parquet(whole)
+    table = spark.read.schema(schema).parquet(whole)
+    if not sliced:
+        return table
+    votes = spark.read.schema(schema).parquet(parts)
+    added = votes.groupBy(*[c for c in votes.columns if c != "score"]).agg(F.sum("score").alias("score"))
+    return table.unionByName(materialise(added))
 
 
 def tune_cv(
@@ -196,12 +273,13 @@ def tune_cv(
     label: str = "known_pos",
     key: str = "ind_id",
     parallelism: int = 4,
+    nodes: int = NODES_PER_SCAN,
 ) -> DataFrame:
     """Out-of-fold scores of every config in ``grid``: (seed, bag, counter, fold, parameters, key, label, score)."""
     samples = draw_samples(features, folds, bags, ratio, label, key)
     keys = model_keys(folds, bags, grid)
     forest = forest or RandomForestClassifier(labelCol=label)
-    chunks = fit_models(samples.training, keys, stages, forest, parallelism=parallelism)
+    chunks = fit_models(samples.training, keys, stages, forest, parallelism=parallelism, nodes=nodes)
     return _written(features.sparkSession, chunks, lambda models: [score_assessment(samples.folded, models, [key, label])])
 
 
@@ -218,6 +296,7 @@ def fit_predict_cv(
     negative: str = "known_neg",
     key: str = "ind_id",
     parallelism: int = 4,
+    nodes: int = NODES_PER_SCAN,
 ) -> DataFrame:
     """Scores of one config: every row out of fold (holdout 0), every row of ``holdout`` by every model (holdout 1)."""
     samples = draw_samples(features, folds, bags, ratio, label, key)
@@ -229,5 +308,5 @@ def fit_predict_cv(
         out = [score_assessment(samples.folded, models, keep).withColumn("holdout", F.lit(0))]
         return out if holdout is None else [*out, score_holdout(holdout, models, keep).withColumn("holdout", F.lit(1))]
 
-    chunks = fit_models(samples.training, keys, stages, forest, params, parallelism)
+    chunks = fit_models(samples.training, keys, stages, forest, params, parallelism, nodes)
     return _written(features.sparkSession, chunks, scored)

@@ -110,7 +110,6 @@ def test_entities_without_a_fold_are_refused(spark, features, folds):
 
 def test_several_seeds_and_chunks(spark, features, monkeypatch):
     """Both seeds are tuned, and no more forests than one chunk's are held at a time."""
-    monkeypatch.setattr(training, "NODES_PER_SCAN", 1)
     alive = []
     fit = training.fit_models
 
@@ -118,7 +117,7 @@ def test_several_seeds_and_chunks(spark, features, monkeypatch):
         import gc
         import weakref
 
-        for chunk in fit(*args, **options, nodes=1):
+        for chunk in fit(*args, **{**options, "nodes": 1}):
             gc.collect()
             assert sum(r() is not None for r in alive) == 0
             alive.extend(weakref.ref(m.model) for m in chunk)
@@ -130,7 +129,8 @@ def test_several_seeds_and_chunks(spark, features, monkeypatch):
     grid = spark.createDataFrame([(1, 2, 2), (2, 3, 2)], "config int, num_trees int, max_depth int")
     got = pu.tune_cv(features, folds, pu.make_bags(spark, [3, 4], 1), grid, stages(), 1.0, forest(), parallelism=1)
     assert got.count() == 2 * 2 * features.count()
-    assert len(alive) == 2 * 2 * 2
+    # every tree is a slice of its own
+    assert len(alive) == 2 * 2 * (2 + 3)
     assert pu.summarise_tuning(got).best.count() == 2
 
 
@@ -146,3 +146,32 @@ def test_forest_takes_more_names_than_bins(spark, features, folds):
 def test_nothing_to_fit_is_an_error(spark, features, folds):
     with pytest.raises(ValueError, match="no model"):
         pu.fit_predict_cv(features, folds, pu.make_bags(spark, [99], 1), stages(), 1.0, None, None, forest())
+
+
+def test_slices_hold_the_bound_and_add_up(spark, features, folds):
+    """A forest of ten times the bound is fitted in slices below it; its scores are the trees' mean votes."""
+    bags = pu.make_bags(spark, [3], 1)
+    samples = draw_samples(features, folds, bags, 1.0)
+    params, bound = {"num_trees": 20, "max_depth": 4}, 2 * 31
+    keys = model_keys(folds, bags)
+    fitted = [m for chunk in training.fit_models(samples.training, keys, stages(), forest(), params, 3, bound) for m in chunk]
+    assert all(m.nodes <= bound and m.trees == 2 and m.all_trees == 20 for m in fitted)
+    assert sum(m.nodes for m in fitted) > 5 * bound and len(fitted) == 2 * 10
+    want = {}
+    for m in fitted:
+        rows = m.model.transform(samples.folded.filter(F.col("fold_id") == m.key.fold_id)).select("ind_id", "probability").collect()
+        for r in rows:
+            want[r["ind_id"]] = want.get(r["ind_id"], 0) + r["probability"][1] / 10
+    got = pu.fit_predict_cv(features, folds, bags, stages(), 1.0, params, None, forest(), parallelism=3, nodes=bound).collect()
+    assert {r["ind_id"]: round(r["score"], 9) for r in got} == {i: round(v, 9) for i, v in want.items()}
+    assert len(got) == features.count()
+
+
+def test_slices_of_a_forest():
+    key = training.ModelKey(1, 1, 1, "Fold1", ())
+    deep = RandomForestClassifier(numTrees=7, maxDepth=20)
+    assert [s.trees for s in training.tree_slices(key, deep, 100, 2 * 199)] == [2, 2, 2, 1]
+    assert [s.trees for s in training.tree_slices(key, deep, 100, 10)] == [1] * 7
+    assert [s.trees for s in training.tree_slices(key, RandomForestClassifier(numTrees=7, maxDepth=3), 10**9, 15 * 7)] == [7]
+    assert [s.trees for s in training.tree_slices(key, deep.copy().setMinInstancesPerNode(50), 100, 6)] == [2, 2, 2, 1]
+    assert [s.trees for s in training.tree_slices(key, deep, 0, 100)] == [7]
