@@ -1,13 +1,16 @@
 """Positive-unlabeled classification on Spark DataFrames."""
 
+from puspark.operators.balance import balanced_group_folds, numeric_strata
 from puspark.operators.confidence import classify, with_confidence
 from puspark.operators.density import density_at, kde_grid, kde_plan, linear_bin, raw_ratio, split_scores
+from puspark.operators.encoding import target_rates, with_target_rates
 from puspark.operators.ensemble import assessment_rows, beta_moments, ensemble_mean, entity_table, score_stats
 from puspark.operators.metrics import pu_metrics, recall
 from puspark.operators.ordered import expand_runs, partial_running_max, rolling_median, with_position
 from puspark.operators.prior import prior_curve, prior_from_curve
 from puspark.operators.sampling import (
     assign_folds,
+    data_ranges,
     downsample,
     downsample_bags,
     downsample_sets,
@@ -31,6 +34,7 @@ __all__ = [
     "assign_folds",
     "auc_by_fold",
     "auc_summary",
+    "balanced_group_folds",
     "best_config",
     "beta_moments",
     "bootstrap_splits",
@@ -38,6 +42,7 @@ __all__ = [
     "classified_entities",
     "classify",
     "classify_pu",
+    "data_ranges",
     "densities",
     "density_at",
     "density_ratio",
@@ -62,6 +67,7 @@ __all__ = [
     "members",
     "model_keys",
     "monte_carlo_splits",
+    "numeric_strata",
     "partial_running_max",
     "pick_threshold",
     "prior_curve",
@@ -76,10 +82,12 @@ __all__ = [
     "split",
     "split_scores",
     "summarise_tuning",
+    "target_rates",
     "threshold_sweep",
     "tune_cv",
     "with_confidence",
     "with_folds",
     "with_position",
+    "with_target_rates",
     "workspace",
 ]

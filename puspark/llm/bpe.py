@@ -21,11 +21,17 @@ from functools import cache, cached_property
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
 #: Words whose tokens a task keeps; beyond that it starts anew.
-KEPT_WORDS = 1 << 17
+KEPT_WORDS = 1 << 18
+#: Answers about pairs of tokens that a task keeps.
+KEPT_PAIRS = 1 << 20
+#: Characters of the property White_Space, and others that str.split takes for it.
+WHITE_SPACE = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACE, SEPARATORS = re.compile(f"[{WHITE_SPACE}]+"), re.compile("[\x1c-\x1f]")
 #: Tokens of a result batch, besides the rest of a longer text.
 BATCH_TOKENS = 1 << 18
 
@@ -68,19 +74,19 @@ class Merges:
         made = [i < self.atoms or self._compatible(self.left[i], self.right[i], i) for i in range(len(spelled))]
         for i in range(self.atoms, len(spelled)):
             made[i] = made[i] and made[self.left[i]] and made[self.right[i]]
-        number = {s: i for s, i in number.items() if made[i]}
-        self.shorter = [next((number[s[:n]] for n in range(len(s) - 1, 0, -1) if s[:n] in number), -1) for s in spelled]
+        self.number = {s: i for s, i in number.items() if made[i]}
+        self.shorter = [next((self.number[s[:n]] for n in range(len(s) - 1, 0, -1) if s[:n] in self.number), -1) for s in spelled]
         self.automaton = ahocorasick.Automaton()
-        for s, i in number.items():
-            self.automaton.add_word(s[::-1], i)
+        for s, i in self.number.items():
+            self.automaton.add_word(s, i)
         self.automaton.make_automaton()
-        self.known: dict[tuple[int, int], bool] = {}
+        self.known: dict[int, bool] = {}
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether merging by rank leaves ``a`` and ``b`` side by side."""
-        key = (a, b)
+        key = a << 32 | b
         if (found := self.known.get(key)) is None:
-            if len(self.known) >= KEPT_WORDS:
+            if len(self.known) >= KEPT_PAIRS:
                 self.known.clear()
             found = self.known[key] = self._compatible(a, b, len(self.spelled))
         return found
@@ -98,34 +104,41 @@ class Merges:
             else:  # a merge of the same number further left goes first
                 earliest, b = b + 1, self.left[b]
 
-    def longest(self, text: str) -> list[int]:
-        """The longest token that starts at each place."""
-        out, last = [-1] * len(text), len(text) - 1
-        for end, token in self.automaton.iter(text[::-1]):
-            at = last - end
-            if out[at] < 0 or self.size[out[at]] < self.size[token]:
-                out[at] = token
-        return out
-
     def encode(self, text: str) -> list[int]:
         """Token numbers of a text of symbols."""
-        longest, alive = self.longest(text), bytearray(b"\x01") * (len(text) + 1)
+        if (whole := self.number.get(text)) is not None:
+            return [whole]
         taken: list[int] = []
-        at, token = 0, longest[0] if text else -1
-        while at < len(text):
-            while token >= 0 and not (alive[at + self.size[token]] and (not taken or self.compatible(taken[-1], token))):
-                token = self.shorter[token]
+        at, last, size, known = 0, -1, self.size, self.known.get
+        for _, token in self.automaton.iter_long(text):
+            if last >= 0 and not (known(last << 32 | token) or self.compatible(last, token)):
+                return self._backtracked(text, taken, at, token)
+            taken.append(token)
+            at, last = at + size[token], token
+        if at < len(text):
+            raise ValueError(f"no tokens for {text[at:][:40]!r}")
+        return taken
+
+    def _backtracked(self, text: str, taken: list[int], at: int, token: int) -> list[int]:
+        """The rest of ``encode`` from the first token, at ``at``, that may not follow the longest ones before it."""
+        size, shorter, compatible, longest, end = self.size, self.shorter, self.compatible, self.automaton.iter_long, len(text)
+        dead: set[int] = set()
+        while True:
+            last = taken[-1] if taken else -1
+            while token >= 0 and ((dead and at + size[token] in dead) or (last >= 0 and not compatible(last, token))):
+                token = shorter[token]
             if token >= 0:
                 taken.append(token)
-                at += self.size[token]
-                token = longest[at] if at < len(text) else -1
+                at += size[token]
+                if at == end:
+                    return taken
+                token = next(longest(text, at))[1]
+            elif taken:
+                dead.add(at)
+                at -= size[last]
+                token = shorter[taken.pop()]
             else:
-                if not taken:
-                    raise ValueError(f"no tokens for {text[:40]!r}")
-                alive[at] = 0
-                at -= self.size[taken[-1]]
-                token = self.shorter[taken.pop()]
-        return taken
+                raise ValueError(f"no tokens for {text[:40]!r}")
 
 
 class Vocabulary:
@@ -141,13 +154,13 @@ class Vocabulary:
         split, bytes_ = file["pre_tokenizer"]["pretokenizers"]
         plain = not (model.get("dropout") or model.get("continuing_subword_prefix") or model.get("ignore_merges") or file.get("decoder"))
         usual = split["behavior"] == "Removed" and split["invert"] and bytes_["type"] == "ByteLevel" and not bytes_["add_prefix_space"] and not bytes_["use_regex"]
-        added = file["added_tokens"]
+        added, replace = file["added_tokens"], file["normalizer"]["normalizers"][1]
         bare = not any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in added)
         if not (normal == ["NFC", "Replace", "Lowercase"] and plain and usual and bare and marked):
             raise ValueError("a file of another kind than byte-level pairs with word ends")
-        replace = file["normalizer"]["normalizers"][1]
-        self.spaces, self.space = regex.compile(replace["pattern"]["Regex"]), replace["content"]
         self.pattern = regex.compile(split["pattern"]["Regex"])
+        if replace["pattern"]["Regex"] != r"\s+" or replace["content"] != " " or any(map(self.pattern.search, WHITE_SPACE)):
+            raise ValueError("words of this file may hold white space")
         self.added = {t["content"]: t["id"] for t in added}
         longest_first = sorted(self.added, key=len, reverse=True)
         self.marks = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if added else None
@@ -168,7 +181,9 @@ class Vocabulary:
         for name, i in [*model["vocab"].items(), *self.added.items()]:
             spelled[i] = name.encode() + b" "
         self.offsets = Offsets(spelled)
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, list[int]] = {}
+        self.chunks: dict[str, tuple[int, ...]] = {}
+        self.settled: set[str] = set()
 
     @cached_property
     def library(self):
@@ -178,59 +193,65 @@ class Vocabulary:
         return Tokenizer.from_str(self.content)
 
     def words(self, text: str) -> list[str]:
-        if not text.isascii() and _unsettled().search(text):
+        if not text.isascii() and not self._settled(text):
             normal = self.library.normalizer.normalize_str(text)
             return [normal[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(normal)]
-        # lower case is taken per character there: no final sigma
-        normal = self.spaces.sub(self.space, unicodedata.normalize("NFC", text)).replace("Σ", "σ").lower()
-        return self.pattern.findall(normal)
-
-    def word_ids(self, word: str) -> tuple[int, ...]:
-        if (found := self.known.get(word)) is None:
-            raw = word.encode()
-            tokens = self.merges.encode(raw[:-1].decode("latin-1") + self.final[raw[-1]])
-            found = tuple(self.ids[t] for t in tokens)
-            if len(self.known) >= KEPT_WORDS:
-                self.known.clear()
-            if len(word) <= 64:
-                self.known[word] = found
+        # lower case is taken per character there: no final sigma; white space is in no word, so none is replaced
+        return self.pattern.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+
+    def _settled(self, text: str) -> bool:
+        """Whether all characters of a text are alike in all versions of Unicode; those found to be are kept."""
+        fresh = set(text) - self.settled
+        if any(map(_differs, fresh)):
+            return False
+        self.settled |= fresh
+        return True
+
+    def word_ids(self, word: str) -> list[int]:
+        raw, ids = word.encode(), self.ids
+        return [ids[t] for t in self.merges.encode(raw[:-1].decode("latin-1") + self.final[raw[-1]])]
+
+    def chunk_ids(self, chunk: str) -> tuple[int, ...]:
+        """Ids of a text without white space, and a note of them: words end at white space at the latest."""
+        out: list[int] = []
+        for word in self.words(chunk):
+            if (found := self.known.get(word)) is None:
+                found = self.word_ids(word)
+                self._keep(word, found)
+            out += found
+        found = tuple(out)
+        self._keep(chunk, found, self.chunks)
         return found
 
+    def _keep(self, text: str, ids: Sequence[int], known: dict | None = None) -> None:
+        known = self.known if known is None else known
+        if len(known) >= KEPT_WORDS:
+            known.clear()
+        if len(text) <= 64:
+            known[text] = ids
+
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
         parts = self.marks.split(text) if self.marks else [text]
+        get = self.chunks.get
         for i, part in enumerate(parts):
             if i % 2:
                 out.append(self.added[part])
-            elif part:
-                for word in self.words(part):
-                    out.extend(self.word_ids(word))
+                continue
+            # separators that only Python takes for white space stay inside
+            for chunk in SPACE.split(part) if SEPARATORS.search(part) else part.split():
+                if (found := get(chunk)) is None:
+                    found = self.chunk_ids(chunk)
+                out += found
         return out
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        """Tokens as written in the file, joined by spaces."""
-        return self.offsets.spell(ids).tobytes()[:-1]
 
-
-@cache
-def _unsettled() -> re.Pattern:
-    """Characters on which versions of Unicode may differ: without a category in Python's tables, as those of other
+def _differs(c: str) -> bool:
+    """Whether versions of Unicode may differ on a character: without a category in Python's tables, as those of other
     libraries may be newer, or younger than Unicode 3.2 and moved or taken apart by normal forms, as they may be older."""
-
-    def differs(c: str) -> bool:
-        if unicodedata.category(c) == "Cn":
-            return True
-        return unicodedata.ucd_3_2_0.category(c) == "Cn" and bool(unicodedata.combining(c) or unicodedata.decomposition(c))
-
-    ranges, start = [], None
-    for c in range(0x110001):
-        missing = c < 0x110000 and differs(chr(c))
-        if missing and start is None:
-            start = c
-        elif not missing and start is not None:
-            ranges.append(f"\\U{start:08x}-\\U{c - 1:08x}")
-            start = None
-    return re.compile(f"[{''.join(ranges)}]")
+    if unicodedata.category(c) == "Cn":
+        return True
+    return unicodedata.ucd_3_2_0.category(c) == "Cn" and bool(unicodedata.combining(c) or unicodedata.decomposition(c))
 
 
 @cache
@@ -238,14 +259,8 @@ def _vocabulary(content: str) -> Vocabulary:
     return Vocabulary(content)
 
 
-def _lists(found: Sequence[Sequence[int]]) -> pa.ListArray:
-    sizes = np.concatenate(([0], np.cumsum([len(f) for f in found]))).astype(np.int32)
-    flat = np.concatenate([np.zeros(0, np.int32), *[np.asarray(f, np.int32) for f in found]])
-    return pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat))
-
-
 def _mapped(df: DataFrame, path: str, column: str, name: str, kind: str, keep: Sequence[str], convert) -> DataFrame:
-    """``keep`` and ``convert(vocabulary, value)`` of every row, a bounded number of tokens at a time."""
+    """``keep`` and what ``convert(vocabulary, values)`` makes of slices of the column, one after another."""
     if name in (c.lower() for c in keep):
         raise ValueError(f"a kept column has the name of the result, {name}")
     with open(path, encoding="utf-8") as file:
@@ -254,19 +269,43 @@ def _mapped(df: DataFrame, path: str, column: str, name: str, kind: str, keep: S
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _vocabulary(content.value)
         for batch in batches:
-            first, found, held = 0, [], 0
-            for i, value in enumerate(batch.column(len(keep))):
-                found.append(convert(vocabulary, value))
-                held += len(found[-1])
-                if held >= BATCH_TOKENS or i + 1 == batch.num_rows:
-                    column = _lists(found) if kind != "string" else pa.array(found, pa.binary()).cast(pa.string())
-                    yield pa.RecordBatch.from_arrays([*[c.slice(first, len(found)) for c in batch.columns[: len(keep)]], column], [*keep, name])
-                    first, found, held = i + 1, [], 0
+            first = 0
+            for made in convert(vocabulary, batch.column(len(keep))):
+                kept = [c.slice(first, len(made)) for c in batch.columns[: len(keep)]]
+                yield pa.RecordBatch.from_arrays([*kept, made], [*keep, name])
+                first += len(made)
 
     schema = ", ".join([*[f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep], f"`{name}` {kind}"])
     return df.select(*keep, column).mapInArrow(run, schema)
 
 
+def _encoded(vocabulary: Vocabulary, texts: pa.Array) -> Iterator[pa.Array]:
+    """Lists of ids, a bounded number of tokens at a time besides the rest of a longer text."""
+    flat, ends = [], [0]
+    for text in texts:
+        flat.extend(vocabulary.encode(text.as_py() or ""))
+        ends.append(len(flat))
+        if len(flat) >= BATCH_TOKENS:
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(flat, np.int32)))
+            flat, ends = [], [0]
+    if len(ends) > 1:
+        yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(flat, np.int32)))
+
+
+def _decoded(vocabulary: Vocabulary, lists: pa.Array) -> Iterator[pa.Array]:
+    """Texts of lists of ids, by one gather for a bounded number of tokens besides the rest of a longer list."""
+    ends = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))))
+    flat, row = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), 0
+    while row < len(lists):
+        last = max(row + 1, int(np.searchsorted(ends, ends[row] + BATCH_TOKENS, "right")) - 1)
+        ids = flat[ends[row] : ends[last]]
+        data, at = vocabulary.offsets.spell(ids), np.concatenate(([0], np.cumsum(vocabulary.offsets.sizes[ids])))[ends[row : last + 1] - ends[row]]
+        raw = data.tobytes()
+        # the space after a text's last token is left out
+        yield pa.array([raw[s : e - 1] if e > s else b"" for s, e in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary()).cast(pa.string())
+        row = last
+
+
 def encode(docs: DataFrame, path: str, keep: Sequence[str] = ("doc_id",), text: str = "text") -> DataFrame:
     """``keep`` columns and ``ids`` (array<int>) of every row's whole text, by the tokenizer file ``path`` of the driver.
 
@@ -275,7 +314,7 @@ def encode(docs: DataFrame, path: str, keep: Sequence[str] = ("doc_id",), text:
     one text is one row, its memory grows with its own length. Rows are read one by one, so that repeated rows are
     alike; an empty table gives an empty result. Other columns are not read; ``keep`` may not hold ``ids``.
     """
-    return _mapped(docs, path, text, "ids", "array<int>", keep, lambda v, value: v.encode(value.as_py() or ""))
+    return _mapped(docs, path, text, "ids", "array<int>", keep, _encoded)
 
 
 def decode(encoded: DataFrame, path: str, keep: Sequence[str] = ("doc_id",), ids: str = "ids") -> DataFrame:
@@ -285,7 +324,4 @@ def decode(encoded: DataFrame, path: str, keep: Sequence[str] = ("doc_id",), ids
     ``decoded``.
     """
 
-    def text(vocabulary: Vocabulary, value: pa.Scalar) -> bytes:
-        return vocabulary.decode(value.values.to_numpy(zero_copy_only=False).astype(np.int64)) if value.is_valid and len(value.values) else b""
-
-    return _mapped(encoded, path, ids, "decoded", "string", keep, text)
+    return _mapped(encoded, path, ids, "decoded", "string", keep, _decoded)

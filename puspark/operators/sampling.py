@@ -282,6 +282,14 @@ def latin_hypercube(
     return grid.groupBy("common_seed", *ranges).agg(F.min("config").alias("config")).select("common_seed", "config", *ranges)
 
 
+def data_ranges(df: DataFrame, label: str, features: Sequence[str], share: float = 0.1) -> dict[str, tuple[int, int]]:
+    """Ranges of parameters whose bounds depend on the data, for ``latin_hypercube``: features per split, up to all of
+    them, and rows per leaf, from 2 up to ``share`` of the smallest class."""
+    require_columns(df, [label, *features])
+    smallest = df.filter(F.col(label).isNotNull()).groupBy(label).count().agg(F.min("count")).first()[0] or 0
+    return {"features_per_split": (1, len(features)), "min_instances_per_node": (2, max(2, int(smallest * share)))}
+
+
 def explicit_grid(bags: DataFrame, grid: DataFrame) -> DataFrame:
     """A caller's table of configs, repeated for every seed of ``bags``."""
     if "common_seed" in grid.columns:

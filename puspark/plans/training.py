@@ -8,6 +8,7 @@ them is bounded by a number of tree nodes that is known before they are fitted.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
@@ -108,10 +109,18 @@ def model_keys(folds: DataFrame, bags: DataFrame, grid: DataFrame | None = None)
     ]
 
 
-def _configured(forest: RandomForestClassifier, key: ModelKey, fixed: Mapping[str, object]) -> RandomForestClassifier:
-    """The forest with this model's parameters; ``min_instances_per_node`` sets ``minInstancesPerNode`` and so on."""
+def _configured(forest: RandomForestClassifier, key: ModelKey, fixed: Mapping[str, object], rows: int = 0) -> RandomForestClassifier:
+    """The forest with this model's parameters; ``min_instances_per_node`` sets ``minInstancesPerNode`` and so on.
+
+    Two depend on the data: ``features_per_split``, a number of features or a share of them, and ``min_rows_share``, the
+    least part of the sample's ``rows`` in a leaf.
+    """
     values = {**fixed, **{name: value for name, value in key.params if name not in NOT_PARAMETERS}}
     settings = {forest.getParam("seed"): int(key.common_seed)}
+    if (number := values.pop("features_per_split", None)) is not None:
+        settings[forest.featureSubsetStrategy] = str(number)
+    if (share := values.pop("min_rows_share", None)) is not None:
+        settings[forest.minInstancesPerNode] = max(1, math.ceil(share * rows))
     for name, value in values.items():
         head, *rest = name.split("_")
         settings[forest.getParam(head + "".join(w.capitalize() for w in rest))] = value
@@ -148,15 +157,16 @@ def fit_models(
     sizes = {tuple(r[c] for c in model): r["count"] for r in training.groupBy(*model).count().collect()}
     slices: list[Slice] = []
     for key in sorted(keys, key=lambda k: (k.common_seed, k.fold_id)):
-        configured = _configured(forest, key, fixed or {})
-        slices += tree_slices(key, configured, sizes.get((key.common_seed, key.bag, key.fold_id), 0), nodes)
+        rows = sizes.get((key.common_seed, key.bag, key.fold_id), 0)
+        slices += tree_slices(key, _configured(forest, key, fixed or {}, rows), rows, nodes)
 
     def fit(part: Slice) -> Fitted:
         key = part.key
         sample = training.filter(
             (F.col("common_seed") == key.common_seed) & (F.col("bag") == key.bag) & (F.col("fold_id") == key.fold_id)
         )
-        trees = _configured(forest, key, fixed or {}).setNumTrees(part.trees)
+        rows = sizes.get((key.common_seed, key.bag, key.fold_id), 0)
+        trees = _configured(forest, key, fixed or {}, rows).setNumTrees(part.trees)
         steps = [stage.copy() for stage in stages] + [trees.setSeed(trees.getSeed() + SEED_STEP * part.number)]
         return Fitted(key, Pipeline(stages=steps).fit(sample), part.trees, part.all_trees)
 

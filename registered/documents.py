@@ -48,6 +48,31 @@ def fold_assign_grouped(spark, folder):
     return pu.assign_folds(labelled(spark, folder), FOLDS, SEEDS, group="source")
 
 
+def fold_assign_group_strata(spark, folder):
+    """Sources whole, folds even in rows and in positives."""
+    return pu.balanced_group_folds(labelled(spark, folder), FOLDS, SEEDS, "source", "known_pos")
+
+
+def fold_assign_numeric_strata(spark, folder):
+    """Folds that are even in every quarter of the documents by length."""
+    docs = read_table(spark, folder, "documents").select(F.col("doc_id").alias("ind_id"), "n_chars")
+    return pu.assign_folds(pu.numeric_strata(docs, "n_chars"), FOLDS, SEEDS, strata="stratum")
+
+
+def encoded_features(spark, folder):
+    """Sources as the share of positives that all other folds have of them."""
+    docs, folds = _stratified(spark, folder)
+    folded = materialise(pu.with_folds(docs, folds))
+    encoded = pu.with_target_rates(folded, ["source"], "known_pos")
+    return encoded.select("common_seed", "fold_id", "ind_id", F.round("source_rate", 9).alias("source_rate"))
+
+
+def grid_data_bounds(spark, folder):
+    """Configs whose ranges end at the number of features and at a tenth of the smallest class."""
+    ranges = pu.data_ranges(labelled(spark, folder).withColumns({c: F.lit(0) for c in NUMBERS}), "known_pos", NUMBERS)
+    return pu.latin_hypercube(spark, ranges, 5, SEEDS)
+
+
 def fold_sizes_analysis_assessment(spark, folder):
     """Rows and positives on either side of every split; an analysis set is the seed's total less its own fold."""
     docs, folds = _stratified(spark, folder)
@@ -252,6 +277,9 @@ QUERIES = {
         fold_assign,
         fold_assign_stratified,
         fold_assign_grouped,
+        fold_assign_group_strata,
+        fold_assign_numeric_strata,
+        encoded_features,
         fold_sizes_analysis_assessment,
         split_rows,
         split_repeated_rows,
@@ -263,6 +291,7 @@ QUERIES = {
         downsample_all_bags,
         grid_explicit,
         grid_latin_hypercube,
+        grid_data_bounds,
         tune_cv_scores,
         tune_cv_coverage,
         tune_cv_repeated,

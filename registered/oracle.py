@@ -359,7 +359,52 @@ cap AS (
   SELECT common_seed, bag, fold_id, floor(MIN(n) * CAST({RATIO} AS DOUBLE)) AS cap FROM (
     SELECT common_seed, bag, fold_id, known_pos, COUNT(*) AS n FROM copied GROUP BY ALL) GROUP BY ALL)"""
 
+_PACKED = f"""size AS (
+  SELECT coalesce(source, '') AS g, COUNT(*) AS n, COUNT(*) FILTER (known_pos = 0) AS n0, COUNT(*) FILTER (known_pos = 1) AS n1
+  FROM docs GROUP BY ALL),
+total AS (SELECT SUM(n0) AS t0, SUM(n1) AS t1 FROM size),
+line AS (
+  SELECT s, g, n, n0, n1, ROW_NUMBER() OVER (PARTITION BY s ORDER BY len(bin(n)) DESC, md5(s || '|' || g)) AS place
+  FROM size CROSS JOIN seeds),
+packed AS (
+  SELECT s, CAST(0 AS BIGINT) AS place, CAST(NULL AS VARCHAR) AS g, CAST(NULL AS BIGINT) AS fold,
+         [CAST(0 AS HUGEINT) FOR i IN range({FOLDS})] AS l0, [CAST(0 AS HUGEINT) FOR i IN range({FOLDS})] AS l1 FROM seeds
+  UNION ALL
+  SELECT s, place, g, fold, [CASE WHEN f = fold THEN l0[f] + n0 ELSE l0[f] END FOR f IN range(1, {FOLDS} + 1)],
+         [CASE WHEN f = fold THEN l1[f] + n1 ELSE l1[f] END FOR f IN range(1, {FOLDS} + 1)]
+  FROM (
+    SELECT line.*, l0, l1,
+           list_sort([[t1 * t1 * l0[f] * n0 + t0 * t0 * l1[f] * n1, l0[f] + l1[f], f] FOR f IN range(1, {FOLDS} + 1)])[1][3] AS fold
+    FROM packed JOIN line ON line.s = packed.s AND line.place = packed.place + 1 CROSS JOIN total))"""
+
 DOCUMENTS = {
+    "fold_assign_group_strata": docs(
+        """SELECT CAST(s AS INTEGER) AS common_seed, 'Fold' || fold AS fold_id, ind_id
+FROM docs JOIN packed ON packed.g = coalesce(source, '')""",
+        _PACKED,
+    ).replace("WITH", "WITH RECURSIVE", 1),
+    "fold_assign_numeric_strata": f"""WITH sized AS (
+  SELECT doc_id AS ind_id, floor((RANK() OVER (ORDER BY n_chars) - 1) * 4 / (COUNT(*) OVER ())) AS bin FROM documents)
+SELECT CAST(s AS INTEGER) AS common_seed, {_FOLD.format(part="s, bin", unit="ind_id")} AS fold_id, ind_id
+FROM sized CROSS JOIN (SELECT unnest([{_SEEDS}]) AS s)""",
+    "encoded_features": docs(
+        f"""SELECT f.common_seed, f.fold_id, f.ind_id,
+  {r("(p - own_p + 20 * CAST(rest_p AS DOUBLE) / rest_n) / CAST(n - own_n + 20 AS DOUBLE)", 9, "source_rate")}
+FROM named f JOIN category USING (common_seed, source) JOIN own USING (common_seed, fold_id, source) JOIN rest USING (common_seed, fold_id)""",
+        """named AS (SELECT folds.*, source FROM folds JOIN docs USING (ind_id)),
+category AS (SELECT common_seed, source, COUNT(*) AS n, SUM(known_pos) AS p FROM named GROUP BY ALL),
+own AS (SELECT common_seed, fold_id, source, COUNT(*) AS own_n, SUM(known_pos) AS own_p FROM named GROUP BY ALL),
+rest AS (
+  SELECT a.common_seed, a.fold_id, COUNT(*) AS rest_n, SUM(known_pos) AS rest_p
+  FROM (SELECT DISTINCT common_seed, fold_id FROM folds) a JOIN folds b ON a.common_seed = b.common_seed AND a.fold_id <> b.fold_id GROUP BY ALL)""",
+    ),
+    "grid_data_bounds": docs(
+        f"""SELECT CAST(s AS INTEGER) AS common_seed, CAST(c AS INTEGER) AS config,
+  CAST(1 + floor(({_STRATUM.format(name='features_per_split')} - CAST(0.5 AS DOUBLE)) / 5 * 6) AS INTEGER) AS features_per_split,
+  CAST(2 + floor(({_STRATUM.format(name='min_instances_per_node')} - CAST(0.5 AS DOUBLE)) / 5 * (hi - 1)) AS INTEGER) AS min_instances_per_node
+FROM seeds CROSS JOIN (SELECT unnest(range(1, 6)) AS c)
+CROSS JOIN (SELECT GREATEST(2, CAST(floor(MIN(n) * CAST(0.1 AS DOUBLE)) AS BIGINT)) AS hi FROM (SELECT COUNT(*) AS n FROM docs GROUP BY known_pos))"""
+    ),
     "split_repeated_rows": docs("SELECT common_seed, fold_id, ind_id, part FROM repeated", _REPEATED),
     "split_monte_carlo_rows": docs(
         f"""SELECT CAST(s AS INTEGER) AS common_seed, 'Split' || i AS fold_id, ind_id,
