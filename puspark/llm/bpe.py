@@ -25,10 +25,12 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
+from puspark.llm.text import map_batches
+
 #: Words whose tokens a task keeps; beyond that it starts anew.
-KEPT_WORDS = 1 << 18
+KEPT_WORDS = 1 << 17
 #: Answers about pairs of tokens that a task keeps.
-KEPT_PAIRS = 1 << 20
+KEPT_PAIRS = 1 << 18
 #: Characters of the property White_Space, and others that str.split takes for it.
 WHITE_SPACE = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACE, SEPARATORS = re.compile(f"[{WHITE_SPACE}]+"), re.compile("[\x1c-\x1f]")
@@ -202,7 +204,7 @@ class Vocabulary:
     def _settled(self, text: str) -> bool:
         """Whether all characters of a text are alike in all versions of Unicode; those found to be are kept."""
         fresh = set(text) - self.settled
-        if any(map(_differs, fresh)):
+        if any(map(differs, fresh)):
             return False
         self.settled |= fresh
         return True
@@ -246,7 +248,7 @@ class Vocabulary:
         return out
 
 
-def _differs(c: str) -> bool:
+def differs(c: str) -> bool:
     """Whether versions of Unicode may differ on a character: without a category in Python's tables, as those of other
     libraries may be newer, or younger than Unicode 3.2 and moved or taken apart by normal forms, as they may be older."""
     if unicodedata.category(c) == "Cn":
@@ -276,7 +278,7 @@ def _mapped(df: DataFrame, path: str, column: str, name: str, kind: str, keep: S
                 first += len(made)
 
     schema = ", ".join([*[f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep], f"`{name}` {kind}"])
-    return df.select(*keep, column).mapInArrow(run, schema)
+    return map_batches(df.select(*keep, column), run, schema)
 
 
 def _encoded(vocabulary: Vocabulary, texts: pa.Array) -> Iterator[pa.Array]:
