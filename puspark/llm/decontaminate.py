@@ -13,10 +13,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from puspark.llm.text import LETTER_DIGIT, Texts, char_offsets, slices, word_hashes, words
+from puspark.llm.text import LETTER_DIGIT, Texts, char_offsets, map_batches, slices, word_hashes, words
+from puspark.sources.shared import materialise
 
 WINDOW = 13
 #: A document is contaminated if at least one word in this many is hit.
@@ -249,9 +251,9 @@ def merged(one: list[tuple], other: list[tuple]) -> list[tuple]:
 SPAN = pa.struct([("first_word", pa.int32()), ("end_word", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
 
 
-def _scan(rows: DataFrame, windows: Windows) -> DataFrame:
+def _scan(rows: DataFrame, shared: Broadcast[Windows]) -> DataFrame:
     """Adds one block's hits to ``rows``, whose last four columns are text, n_words, spans and items."""
-    names, shared = rows.columns, rows.sparkSession.sparkContext.broadcast(windows)
+    names = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -268,7 +270,7 @@ def _scan(rows: DataFrame, windows: Windows) -> DataFrame:
             n_words = pa.array(np.concatenate(counts) if counts else np.zeros(0, np.int64), pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-3], n_words, pa.array(spans, pa.list_(SPAN)), pa.array(items, pa.list_(pa.string()))], names)
 
-    return rows.mapInArrow(run, rows.schema)
+    return map_batches(rows, run, rows.schema)
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, keep: Sequence[str] = ("doc_id",), block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -286,12 +288,16 @@ def scan(docs: DataFrame, benchmark: DataFrame, keep: Sequence[str] = ("doc_id",
             "items": F.array().cast("array<string>"),
         }
     )
-    bench = benchmark.select("item_id", "text").distinct()
+    bench = materialise(benchmark.select("item_id", "text").distinct())
     size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     for k in range(blocks):
         own = bench if blocks == 1 else bench.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        rows = _scan(rows, windows_of([tuple(r) for r in own.toLocalIterator()]))
+        windows = docs.sparkSession.sparkContext.broadcast(windows_of([tuple(r) for r in own.toLocalIterator()]))
+        rows = _scan(rows, windows)
+        if k + 1 < blocks:  # one block's windows at a time, however large the benchmark
+            rows = materialise(rows)
+            windows.destroy()
     return rows
 
 

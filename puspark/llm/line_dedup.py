@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from puspark.llm.text import NOT_SPACE, Texts, range_hashes, slices, words
+from puspark.llm.text import NOT_SPACE, Texts, map_batches, range_hashes, slices, words
 from puspark.sources.shared import materialise
 
 WORDS = 50
@@ -87,7 +87,7 @@ def fingerprinted(docs: DataFrame, least: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(out, ["doc_id", "text_key", "n_lines", "windows", "marks"])
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_key bigint, n_lines int, windows array<{WINDOW_SQL}>, marks array<bigint>"
-    return docs.select("doc_id", _text_key(), "text").mapInArrow(run, schema)
+    return map_batches(docs.select("doc_id", _text_key(), "text"), run, schema)
 
 
 def _text_key() -> Column:
@@ -97,6 +97,11 @@ def _text_key() -> Column:
 def repeated_runs(docs: DataFrame, least: int = WORDS) -> DataFrame:
     """(doc_id, text_key, runs): by document the line ranges that repeat an earlier run, as an array of structs.
 
+    A match is extended from a shared fingerprint in both directions at once: every shortest run of ``least`` words that
+    holds the fingerprint's line is compared by the hash of all its lines. Equal ones are a match of that length, and a
+    longer match is the union of the overlapping ones it consists of. So no pairs of positions are made, of which a
+    line that many documents share has the square.
+
     Earlier is by doc_id (null last), then by text, then by line; within one document a run repeats another only if
     they do not overlap. Rows that agree in doc_id and text are one document.
     """
@@ -153,4 +158,4 @@ def dedup_lines(docs: DataFrame, least: int = WORDS) -> DataFrame:
             columns = [texts if k == at else batch.column(k) for k in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(removed, pa.int32())], names)
 
-    return rows.mapInArrow(run, T.StructType([*docs.schema, T.StructField("n_removed", T.IntegerType())]))
+    return map_batches(rows, run, T.StructType([*docs.schema, T.StructField("n_removed", T.IntegerType())]))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from puspark.llm.text import NOT_SPACE, SLICE_BYTES, Texts, mix, range_hashes, slices, word_hashes, words
+from puspark.llm.text import NOT_SPACE, SLICE_BYTES, Texts, map_batches, mix, range_hashes, slices, word_hashes, words
 
 #: Share of the pooled covariance in a class's, and of the sphere in the result.
 POOLED, SPHERE = 0.1, 0.02
@@ -109,7 +109,11 @@ def _matrix(column: pa.Array, size: int = SLICE_BYTES) -> np.ndarray:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """(doc_id, x) for every row: its statistics; null and empty texts have those of a text without words."""
+    """(doc_id, x) for every row: its statistics; null and empty texts have those of a text without words.
+
+    Texts of any length are measured whole, repeated rows alike, each by itself; null ids stay null. Other columns are
+    not read; an empty table gives an empty result.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,7 +121,7 @@ def measured(docs: DataFrame) -> DataFrame:
             rows = pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * len(MEASURES), x.ravel())
             yield pa.RecordBatch.from_arrays([batch.column(0), rows], ["doc_id", "x"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, x array<double>")
+    return map_batches(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, x array<double>")
 
 
 @dataclass
@@ -193,7 +197,10 @@ def fit(x: DataFrame, labels: DataFrame) -> Discriminant:
 
 
 def scored(x: DataFrame, model: Discriminant) -> DataFrame:
-    """(doc_id, score) of ``measured`` rows: 0 to 1, higher where label 1 is likelier."""
+    """(doc_id, score) of ``measured`` rows: 0 to 1, higher where label 1 is likelier.
+
+    Rows of equal statistics, repeated ones among them, have equal scores; without a fitted class all are one half.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,11 +211,16 @@ def scored(x: DataFrame, model: Discriminant) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Discriminant, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose text scores ``least`` or more, all columns as they are. No text is shuffled."""
+    """The rows of ``docs`` whose text scores ``least`` or more, all columns as they are, whatever their names. No text is
+    shuffled.
+
+    A score of exactly ``least`` is accepted; null and empty texts are scored as texts without words; repeated rows are
+    kept or dropped together.
+    """
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(model.scores(_matrix(batch.column(at))) >= least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 U64 = np.uint64
 #: Bytes of text that are handled at a time, besides the rest of a longer document; arrays of a slice take some
 #: hundred times this, so that many workers fit beside each other.
-SLICE_BYTES = 1 << 19
+SLICE_BYTES = 1 << 17
+#: Bytes of rows that Spark hands to a Python worker at a time, besides the rest of a longer row.
+BATCH_BYTES = 4 << 20
 
 
 def byte_class(lows: str) -> np.ndarray:
@@ -32,6 +36,21 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def map_batches(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` with batches bounded in bytes as well as in rows; the session's own bound stays if it is lower."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(conf.get(name, "64m").lower().removesuffix("b").replace("m", "000000")) > BATCH_BYTES:
+        conf.set(name, BATCH_BYTES)
+    return df.mapInArrow(run, schema)
+
+
+def unused(name: str, columns: Sequence[str]) -> str:
+    """``name``, with underscores before it until no column is called so."""
+    while name.lower() in (c.lower() for c in columns):
+        name = f"_{name}"
+    return name
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A fixed bijection of 64 bits that spreads every input bit over all output bits."""
     x = x.astype(U64, copy=True)
