@@ -9,21 +9,23 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from puspark.llm.text import Texts, char_offsets, mix, slices
+from puspark.llm.text import Texts, char_offsets, map_batches, mix, slices
 from puspark.sources.shared import materialise
 
 BUCKETS = 1 << 14
 GRAMS = (1, 2, 3)
 SMOOTHING = 0.5
-#: Bound of the broadcast matrix: more languages than this are an error.
-MOST_LANGUAGES = 1000
-SLICE = 1 << 19
+#: Languages whose log-probabilities are broadcast at a time: 32 MB.
+LANGUAGES = 250
+SLICE = 1 << 17
 UNKNOWN = "und"
 
 
@@ -82,53 +84,76 @@ def counts(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at - 1), pa.array(sums[at])], ["lang", "bucket", "n"])
 
     own = docs.filter("lang is not null and text is not null").select("text", "lang")
-    return own.mapInArrow(run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    return map_batches(own, run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Languages in order, log-probabilities (buckets x languages) and log-priors, from the rows of ``docs``."""
+class Model(NamedTuple):
+    """Languages by code point, the counts that ``counts`` made, and the learned texts' number."""
+
+    langs: list[str]
+    table: DataFrame
+    n_texts: int
+
+    def block(self, first: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Languages from number ``first`` on, their log-probabilities (buckets x languages) and log-priors."""
+        langs = self.langs[first : first + LANGUAGES]
+        place = {lang: k for k, lang in enumerate(langs)}
+        logs, prior = np.full((BUCKETS, len(langs)), SMOOTHING), np.ones(len(langs))
+        for row in self.table.filter(F.col("lang").between(langs[0], langs[-1])).toLocalIterator():  # LANGUAGES x (BUCKETS + 1) at most
+            if row["lang"] in place and row["bucket"] >= 0:
+                logs[row["bucket"], place[row["lang"]]] += row["n"]
+            elif row["lang"] in place:
+                prior[place[row["lang"]]] = row["n"]
+        return langs, np.log(logs / logs.sum(axis=0)), np.log(prior / self.n_texts)
+
+
+def fit(docs: DataFrame) -> Model:
+    """Learned from the rows of ``docs`` with a language and a text with a letter; there may be any number of languages."""
     table = materialise(counts(docs))
-    langs = sorted(r[0] for r in table.filter("bucket = -1").select("lang").limit(MOST_LANGUAGES + 1).collect())
-    if len(langs) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    place = {lang: k for k, lang in enumerate(langs)}
-    logs = np.full((BUCKETS, len(langs)), SMOOTHING)
-    prior = np.ones(len(langs))
-    for row in table.toLocalIterator():  # languages x (buckets + 1) numbers at most
-        if row["lang"] in place and row["bucket"] >= 0:
-            logs[row["bucket"], place[row["lang"]]] += row["n"]
-        elif row["lang"] in place:
-            prior[place[row["lang"]]] = row["n"]
-    return langs, np.log(logs / logs.sum(axis=0)), np.log(prior / prior.sum())
-
-
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns with lang_pred and its posterior probability ``score``, for every row.
+    texts = table.filter("bucket = -1").select("lang", "n").collect()  # one row per language
+    return Model(sorted(r["lang"] for r in texts), table, sum(r["n"] for r in texts))
 
-    Texts that are null or have no letter get ``und`` with score 0, as do all if nothing was learned; equal
-    probabilities give the first language by code point.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+def _scored(rows: DataFrame, block: Broadcast, keep: int) -> DataFrame:
+    """``rows`` (kept columns, text, lang_pred, log, whole) with a block of languages taken in: the best so far, its log
+    likelihood, and that of all so far together."""
+    names = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, logs, prior = shared.value
-        names = np.array([*langs, UNKNOWN], object)
+        langs, logs, prior = block.value
         for batch in batches:
-            best, score = [np.zeros(0, np.int64)], [np.zeros(0)]
-            for texts in slices(batch.column(len(keep)), size=SLICE):
+            best, log, whole = np.array(batch.column(keep + 1).to_pylist(), object), batch.column(keep + 2).to_numpy().copy(), batch.column(keep + 3).to_numpy().copy()
+            for texts in slices(batch.column(keep), size=SLICE):
                 row, bucket, some = grams(texts)
-                if langs:
-                    like = np.column_stack([np.bincount(row, weights=logs[:, k][bucket], minlength=texts.n) for k in range(len(langs))]) + prior
-                    like -= like.max(axis=1, keepdims=True)
-                    top = like.argmax(axis=1)
-                    sure = 1 / np.exp(like).sum(axis=1)
-                    best.append(np.where(some, top, len(langs)))
-                    score.append(np.where(some, sure, 0.0))
-                else:
-                    best.append(np.zeros(texts.n, np.int64))
-                    score.append(np.zeros(texts.n))
-            out = [*[batch.column(k) for k in range(len(keep))], pa.array(names[np.concatenate(best)], pa.string()), pa.array(np.concatenate(score))]
-            yield pa.RecordBatch.from_arrays(out, [*keep, "lang_pred", "score"])
-
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, "text").mapInArrow(run, f"{schema}, lang_pred string, score double")
+                like = np.column_stack([np.bincount(row, weights=logs[:, k][bucket], minlength=texts.n) for k in range(len(langs))]) + prior
+                top, own = like.argmax(axis=1), slice(texts.first, texts.first + texts.n)
+                most = like[np.arange(texts.n), top]
+                whole[own] = np.where(some, np.logaddexp(whole[own], most + np.log(np.exp(like - most[:, None]).sum(axis=1))), whole[own])
+                better = some & (most > log[own])
+                best[own] = np.where(better, np.array(langs, object)[top], best[own])
+                log[own] = np.where(better, most, log[own])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: keep + 1], pa.array(best, pa.string()), pa.array(log), pa.array(whole)], names)
+
+    return map_batches(rows, run, rows.schema)
+
+
+def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep`` columns with lang_pred and its posterior probability ``score``, for every row.
+
+    Texts that are null or have no letter get ``und`` with score 0, as do all if nothing was learned; equal
+    probabilities give the first language by code point. Repeated rows are judged alike; ``keep`` may not hold
+    ``lang_pred`` or ``score``. Languages are broadcast in blocks of ``LANGUAGES``, one block at a time.
+    """
+    if clash := [c for c in keep if c.lower() in ("lang_pred", "score")]:
+        raise ValueError(f"columns {clash} have names of results")
+    none = F.lit(float("-inf"))
+    rows = docs.select(*[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)], F.col("text").alias("text"))
+    rows = rows.withColumns({"lang_pred": F.lit(None).cast("string"), "log": none, "whole": none})
+    for first in range(0, len(model.langs), LANGUAGES):
+        block = docs.sparkSession.sparkContext.broadcast(model.block(first))
+        rows = _scored(rows, block, len(keep))
+        if first + LANGUAGES < len(model.langs):
+            rows = materialise(rows)
+            block.destroy()
+    score = F.when(F.col("lang_pred").isNull(), 0.0).otherwise(F.exp(F.col("log") - F.col("whole")))
+    return rows.select(*[F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)], F.coalesce("lang_pred", F.lit(UNKNOWN)).alias("lang_pred"), score.alias("score"))
