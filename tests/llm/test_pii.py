@@ -76,19 +76,67 @@ def test_base_spans_stay_and_revealing_terms_are_added(spark, rows):
         for start, kind, end in spans:
             if kind >= pii.BASE_KINDS:
                 terms.setdefault(text[start:end].lower(), set()).add(pii.KINDS[kind])
-    assert terms["zebulon"] == {"removed"} and terms["agent"] == {"removed"}
+    assert terms["zebulon"] == {"general"} and terms["agent"] == {"general"}  # five texts prove so much
+    sure = pii.sanitise(docs(spark, rows), prior=0.0).filter("doc_id = 101").select("spans").first()[0]
+    assert [s["kind"] for s in sure if s["kind"] >= pii.BASE_KINDS].count(pii.KINDS.index("removed")) >= 3
     assert "the" not in terms and "badger" not in terms and "word3" not in terms
     clean = next(r["clean"] for r in got if r["doc_id"] == 101)
     assert "[EMAIL]" in clean and "Zebulon" not in clean and "spy.org" not in clean
     assert next(r["clean"] for r in got if r["doc_id"] == 3) == rows[3][1]
 
 
-def test_disclosure_is_the_share_of_information(spark):
-    rows = [(k, f"alpha beta gamma x@y.zz") for k in range(4)] + [(9, "alpha"), (10, "alpha")] + [(20 + k, "none") for k in range(10)]
-    found = pii._found(docs(spark, rows), ["doc_id"])
-    kinds = {r["term"]: r["kind"] for r in pii.disclosures(found, docs(spark, rows), generalise=0.5).collect()}
-    # PMI / IC = log2(4 * 16 / (6 * 4)) / log2(16 / 4) = 0.71 for alpha, 1 for beta
-    assert kinds == {"alpha": pii.KINDS.index("general"), "beta": pii.KINDS.index("removed"), "gamma": pii.KINDS.index("removed")}
+def brute_disclosures(texts, generalise, remove, prior):
+    """Terms by counting in sets of whole texts."""
+    import math
+
+    texts = set(texts)
+    near, held, holds = {}, {}, {}
+    for text in texts:
+        spans = pii.base_spans(text or "")
+        for word in {m.group().translate(pii._LOWER) for m in pii._TERM.finditer(text or "")}:
+            holds.setdefault(word, set()).add(text)
+        for entity, term, *_ in pii.contexts(text or "", spans):
+            for e in (entity, entity.split(":")[0]):
+                near.setdefault((e, term), set()).add(text)
+        for s in spans:
+            entity = pii._entity(text, s)
+            for e in (entity, entity.split(":")[0]):
+                held.setdefault(e, set()).add(text)
+    out = {}
+    for (e, term), both in near.items():
+        share = len(held[e]) / len(texts)
+        given = (len(both) + prior * share) / (len(holds[term]) + prior)
+        revealed = math.log2(given / share) / math.log2(1 / share) if share < 1 else 0
+        if revealed >= generalise:
+            out[e, term] = pii.KINDS.index("removed" if revealed >= remove else "general")
+    return out
+
+
+def test_disclosures_are_those_of_counting(spark):
+    rng = random.Random(6)
+    say = lambda n: " ".join(rng.choice("alpha beta gamma delta name street zip of the and".split()) + rng.choice(["", "", str(rng.randrange(30))]) for _ in range(n))
+    rows = []
+    for k in range(300):
+        text = say(rng.randrange(2, 25))
+        if rng.random() < 0.3:
+            text += rng.choice([" call ", " mail ", " "]) + rng.choice([f"u{rng.randrange(20)}@spy.org", "+49 30 1234567", "10.0.0.7"]) + " " + say(4)
+        rows += [(k, text)] * rng.choice([1, 1, 1, 3])
+    rows += [(None, None), (900, ""), (901, None)]
+    table = docs(spark, rows)
+    found = pii._found(table, ["doc_id"])
+    for generalise, remove, prior in ((0.7, 0.9, 3.0), (0.25, 0.4, 0.5)):
+        got = {(r["entity"], r["term"]): r["kind"] for r in pii.disclosures(found, table, generalise, remove, prior).collect()}
+        want = brute_disclosures([t for _, t in rows], generalise, remove, prior)
+        assert got == want
+    assert len(set(want.values())) == 2
+
+
+def test_copies_of_a_text_reveal_no_more_than_one(spark):
+    base = [(k, f"plain text number{k} of no interest") for k in range(300)]
+    one = base + [(1000, "Zebulon reach me@spy.org today")]
+    many = base + [(1000 + k, "Zebulon reach me@spy.org today") for k in range(9)]
+    spans = [pii.sanitise(docs(spark, rows)).filter("doc_id = 1000").select("spans").first()[0] for rows in (one, many)]
+    assert spans[0] == spans[1] and any(s["kind"] >= pii.BASE_KINDS for s in spans[0])
 
 
 def test_digests_and_empty_table(spark):
