@@ -106,19 +106,9 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id < last_id THEN
 FROM judged
 """
 
-_LEVEL = """
-child{k} AS (SELECT host, t[1:{k}] AS parent, t[{k} + 1] AS child, sum(n) AS n FROM tree{k} WHERE len(t) > {k} GROUP BY ALL),
-wide{k} AS (
-  SELECT host, parent FROM child{k} GROUP BY ALL HAVING count(*) > 16 AND max(n) < 0.5 * sum(n)),
-tree{next} AS (
-  SELECT tree{k}.* EXCLUDE t,
-         CASE WHEN wide{k}.host IS NOT NULL THEN list_concat(list_concat(t[1:{k}], ['*']), t[{k} + 2:]) ELSE t END AS t
-  FROM tree{k} LEFT JOIN wide{k} ON tree{k}.host = wide{k}.host AND len(t) > {k} AND t[1:{k}] = parent),
-"""
-
 URLS = (
     r"""
-WITH parsed AS (
+WITH RECURSIVE parsed AS (
   SELECT page_id,
          translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
@@ -140,19 +130,31 @@ tree0 AS (
   SELECT host, segments, segments AS t, count(*) AS n, count(*) FILTER (says = 'allow') AS a, count(*) FILTER (says = 'block') AS b
   FROM row GROUP BY ALL),
 """
-    + "".join(_LEVEL.replace("{k}", str(k)).replace("{next}", str(k + 1)).strip("\n") + "\n" for k in range(4))
     + r"""
-cell AS (SELECT host, t[1] AS branch, t[2:] AS rest, sum(n) AS n FROM tree4 WHERE len(t) > 0 GROUP BY ALL),
-rest AS (SELECT host, rest, sum(n) AS n_rest FROM cell GROUP BY ALL),
-whole AS (SELECT host, sum(n_rest) AS n_host, count(*) - 1 AS df FROM rest GROUP BY ALL),
-branch AS (
-  SELECT host, branch, sum(n) AS n, sum(n * n / n_rest::DOUBLE) AS q FROM cell JOIN rest USING (host, rest) GROUP BY ALL),
-alike AS (
-  SELECT host, branch FROM branch JOIN whole USING (host) WHERE n_host * q / n - n <= df + 2 * sqrt(2.0::DOUBLE * df)),
-final AS (
-  SELECT tree4.host, segments, a, b,
-         list_concat([CASE WHEN alike.host IS NOT NULL THEN '*' ELSE coalesce(t[1], '') END], t[2:]) AS template
-  FROM tree4 LEFT JOIN alike ON tree4.host = alike.host AND t[1] = branch),
+deepest AS (SELECT max(len(t)) AS depth FROM tree0),
+down AS (
+  SELECT 0 AS k, host, segments, t, n, a, b FROM tree0
+  UNION ALL
+  SELECT k + 1, host, segments, CASE WHEN c > 16 AND most < 0.5 * whole THEN list_concat(list_concat(t[1:k], ['*']), t[k + 2:]) ELSE t END, n, a, b
+  FROM (
+    SELECT *, CASE WHEN len(t) > k THEN count(DISTINCT t[k + 1]) OVER p END AS c, max(n_child) OVER p AS most, sum(n) OVER p AS whole
+    FROM (SELECT *, sum(n) OVER (PARTITION BY host, len(t) > k, t[1:k], t[k + 1]) AS n_child FROM down WHERE k < (SELECT depth FROM deepest))
+    WINDOW p AS (PARTITION BY host, len(t) > k, t[1:k]))),
+up AS (
+  SELECT k, host, segments, t, n, a, b FROM down WHERE k = (SELECT depth FROM deepest)
+  UNION ALL
+  SELECT k - 1, host, segments,
+         CASE WHEN len(t) >= k AND (k = 1 OR (c > 1 AND n_rests > 1)) AND n_all * q / n_child - n_child <= n_rests - 1 + 2 * sqrt(2.0::DOUBLE * (n_rests - 1))
+           THEN list_concat(list_concat(t[1:k - 1], ['*']), t[k + 1:]) ELSE t END, n, a, b
+  FROM (
+    SELECT *, sum(n * n_cell / n_rest::DOUBLE) OVER (PARTITION BY host, len(t) >= k, t[1:k - 1], t[k]) AS q
+    FROM (
+      SELECT *, sum(n) OVER p AS n_all, sum(n) OVER (PARTITION BY host, len(t) >= k, t[1:k - 1], t[k]) AS n_child,
+             sum(n) OVER (PARTITION BY host, len(t) >= k, t[1:k - 1], t[k + 1:]) AS n_rest,
+             sum(n) OVER (PARTITION BY host, len(t) >= k, t[1:k - 1], t[k], t[k + 1:]) AS n_cell,
+             count(DISTINCT t[k]) OVER p AS c, count(DISTINCT t[k + 1:]) OVER p AS n_rests
+      FROM up WHERE k > 0 WINDOW p AS (PARTITION BY host, len(t) >= k, t[1:k - 1])))),
+final AS (SELECT host, segments, a, b, CASE WHEN len(t) > 0 THEN t ELSE [''] END AS template FROM up WHERE k = 0),
 top AS (SELECT (sum(b) + 1.0::DOUBLE) / (sum(a) + sum(b) + 2.0::DOUBLE) AS share FROM final),
 hosts AS (SELECT host, (sum(b) + 4.0::DOUBLE * (SELECT share FROM top)) / (sum(a) + sum(b) + 4.0::DOUBLE) AS above FROM final GROUP BY host),
 pure AS (

@@ -1,8 +1,8 @@
 """URL filters: rules first, then a tree of path templates per host, rejected by the purity of their labelled pages.
 
 A path is a list of segments. Segments with digits or of great length are variable by their shape; a segment is also
-variable where its parent has many different children and none prevails. Branches below the host whose subtrees do not
-differ statistically from the host's as a whole are merged. Pages that a rule judges are the labels: a template's
+variable where its parent has many different children and none prevails, at any depth. From the leaves up, branches
+whose subtrees do not differ statistically from their parent's as a whole are merged. Pages that a rule judges are the labels: a template's
 share of blocked pages, smoothed by its host's and that by the share over all hosts, decides on the pages without a
 rule. All steps are aggregates and joins on templates; pages are grouped once and joined once.
 """
@@ -17,8 +17,6 @@ from pyspark.sql import functions as F
 from puspark.sources.shared import materialise
 
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
-#: Levels of the tree at which children are counted; below, only the shape of a segment can make it variable.
-LEVELS = 4
 MANY_CHILDREN = 16
 PREVAILS = 0.5
 LONG_SEGMENT = 24
@@ -61,33 +59,73 @@ def shapes_of(path: Column) -> Column:
     return F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), shape)
 
 
+def _after(t: str, n: Column | int) -> Column:
+    """The array's items after the first ``n``."""
+    return F.slice(t, F.lit(n) + 1, F.greatest(F.size(t) - n, F.lit(0)))
+
+
+def _starred(tree: DataFrame, level: int, marked: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``tree`` with a wildcard at ``level`` where (host, parent[, child]) is in ``marked``."""
+    renamed = marked.select(*[F.col(k).alias(f"_{k}") for k in keys], F.lit(True).alias("_star"))
+    own = {"host": F.col("host"), "parent": F.slice("t", 1, level), "child": F.get("t", F.lit(level))}
+    at = F.size("t") > level
+    for k in keys:
+        at = at & (own[k] == F.col(f"_{k}"))
+    general = F.concat(F.slice("t", 1, level), F.array(F.lit("*")), _after("t", level + 1))
+    return tree.join(renamed, at, "left").withColumn("t", F.when(F.col("_star"), general).otherwise(F.col("t"))).drop("_star", *[f"_{k}" for k in keys])
+
+
+def _children(tree: DataFrame, level: int) -> DataFrame:
+    """(host, parent, child, rest, n) of rows deeper than ``level``."""
+    rows = tree.filter(F.size("t") > level).select("host", F.slice("t", 1, level).alias("parent"), F.get("t", F.lit(level)).alias("child"), _after("t", level + 1).alias("rest"), "n")
+    return rows.groupBy("host", "parent", "child", "rest").agg(F.sum("n").alias("n"))
+
+
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, segments, template, n, n_allow, n_block) from ``pages`` (host, segments, label)."""
+    """(host, segments, template, n, n_allow, n_block) from ``pages`` (host, segments, label).
+
+    Every level of the longest path is gone through twice: from the host down for parents with many different children,
+    and from the leaves up for similar ones. There are as many passes as levels, each over the deeper templates only.
+    """
     groups = pages.groupBy("host", "segments").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == "allow").alias("n_allow"), F.count_if(F.col("label") == "block").alias("n_block")
     )
     tree = materialise(groups.withColumn("t", F.col("segments")))
-    for level in range(LEVELS):
-        deep = tree.filter(F.size("t") > level)
-        parent = F.slice("t", 1, level).alias("parent")
-        children = deep.groupBy("host", parent, F.get("t", F.lit(level)).alias("child")).agg(F.sum("n").alias("n"))
+    deepest = tree.agg(F.max(F.size("t"))).first()[0] or 0
+    for level in range(deepest):
+        children = _children(tree, level).groupBy("host", "parent", "child").agg(F.sum("n").alias("n"))
         sums = children.groupBy("host", "parent").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("most"), F.sum("n").alias("whole"))
         wide = sums.filter((F.col("c") > MANY_CHILDREN) & (F.col("most") < PREVAILS * F.col("whole")))
-        wide = wide.select(F.col("host").alias("h"), F.col("parent").alias("p"), F.lit(True).alias("wide"))
-        at = (F.col("host") == F.col("h")) & (F.slice("t", 1, level) == F.col("p")) & (F.size("t") > level)
-        general = F.concat(F.slice("t", 1, level), F.array(F.lit("*")), F.slice("t", level + 2, F.greatest(F.size("t") - level - 1, F.lit(0))))
-        tree = tree.join(wide, at, "left").withColumn("t", F.when(F.col("wide"), general).otherwise(F.col("t"))).drop("h", "p", "wide")
-    tree = materialise(tree.withColumns({"branch": F.get("t", F.lit(0)), "rest": F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(0)))}))
-    # sum over a branch's rests of n^2 / n_rest, for its chi-square distance from the host's rests as a whole
-    cells = tree.filter("branch is not null").groupBy("host", "branch", "rest").agg(F.sum("n").alias("n"))
-    rests = cells.groupBy("host", "rest").agg(F.sum("n").alias("n_rest"))
-    hosts = rests.groupBy("host").agg(F.sum("n_rest").alias("n_host"), F.count(F.lit(1)).alias("n_rests"))
-    branches = cells.join(rests, ["host", "rest"]).groupBy("host", "branch").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n") / F.col("n_rest")).alias("q")).join(hosts, "host")
-    distance = F.col("n_host") * F.col("q") / F.col("n") - F.col("n")
+        tree = _starred(tree, level, wide, ("host", "parent"))
+        if level % 4 == 3:
+            tree = materialise(tree)
+    tree = materialise(tree)
+    for level in range(deepest - 1, -1, -1):
+        tree = _starred(tree, level, _alike(_children(tree, level), level), ("host", "parent", "child"))
+        if level % 4 == 0:
+            tree = materialise(tree)
+    template = F.when(F.size("t") > 0, F.col("t")).otherwise(F.array(F.lit("")))
+    return tree.select("host", "segments", template.alias("template"), "n", "n_allow", "n_block")
+
+
+def _alike(cells: DataFrame, level: int) -> DataFrame:
+    """(host, parent, child) whose rests do not differ from those of all the parent's children, by chi-square distance.
+
+    Below the host, an only child and children without different rests are left to the shape of their own segment: there
+    is nothing to tell by.
+    """
+    up = ["host", "parent"]
+    rests = cells.groupBy(*up, "rest").agg(F.sum("n").alias("n_rest"))
+    parents = rests.groupBy(*up).agg(F.sum("n_rest").alias("n_all"), F.count(F.lit(1)).alias("n_rests"))
+    q = F.sum(F.col("n") * F.col("n") / F.col("n_rest")).alias("q")
+    branches = cells.join(rests, [*up, "rest"]).groupBy(*up, "child").agg(F.sum("n").alias("n"), q)
+    counts = branches.groupBy(*up).agg(F.count(F.lit(1)).alias("c"))
+    branches = branches.join(parents, up).join(counts, up)
+    if level:
+        branches = branches.filter((F.col("c") > 1) & (F.col("n_rests") > 1))
+    distance = F.col("n_all") * F.col("q") / F.col("n") - F.col("n")
     free = F.col("n_rests") - 1
-    alike = branches.filter(distance <= free + 2 * F.sqrt(2.0 * free)).select("host", "branch", F.lit("*").alias("merged"))
-    tree = tree.join(alike, ["host", "branch"], "left")
-    return tree.select("host", "segments", F.concat(F.array(F.coalesce("merged", "branch", F.lit(""))), "rest").alias("template"), "n", "n_allow", "n_block")
+    return branches.filter(distance <= free + 2 * F.sqrt(2.0 * free)).select(*up, "child")
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES) -> DataFrame:

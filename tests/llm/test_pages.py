@@ -72,6 +72,36 @@ def test_verdicts_are_those_of_the_sql(spark, url_rows):
     assert {r["verdict"] for r in got if r["rule"] is None} == {"allow", "block"}
 
 
+def test_branches_are_generalised_at_any_depth(spark):
+    """60 siblings at level five are one template; similar branches merge at their own level, different ones do not."""
+    deep = [["a", "b", "c", "d", f"word{chr(97 + k // 26)}{chr(97 + k % 26)}"] for k in range(60)]
+    alike = [["x", lang, kind] for lang in ("ta", "tb") for kind in ("news", "blog") for _ in range(20)]
+    apart = [["y", lang, kind] for lang, kind in (("ta", "news"), ("tb", "blog")) for _ in range(40)]
+    rows = [("h.net", segments, None) for segments in deep + alike + apart] + [("h.net", [], None)]
+    table = spark.createDataFrame(rows, "host string, segments array<string>, label string")
+    found = {tuple(r["segments"]): tuple(r["template"]) for r in url_filter.templates(table).collect()}
+    assert {found[tuple(s)][1:] for s in deep} == {("b", "c", "d", "*")}
+    assert {found[tuple(s)][1:] for s in alike} == {("*", "news"), ("*", "blog")}
+    assert {found[tuple(s)][1:] for s in apart} == {("ta", "news"), ("tb", "blog")}
+    assert found[()] == ("",)
+
+
+def test_deep_paths_equal_the_sql(spark):
+    import random
+
+    rng = random.Random(8)
+    part = lambda: rng.choice(["en", "fr", "news", "blog", "a", "b", f"{rng.randrange(99)}", "w" * rng.randrange(1, 30), chr(97 + rng.randrange(26)) * 2])
+    urls = [f"http://{rng.choice(['h.net', 'www.example.org', 'k.com'])}/" + "/".join(part() for _ in range(rng.randrange(8))) for _ in range(600)]
+    rows = [(i, u, None) for i, u in enumerate(urls)]
+    got = url_filter.judge(pages(spark, rows)).collect()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+    want = con.sql(SQL["op8_urls"])
+    columns = want.columns
+    assert sorted(str([r[c] for c in columns]) for r in got) == sorted(str(list(r)) for r in want.fetchall())
+
+
 def test_no_pages(spark, tmp_path):
     assert url_filter.judge(pages(spark, [])).count() == 0
     warc.write(pages(spark, []), f"{tmp_path}/none")
