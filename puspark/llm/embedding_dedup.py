@@ -26,8 +26,9 @@ LEAST_COSINE = 0.9
 #: Shards at least, and classes in one at most (about 60 MB of single-precision vectors of 64 numbers with links).
 SHARDS, SHARD_ROWS = 8, 1 << 17
 BEAM = 24
-#: Vectors of an audit, and the share of their links that a beam must find.
-AUDITED, RECALL = 128, 0.99
+#: Vectors that an audit takes at a time, from the shard and from all shards; it goes on until it has seen so many links
+#: or so many of the shard's vectors. A beam must find this share of the links.
+AUDITED, LEAST_LINKS, MOST_AUDITED, RECALL = 128, 100, 4096, 0.99
 #: Single precision may err by this much; what comes near is judged in double precision.
 SLACK = 1e-4
 BLOCK = 512
@@ -44,17 +45,36 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(np.einsum("nd,nd->n", x, x))[:, None]
 
 
-def audited_beam(graph: hnsw.Graph, keys: np.ndarray, cosine: float, beam: int = BEAM) -> int:
-    """The first width, doubled from ``beam``, at which the audited rows find ``RECALL`` of their links or all their beam
-    is linked (then the rest is found by comparing all)."""
-    n = len(graph.x)
-    rows = np.argsort(mix(keys), kind="stable")[:AUDITED]
-    there = (graph.x[rows] @ graph.x.T >= cosine).sum(axis=1)
+def audited_beam(graph: hnsw.Graph, keys: np.ndarray, cosine: float, outside: np.ndarray, outside_keys: np.ndarray, beam: int = BEAM) -> int:
+    """The first width, doubled from ``beam``, at which the audited queries find ``RECALL`` of their links or all their
+    beam is linked (then the rest is found by comparing all).
+
+    Queries are the vectors ``outside``, which come from all shards, as most searches do, and rows of the shard, until
+    ``LEAST_LINKS`` links are seen. A row's match with itself is no link.
+    """
+    n, place = len(graph.x), {int(k): i for i, k in enumerate(keys)}
+    drawn = np.argsort(mix(keys), kind="stable")[:MOST_AUDITED]
+    queries, own, there = [outside], [np.array([place.get(int(k), -1) for k in outside_keys], np.int64)], [np.zeros(0, np.int64)]
+
+    def links(x: np.ndarray, itself: np.ndarray) -> np.ndarray:
+        near = x @ graph.x.T >= cosine
+        near[np.flatnonzero(itself >= 0), itself[itself >= 0]] = False
+        return near.sum(axis=1)
+
+    there.append(links(outside, own[0]))
+    for at in range(0, len(drawn), AUDITED):
+        rows = drawn[at : at + AUDITED]
+        queries.append(graph.x[rows])
+        own.append(rows)
+        there.append(links(graph.x[rows], rows))
+        if sum(t.sum() for t in there) >= LEAST_LINKS:
+            break
+    x, itself, real = np.concatenate(queries), np.concatenate(own), np.concatenate(there)
     while beam < n:
-        _, sims = graph.search(graph.x[rows], beam)
-        near = sims >= cosine
-        got = np.where(near.all(axis=1), there, near.sum(axis=1))
-        if got.sum() >= RECALL * there.sum():
+        found, sims = graph.search(x, beam)
+        near = (sims >= cosine) & (found >= 0)
+        got = np.where(near.all(axis=1), real, (near & (found != itself[:, None])).sum(axis=1))
+        if got.sum() >= RECALL * real.sum():
             break
         beam *= 2
     return min(beam, n)
@@ -63,14 +83,17 @@ def audited_beam(graph: hnsw.Graph, keys: np.ndarray, cosine: float, beam: int =
 INDEX = "dim int, shard int, class_id long, n long, vector {vector}, level int, links array<array<int>>, beam int"
 
 
-def _build(cosine: float):
+def _build(cosine: float, sample: dict[int, tuple[np.ndarray, np.ndarray]]):
+    """Index rows of a shard; ``sample`` has some vectors of all shards and their class ids, by length."""
+
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks().sort_by("class_id")
         x = _unit(_matrix(table["embedding"])).astype(np.float32)
         keys = table["class_id"].to_numpy().astype(np.uint64)
         level = hnsw.levels(mix(keys + np.uint64(0x9E3779B97F4A7C15)))
         graph = hnsw.build(x, level)
-        beam = audited_beam(graph, keys, cosine)
+        outside, outside_keys = sample.get(x.shape[1], (x[:0], keys[:0]))
+        beam = audited_beam(graph, keys, cosine, outside, outside_keys)
         links: list[list[list[int]]] = [[] for _ in range(len(x))]
         for layer in graph.layers:
             for place, row in enumerate(layer.nodes.tolist()):
@@ -151,6 +174,15 @@ def _search(cosine: float):
     return run
 
 
+def _audit_sample(classes: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """``AUDITED`` vectors of the whole table, drawn by hash, by length: a fixed number, whatever the table."""
+    drawn = classes.select("dim", "class_id", "embedding").orderBy(F.xxhash64("class_id", F.lit("audit"))).limit(AUDITED)
+    rows: dict[int, list] = {}
+    for r in drawn.collect():
+        rows.setdefault(r["dim"], []).append((r["class_id"], r["embedding"]))
+    return {d: (_unit(np.array([v for _, v in own], np.float64)).astype(np.float32), np.array([i for i, _ in own], np.uint64)) for d, own in rows.items()}
+
+
 def near_vectors(vectors: DataFrame, cosine: float = LEAST_COSINE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``vectors`` (vec_id, embedding).
 
@@ -172,7 +204,8 @@ def near_vectors(vectors: DataFrame, cosine: float = LEAST_COSINE) -> DataFrame:
     classes = materialise(classes.withColumns({"class_id": F.monotonically_increasing_id(), "dim": F.size("embedding")}))
     shards = max(SHARDS, math.ceil(classes.count() / SHARD_ROWS))
     dealt = classes.withColumn("shard", F.pmod(F.xxhash64("class_id"), F.lit(shards)).cast("int"))
-    index = materialise(dealt.select("dim", "shard", "class_id", "n", "embedding").groupBy("dim", "shard").applyInArrow(_build(cosine), INDEX.format(vector=kept)))
+    build = _build(cosine, _audit_sample(dealt))
+    index = materialise(dealt.select("dim", "shard", "class_id", "n", "embedding").groupBy("dim", "shard").applyInArrow(build, INDEX.format(vector=kept)))
     every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
     blocks = index.withColumn("block", every)
     queries = dealt.select("dim", F.col("shard").alias("block"), "class_id", "embedding").withColumn("shard", every)

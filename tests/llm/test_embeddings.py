@@ -69,16 +69,43 @@ def test_graph_finds_neighbours_and_survives_its_table():
     assert (np.diff(sims, axis=1) <= 1e-6).all()
 
 
-def test_beam_widens_until_the_audit_passes():
-    class Blind:
-        """Finds links at a beam of 100 or more only."""
-
-        x = np.eye(400, dtype=np.float32)
-
+class Lossy:
+    """Vectors of which ``pairs`` are linked; searches narrower than 100 find the query itself only."""
+
+    def __init__(self, n, pairs, at=0):
+        self.x = np.eye(n, dtype=np.float32)
+        for k in range(at, at + 2 * pairs, 2):
+            self.x[k + 1] = self.x[k]
+
+    def search(self, queries, width):
+        sims = queries @ self.x.T
+        order = np.argsort(-sims, axis=1, kind="stable")[:, :width]
+        near = np.take_along_axis(sims, order, axis=1)
+        if width < 100:
+            near[:, 1:] = 0
+            near[near[:, 0] < 0.9, 0] = 0
+        return order, near
+
+
+@pytest.mark.parametrize("pairs, beam", [(0, 24), (1, 192), (40, 192)])
+def test_beam_widens_until_every_audited_link_is_found(pairs, beam):
+    """One lost link among 400 vectors is enough; vectors that find themselves prove nothing."""
+    none, keys = np.zeros((0, 400), np.float32), np.arange(400, dtype=np.uint64)
+    assert ed.audited_beam(Lossy(400, pairs), keys, 0.9, none, keys[:0]) == beam
+
+
+def test_queries_from_other_shards_are_audited(monkeypatch):
+    monkeypatch.setattr(ed, "MOST_AUDITED", 0)
+    graph, keys = Lossy(400, 0), np.arange(400, dtype=np.uint64)
+    outside = graph.x[7:8] * np.float32(1.0)
+    assert ed.audited_beam(graph, keys, 0.9, outside, np.array([7], np.uint64)) == 24  # itself
+
+    class Blind(Lossy):
         def search(self, queries, width):
-            return None, np.zeros((len(queries), width)) + (np.arange(width) == 0) * (width >= 100)
+            order, near = super().search(queries, width)
+            return order, near * (width >= 100)
 
-    assert ed.audited_beam(Blind(), np.arange(400, dtype=np.uint64), 0.9) == 192
+    assert ed.audited_beam(Blind(400, 0), keys, 0.9, outside, np.array([9999], np.uint64)) == 192
 
 
 @pytest.mark.parametrize("kind", ["double", "int", "decimal(10,2)"])
