@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import cache
@@ -26,10 +27,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from puspark.llm.bpe import Offsets, byte_symbols
-from puspark.llm.text import slices
+from puspark.llm.bpe import WHITE_SPACE, Merges, Offsets, byte_symbols, differs
+from puspark.llm.text import map_batches, slices
 from puspark.sources.shared import materialise
 
+# Fixed value: the words of byte-level vocabularies.
+BYTE_LEVEL = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Words of such a length take the faster library a time that is quadratic in it.
+LONG_RUN = re.compile(f"[{WHITE_SPACE}]{{300}}|[^{WHITE_SPACE}]{{300}}")
 #: Links of a block, besides the rest of a longer document.
 BLOCK_LINKS = 1 << 22
 #: Links of tokens of one group that are made at a time.
@@ -88,6 +93,8 @@ class Tokenizers:
         self.a, self.b = Tokenizer.from_str(file_a), sentencepiece.SentencePieceProcessor(model_proto=model_b)
         self.a.encode_special_tokens = True
         file, byte = json.loads(file_a), {c: b for b, c in enumerate(byte_symbols())}
+        self.fast = _by_rank(file, byte)
+        self.settled: set[str] = set()
         names = {**file["model"]["vocab"], **{t["content"]: t["id"] for t in file["added_tokens"]}}
         bytes_a = [b""] * (1 + max(names.values()))
         for name, i in names.items():
@@ -102,6 +109,46 @@ class Tokenizers:
         self.most = most
 
 
+    def encode_a(self, texts: Sequence[str]) -> list[np.ndarray]:
+        """Ids of A; texts that the faster library may read otherwise, or slowly, go to the file's own one."""
+        out, rest = [], []
+        for text in texts:
+            if self.fast is None or LONG_RUN.search(text) or not (text.isascii() or self._settled(text)):
+                rest.append(len(out))
+                out.append(None)
+            else:
+                out.append(self.fast.encode_to_numpy(text, disallowed_special=()).astype(np.int64))
+        for i, found in zip(rest, self.a.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False) if rest else ()):
+            out[i] = np.asarray(found.ids, np.int64)
+        return out
+
+    def _settled(self, text: str) -> bool:
+        fresh = set(text) - self.settled
+        if any(map(differs, fresh)):
+            return False
+        self.settled |= fresh
+        return True
+
+
+def _by_rank(file: dict, byte: dict[str, int]):
+    """The vocabulary for the library that merges any pair whose bytes are a token, by id; None where that may differ.
+
+    If merging by rank makes every token of its own bytes, then a pair of tokens with a token's bytes is always the pair
+    it was made of, and both libraries merge alike.
+    """
+    import tiktoken
+
+    model, split = file["model"], file["pre_tokenizer"]
+    merges = Merges(list(byte), [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]])
+    ids = [model["vocab"].get(s, -1) for s in merges.spelled]
+    plain = file["normalizer"] is None and split["type"] == "ByteLevel" and split["use_regex"] and not split["add_prefix_space"]
+    in_order = min(ids) >= 0 and max(ids[:256]) < ids[256] and all(a < b for a, b in zip(ids[256:], ids[257:]))
+    if not (plain and in_order and len(merges.number) == len(merges.spelled)):
+        return None
+    ranks = {bytes(byte[c] for c in s): i for s, i in zip(merges.spelled, ids)}
+    return tiktoken.Encoding("a", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
+
+
 @cache
 def _tokenizers(file_a: str, model_b: bytes) -> Tokenizers:
     return Tokenizers(file_a, model_b)
@@ -177,10 +224,10 @@ def align_texts(both: Tokenizers, texts: Sequence[str | None]) -> Aligned:
     ids_a: list[Sequence[int]] = [()] * len(texts)
     ids_b: list[Sequence[int]] = [()] * len(texts)
     spaced = [" " + texts[i] for i in some]
-    found = both.a.encode_batch_fast(spaced, add_special_tokens=False) if some else []
+    found = both.encode_a(spaced)
     pieces = both.b.encode([texts[i] for i in some], num_threads=1) if some else []
     for i, text, x, y in zip(some, spaced, found, pieces):
-        raw, x, y = text.encode(), np.asarray(x.ids, np.int64), np.asarray(y, np.int64)
+        raw, y = text.encode(), np.asarray(y, np.int64)
         if both.bytes_a.spell(x).tobytes() == raw and both.bytes_b.spell(y).tobytes() == raw:
             ids_a[i], ids_b[i] = x, y
     a, text_a = _flat(ids_a)
@@ -235,7 +282,7 @@ def links(docs: DataFrame, path_a: str, path_b: str, keep: Sequence[str] = ("doc
                     yield pa.RecordBatch.from_arrays([*[c.take(at) for c in batch.columns[: len(keep)]], *numbers, size], [*keep, *names])
 
     schema = ", ".join([*[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep], *[f"{n} long" for n in names]])
-    return docs.select(*keep, "text").mapInArrow(run, schema)
+    return map_batches(docs.select(*keep, "text"), run, schema)
 
 
 class _Block:
@@ -327,7 +374,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, keep: Sequence[str] = ("doc
 
     own = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     counts = ", ".join(f"{c} long" for c in _COUNTS)
-    rows = materialise(docs.select(*keep, "text").mapInArrow(run, f"{own}, {counts}, groups_sha256 string, links binary, place int, code long, times long, block long"))
+    rows = materialise(map_batches(docs.select(*keep, "text"), run, f"{own}, {counts}, groups_sha256 string, links binary, place int, code long, times long, block long"))
     pairs = rows.filter("place is not null").select("block", "place", "code", "times")
     frequency = materialise(pairs.groupBy("code").agg(F.sum("times").alias("n")).withColumn("b_id", F.col("code") % n_b))
     # as many rows as B has ids

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from puspark.llm import alignment, bpe, conversations, decontaminate, embedding_dedup, language, line_dedup, mixing, near_duplicates, pii, quality, url_filter, warc
 from puspark.sources import materialise, read_table
-from puspark.sources.shared import shared_folder
+from puspark.sources.shared import table_path
 
 
 def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
@@ -49,7 +47,8 @@ def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5_mix(spark: SparkSession, folder: str) -> DataFrame:
-    return mixing.mix(read_table(spark, folder, "documents"))
+    mixed = mixing.mix(read_table(spark, folder, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
 def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -68,7 +67,7 @@ def op8_urls(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
-    path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    path = table_path(spark)
     warc.write(read_table(spark, folder, "pages"), path)
     records = warc.read(spark, path)
     response = F.col("record_type") == "response"

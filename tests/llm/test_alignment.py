@@ -128,3 +128,15 @@ def test_empty_table(spark):
     table = docs(spark, [(1, "x")]).filter(F.lit(False))
     assert alignment.align(table, A, B).count() == 0
     assert alignment.links(table, A, B).count() == 0
+
+
+def test_both_libraries_read_texts_alike():
+    """Every settled character in several surroundings, and words of any shape."""
+    with open(A, encoding="utf-8") as a, open(B, "rb") as b:
+        both = alignment.Tokenizers(a.read(), b.read())
+    assert both.fast is not None
+    rng, chars = random.Random(4), [chr(c) for c in range(0x30000) if not 0xD800 <= c < 0xE000]
+    texts = [f"a{c}b {c}{c}1 {c} {c}'s\n{c}  x" for c in rng.sample(chars, 6000) + chars[:3000]]
+    texts += ["".join(rng.choice("aeinst'  \n\t.1é") for _ in range(rng.randrange(200))) for _ in range(3000)]
+    texts += ["x" * 5000, "\t\n" * 400, "y" * 299 + " " * 299]
+    assert [x.tolist() for x in both.encode_a(texts)] == [e.ids for e in both.a.encode_batch(texts, add_special_tokens=False)]
