@@ -3,15 +3,22 @@
 Texts become sets of hashed word shingles; equal sets are one class, and one row per class goes on. Each class has 48
 minima, and each of 16 trees sorts all classes by its own rotation of them, so classes that share a long prefix stand
 together. A region is a run of rows with one prefix of three minima. Rows of a region whose sketches are alike are
-candidates, whatever the region's size: larger regions are compared block by block. Candidates are confirmed on full
-sets, and components are joined.
+candidates. Candidates are confirmed on full sets, and components are joined.
 
 Two rounds keep the candidates few. The first confirms each row's next neighbour in some trees, which connects groups
 of copies by about as many pairs as rows. The second knows the components: rows of a region that have a candidate in
 another component meet in one task with their full sets, which hands on a spanning forest of the links it finds. No
 round emits all pairs of a group.
 
-Chance that all trees miss a pair of similarity s: (1 - s^3)^16, which is 1e-5 at 0.8 and 2e-7 at 0.85.
+Depth adapts to the region. Where many rows of different components share a prefix, neighbours in it meet first, which
+joins what is one group of copies. Rows that are still many, as texts with a long passage in common are, leave the tree
+for a deeper one: prefixes of 10 minima in 160 orders, then of 20 in 4096, drawn from 256 fresh minima, which also make
+a sharper sketch. There are as many more orders as a deeper prefix needs for the same recall, and rows of less
+similarity meet ever less often, so that the work stays below the square of the rows. What is crowded at the last depth
+too is compared whole, block by block.
+
+Chance that all trees miss a pair of similarity s: (1 - s^3)^16, which is 1e-5 at 0.8 and 2e-7 at 0.85; (1 - s^10)^160
+and (1 - s^20)^4096 are smaller, also where the pair agrees in two standard deviations fewer of the fresh minima.
 """
 
 from __future__ import annotations
@@ -21,11 +28,12 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from puspark.llm.components import connected_components
-from puspark.llm.text import NOT_SPACE, Texts, mix, slices, word_hashes, words
+from puspark.llm.text import NOT_SPACE, Texts, map_batches, mix, slices, unused, word_hashes, words
 from puspark.sources.shared import materialise
 
 TREES, PREFIX = 16, 3
@@ -35,12 +43,24 @@ FIRST_TREES = 2
 #: Candidates share at least this part of their minima; pairs of similarity 0.8 fall below it with a chance of 3e-6.
 LEAST_SHARED = 0.54
 #: Rows of a region that are compared in one task; of larger regions, blocks of half as many meet two by two.
-REGION = 2048
+REGION = 512
+#: Regions with more pairs than this of a row outside the largest component with any row go to a deeper tree.
+CROWDED = 1 << 18
+#: The same in a deeper tree, whose sketches tell more rows apart before their sets are compared.
+CROWDED_DEEPER = 1 << 22
+#: Deeper trees: minima of a prefix, and orders.
+DEEPER = ((10, 160), (20, 4096))
+POOL = 256
+#: The part of the fresh minima that candidates of deeper trees share; pairs of 0.8 fall below it with a chance of 1e-6.
+LEAST_SHARED_POOL = 0.68
+#: Before that, rows that stand this near to each other in these trees meet, so that groups of copies are known as such.
+SWEEP, SWEEP_TREES = 256, 4
 #: Shingles whose sets meet in one task: candidates of more are dealt over several, two longer ones have their own.
 REGION_SHINGLES = 1 << 20
 LABEL = 4 * PREFIX + MINIMA
 
 _FACTORS = (mix(np.arange(1, MINIMA + 1, dtype=np.uint64)) | np.uint64(1)).tolist()
+_POOL_FACTORS = (mix(np.arange(1001, 1001 + POOL, dtype=np.uint64)) | np.uint64(1)).tolist()
 
 
 def shingle_hashes(texts: Texts, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,7 +127,7 @@ def signatures(docs: DataFrame, k: int, keep: Sequence[str]) -> DataFrame:
             )
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, "text").mapInArrow(run, f"{schema}, n_shingles long, class_id binary, minima binary, sketch binary")
+    return map_batches(docs.select(*keep, "text"), run, f"{schema}, n_shingles long, class_id binary, minima binary, sketch binary")
 
 
 def forest(classes: DataFrame) -> DataFrame:
@@ -179,57 +199,62 @@ def _first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece, first = following, False
 
 
-def _candidates(labels: np.ndarray, component: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of a piece that are candidates and of different components; rows of block 1 do not meet each other,
-    nor do those of block 2, as they have a piece for that."""
+def _candidates(sketches: np.ndarray, component: np.ndarray, block: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of a piece that are candidates and of different components, for some rows at a time; rows of block 1
+    do not meet each other, nor do those of block 2, as they have a piece for that."""
     names, code, n = np.unique(component, return_inverse=True, return_counts=True)
-    sketch = np.ascontiguousarray(labels[:, 4 * PREFIX :].T)
+    sketch = np.ascontiguousarray(sketches.T)
     minor = np.flatnonzero(code != n.argmax()) if len(names) > 1 else np.zeros(0, np.int64)
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for at in range(0, len(minor), 128):
-        own = minor[at : at + 128]
-        equal = np.zeros((len(own), len(code)), np.uint8)
+    for at in range(0, len(minor), 64):
+        own = minor[at : at + 64]
+        equal = np.zeros((len(own), len(code)), np.uint16)
         for place in sketch:
             equal += place[own][:, None] == place
-        i, j = np.nonzero((equal >= LEAST_SHARED * MINIMA) & (code[own][:, None] != code) & ((block[own][:, None] != block) | (block == 0)))
-        a.append(own[i])
-        b.append(j)
-    return np.concatenate(a), np.concatenate(b)
+        i, j = np.nonzero((equal >= least * len(sketch)) & (code[own][:, None] != code) & ((block[own][:, None] != block) | (block == 0)))
+        yield own[i], j
 
 
-def _across(labels: np.ndarray, component: np.ndarray, sizes: np.ndarray, block: np.ndarray) -> Iterator[np.ndarray]:
+def _across(sketches: np.ndarray, component: np.ndarray, sizes: np.ndarray, block: np.ndarray, least: float) -> Iterator[np.ndarray]:
     """Rows of a piece that have a candidate in another component, in one group or several of bounded shingles; both
-    rows of every pair of candidates are in one of them, at any size."""
-    a, b = _candidates(labels, component, block)
-    use = np.unique(np.concatenate((a, b)))
+    rows of every pair of candidates are in one of them, at any size. Pairs are held for some rows at a time only."""
+    chosen = np.zeros(len(component), bool)
+    for a, b in _candidates(sketches, component, block, least):
+        chosen[a] = chosen[b] = True
+    use = np.flatnonzero(chosen)
     if sizes[use].sum() <= REGION_SHINGLES:
         if len(use):
             yield use
         return
-    dealt, n, held = np.zeros(len(labels), np.int64), 0, 0
+    dealt, n, held = np.zeros(len(component), np.int64), 0, 0
     for row in use[np.argsort(component[use], kind="stable")].tolist():
         if held and held + sizes[row] > REGION_SHINGLES // 2:
             n, held = n + 1, 0
         dealt[row], held = n, held + sizes[row]
-    both = np.minimum(dealt[a], dealt[b]) * (n + 1) + np.maximum(dealt[a], dealt[b])
-    order = np.argsort(both, kind="stable")
-    for own in np.split(order, np.flatnonzero(np.diff(both[order])) + 1):
-        yield np.unique(np.concatenate((a[own], b[own])))
+    placed = np.zeros(0, np.int64)
+    for a, b in _candidates(sketches, component, block, least):
+        both = np.minimum(dealt[a], dealt[b]) * (n + 1) + np.maximum(dealt[a], dealt[b])
+        placed = np.unique(np.concatenate((placed, both * len(component) + a, both * len(component) + b)))
+    for own in np.split(placed, np.flatnonzero(np.diff(placed // len(component))) + 1):
+        yield own % len(component)
+
+
+def _regions(known: DataFrame) -> DataFrame:
+    """(tree, region, main, n_main, n_all) of regions with rows of several components."""
+    own, region = ["tree", "region"], F.substring("label", 1, 4 * PREFIX).alias("region")
+    parts = known.groupBy("tree", region, "component").agg(F.count(F.lit(1)).alias("n"))
+    parts = parts.groupBy(*own).agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n_all"))
+    return parts.filter("n_all > n_main")
 
 
-def _tasks(known: DataFrame, dense: DataFrame, grouped: DataFrame) -> DataFrame:
+def _tasks(known: DataFrame, regions: DataFrame) -> DataFrame:
     """``known`` (tree, label, class_id, size, component) by ``task``: regions, and pairs of blocks of larger regions.
 
     The rows of a region's main component have blocks of their own, which do not meet each other; so a row has one copy
     for each block of other rows, and these have one for each block of any rows. ``block`` is 0 in tasks of one block.
     """
     region, own = F.substring("label", 1, 4 * PREFIX).alias("region"), ["tree", "region"]
-    crowded = materialise(dense.groupBy("tree", region).count().filter(F.col("count") > REGION).select(*own))
-    rows = dense.select("tree", region, "class_id").join(crowded, own).join(grouped.withColumnRenamed("node", "class_id"), "class_id", "left")
-    parts = rows.groupBy(*own, F.coalesce("component", "class_id").alias("component")).agg(F.count(F.lit(1)).alias("n"))
-    parts = parts.groupBy(*own).agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n_all"))
-    blocks = lambda n: F.ceil(n / (REGION // 2)).cast("int")
-    parts = materialise(parts.select(*own, "main", blocks(F.col("n_main")).alias("n_main"), blocks(F.col("n_all") - F.col("n_main")).alias("n_rest")))
+    blocks = lambda n: F.when(F.col("n_all") > REGION, F.ceil(n / (REGION // 2))).cast("int")
+    parts = regions.select(*own, F.when(F.col("n_all") > REGION, F.col("main")).alias("main"), blocks(F.col("n_main")).alias("n_main"), blocks(F.col("n_all") - F.col("n_main")).alias("n_rest"))
 
     def copy(x: Column, y: Column, block: Column) -> Column:
         return F.struct(x.alias("x"), y.alias("y"), block.cast("tinyint").alias("block"))
@@ -242,7 +267,7 @@ def _tasks(known: DataFrame, dense: DataFrame, grouped: DataFrame) -> DataFrame:
     main = F.transform(numbers(F.col("n_main")), lambda y: copy(F.col("mine"), F.col("n_rest") + y, F.lit(1)))
     of_main = F.transform(numbers(F.col("n_rest")), lambda x: copy(x, F.col("n_rest") + F.col("mine"), F.lit(2)))
     copies = F.when(F.col("main").isNull(), F.array(copy(F.lit(0), F.lit(0), F.lit(0)))).when(F.col("component") == F.col("main"), of_main).otherwise(F.concat(rest, main))
-    rows = known.withColumn("region", region).join(parts, own, "left").withColumn("mine", mine)
+    rows = known.withColumn("region", region).join(parts, own).withColumn("mine", mine)
     rows = rows.select("tree", "region", "label", "class_id", "size", "component", F.inline(copies))
     return rows.select(F.xxhash64("tree", "region", "x", "y").alias("task"), "label", "class_id", "size", "component", "block")
 
@@ -264,15 +289,17 @@ def _whole_tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield held
 
 
-def _pieces_of(table: pa.Table, first_piece: int) -> tuple[pa.RecordBatch, int]:
+def _pieces_of(table: pa.Table, first_piece: int, least: float) -> tuple[pa.RecordBatch, int]:
     """Rows to compare in rows sorted by task, by piece, and the number of pieces."""
-    task, labels, sizes, block = table["task"].to_numpy(), _bytes(table["label"], LABEL), table["size"].to_numpy(), table["block"].to_numpy()
+    width = len(table["label"][0].as_py())
+    task, labels, sizes, block = table["task"].to_numpy(), _bytes(table["label"], width), table["size"].to_numpy(), table["block"].to_numpy()
+    sketches = labels[:, 4 * PREFIX :]
     component = _bytes(table["component"], 16)[:, :8].copy().view(">u8").ravel()
     bounds = np.flatnonzero(np.concatenate(([True], task[1:] != task[:-1], [True])))
     rows, pieces, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
     for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
         if e - s > 1 and (component[s + 1 : e] != component[s]).any():
-            for use in _across(labels[s:e], component[s:e], sizes[s:e], block[s:e]):
+            for use in _across(sketches[s:e], component[s:e], sizes[s:e], block[s:e], least):
                 rows.append(use + s)
                 pieces.append(np.full(len(use), first_piece + n))
                 n += 1
@@ -281,13 +308,17 @@ def _pieces_of(table: pa.Table, first_piece: int) -> tuple[pa.RecordBatch, int]:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(pieces)), *ids], ["piece", "class_id", "component"]), n
 
 
-def _second_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _second_round(least: float):
     """Rows to compare, by piece."""
-    number = 0
-    for table in _whole_tasks(batches):
-        found, n = _pieces_of(table, (table["part"][0].as_py() << 32) + number)
-        yield found
-        number += n
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = 0
+        for table in _whole_tasks(batches):
+            found, n = _pieces_of(table, (table["part"][0].as_py() << 32) + number, least)
+            yield found
+            number += n
+
+    return run
 
 
 def _compared(percent: int):
@@ -304,7 +335,10 @@ def _compared(percent: int):
         ends = np.cumsum(np.bincount(term))
         starts = np.cumsum(size) - size
         a, b = [], []
-        for i in np.flatnonzero(group != np.bincount(group).argmax()).tolist():
+        main = np.bincount(group).argmax()
+        for i in np.flatnonzero(group != main).tolist():
+            if group[i] == main:  # others that it is linked with find it
+                continue
             own = term[starts[i] : starts[i] + size[i]]
             low = np.where(own > 0, ends[own - 1], 0)
             length = ends[own] - low
@@ -314,7 +348,8 @@ def _compared(percent: int):
             for j in linked[np.unique(group[linked], return_index=True)[1]].tolist():
                 a.append(i)
                 b.append(j)
-                group[group == group[j]] = group[i]
+                kept, gone = (group[j], group[i]) if group[j] == main else (group[i], group[j])
+                group[group == gone] = kept
         return pa.Table.from_arrays([ids.take(pa.array(a, pa.int64())), ids.take(pa.array(b, pa.int64()))], ["a", "b"])
 
     return run
@@ -342,7 +377,7 @@ def _sets(wanted: DataFrame, docs: DataFrame, classes: DataFrame, k: int) -> Dat
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     texts = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_key") == F.col("t")))
     texts = texts.groupBy("class_id").agg(F.any_value("text").alias("text"))
-    return materialise(texts.mapInArrow(run, "class_id binary, shingles array<bigint>"))
+    return materialise(map_batches(texts, run, "class_id binary, shingles array<bigint>"))
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
@@ -354,6 +389,114 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, pe
     return both.filter(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
+def _linked(known: DataFrame, regions: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int, least: float) -> DataFrame:
+    """Links across the components of the rows of ``regions``."""
+    tasks = _tasks(known, regions).repartition("task").sortWithinPartitions("task").withColumn("part", F.spark_partition_id())
+    pieces = materialise(map_batches(tasks, _second_round(least), "piece long, class_id binary, component binary"))
+    sets = _sets(pieces.select("class_id"), docs, classes, k)
+    return materialise(pieces.join(sets, "class_id").groupBy("piece").applyInArrow(_compared(percent), "a binary, b binary"))
+
+
+def _swept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of neighbours of a sorted partition as pieces, each of one region and of bounded shingles."""
+    piece, n, held, last = -1, 0, 0, None
+    for batch in batches:
+        tree, labels, size = batch.column("tree").to_pylist(), batch.column("label").to_pylist(), batch.column("size").to_pylist()
+        pieces = []
+        for t, label, shingles in zip(tree, labels, size):
+            region = (t, label[: 4 * PREFIX])
+            if region != last or n >= SWEEP or held + shingles > REGION_SHINGLES:
+                piece, n, held, last = piece + 1, 0, 0, region
+            n, held = n + 1, held + shingles
+            pieces.append((TaskContext.get().partitionId() << 32) + piece)
+        yield pa.RecordBatch.from_arrays([pa.array(pieces, pa.int64()), batch.column("class_id"), batch.column("component")], ["piece", "class_id", "component"])
+
+
+def _sweep(known: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame | None:
+    """Links among near rows of crowded regions; None if there are no such regions. What it misses is found later."""
+    regions = _regions(known).filter((F.col("n_all") - F.col("n_main")) * F.col("n_all") > CROWDED).select("tree", "region")
+    region = F.substring("label", 1, 4 * PREFIX).alias("region")
+    rows = known.filter(F.col("tree") < SWEEP_TREES).select("*", region).join(regions, ["tree", "region"], "left_semi").drop("region")
+    rows = materialise(rows)
+    if rows.isEmpty():
+        return None
+    rows = rows.repartitionByRange("tree", "label").sortWithinPartitions("tree", "label")
+    pieces = materialise(map_batches(rows, _swept, "piece long, class_id binary, component binary"))
+    several = pieces.groupBy("piece").agg(F.count_distinct("component").alias("n")).filter("n > 1").select("piece")
+    sets = _sets(pieces.select("class_id"), docs, classes, k)
+    return materialise(pieces.join(several, "piece", "left_semi").join(sets, "class_id").groupBy("piece").applyInArrow(_compared(percent), "a binary, b binary"))
+
+
+def _parted(known: DataFrame, most: int | None) -> tuple[DataFrame, DataFrame | None]:
+    """Regions to compare, and the rows (class_id, size, component) of those with more than ``most`` pairs of rows."""
+    regions = materialise(_regions(known))
+    crowded = (F.col("n_all") - F.col("n_main")) * F.col("n_all") > (most or 0)
+    if most is None or regions.filter(crowded).isEmpty():
+        return regions, None
+    own = F.substring("label", 1, 4 * PREFIX).alias("region")
+    rows = known.select("tree", own, "class_id", "size", "component").join(regions.filter(crowded).select("tree", "region"), ["tree", "region"], "left_semi")
+    return regions.filter(~crowded), materialise(rows.select("class_id", "size", "component").distinct())
+
+
+def _pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fresh minima of whole sets."""
+    for batch in batches:
+        least = np.zeros((batch.num_rows, POOL), np.uint32)
+        for i, own in enumerate(batch.column("shingles")):
+            value = own.values.to_numpy().view(np.uint64)
+            least[i] = [((value * np.uint64(f)) >> np.uint64(32)).min() for f in _POOL_FACTORS]
+        pool = _binary(least.astype(">u4").view(np.uint8).reshape(len(least), -1))
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("class_id", "size", "component")], pool], ["class_id", "size", "component", "pool"])
+
+
+def chosen_minima(depth: int, orders: int) -> np.ndarray:
+    """For each order ``depth`` of the fresh minima, chosen by a fixed draw."""
+    rng = np.random.default_rng(depth)
+    return np.stack([rng.choice(POOL, depth, replace=False) for _ in range(orders)])
+
+
+def _placed(depth: int, orders: int):
+    """(region, class_id, component): the rows' prefixes in all orders of a deeper tree, hashed to 12 bytes."""
+    chosen = chosen_minima(depth, orders)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start = np.arange(1, orders + 1, dtype=np.uint64)
+        for batch in batches:
+            minima = _bytes(batch.column("pool"), 4 * POOL).view(">u4").astype(np.uint64)
+            for at in range(0, len(minima), max(1, (1 << 17) // orders)):
+                own = minima[at : at + max(1, (1 << 17) // orders)]
+                first, second = (np.broadcast_to(mix(start * np.uint64(f)), (len(own), orders)).copy() for f in (3, 5))
+                for j in range(depth):
+                    first = mix(first ^ own[:, chosen[:, j]])
+                    second = second * np.uint64(0x9E3779B97F4A7C15) + own[:, chosen[:, j]]
+                name = np.concatenate((first.astype(">u8").reshape(-1, 1).view(np.uint8).reshape(-1, 8), mix(second).astype(">u4").reshape(-1, 1).view(np.uint8).reshape(-1, 4)), axis=1)
+                rows = pa.array(np.repeat(np.arange(at, at + len(own)), orders))
+                yield pa.RecordBatch.from_arrays([_binary(name), batch.column("class_id").take(rows), batch.column("component").take(rows)], ["label", "class_id", "component"])
+
+    return run
+
+
+def _deeper(rows: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links across components among ``rows`` (class_id, size, component), by ever deeper trees."""
+    sets = _sets(rows.select("class_id"), docs, classes, k)
+    pools = materialise(map_batches(rows.join(sets, "class_id"), _pooled, "class_id binary, size long, component binary, pool binary"))
+    low = F.expr(f"unhex(array_join(transform(sequence(0, {POOL - 1}), i -> hex(substring(pool, 4 * i + 4, 1))), ''))")
+    sketches = materialise(pools.select("class_id", "size", low.alias("sketch")))
+    links = None
+    for n, (depth, orders) in enumerate(DEEPER):
+        placed = materialise(map_batches(pools, _placed(depth, orders), "label binary, class_id binary, component binary").withColumn("tree", F.lit(n)))
+        last = n + 1 == len(DEEPER)
+        here, deep = _parted(placed if last else placed.join(pools.select("class_id", "size"), "class_id"), None if last else CROWDED_DEEPER)
+        met = placed.join(here.select("tree", F.col("region").alias("label")), ["tree", "label"], "left_semi").join(sketches, "class_id")
+        known = met.select("tree", F.concat("label", "sketch").alias("label"), "class_id", "size", "component")
+        found = _linked(known, here, docs, classes, k, percent, LEAST_SHARED_POOL)
+        links = found if links is None else links.unionByName(found)
+        if deep is None:
+            break
+        pools = materialise(pools.join(deep.select("class_id"), "class_id", "left_semi"))
+    return links
+
+
 def labelled(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """(doc_id, text_key, n_shingles, component_id, first) of every row; ``first`` marks the rows of a component's least
     (doc_id, text), null ids last. Rows of the same id and text are alike. Empty sets have no ``first``."""
@@ -363,17 +506,22 @@ def labelled(docs: DataFrame, k: int, percent: int) -> DataFrame:
     sample = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key"))
     classes = some.groupBy("class_id").agg(sample.alias("sample"), F.any_value(F.struct("minima", "sketch", F.col("n_shingles").alias("size"))).alias("m"))
     classes = materialise(classes.select("class_id", "sample", "m.*"))
-    dense = materialise(_sorted(forest(classes)).mapInArrow(_first_round, "tree int, label binary, class_id binary, size long, next_id binary"))
+    dense = materialise(map_batches(_sorted(forest(classes)), _first_round, "tree int, label binary, class_id binary, size long, next_id binary"))
     near = dense.filter("next_id is not null").select(F.least("class_id", "next_id").alias("a"), F.greatest("class_id", "next_id").alias("b")).distinct()
     links = materialise(_confirmed(materialise(near), docs, classes, k, percent))
     grouped = connected_components(links)
     known = dense.select("tree", "label", "class_id", "size").join(grouped.withColumnRenamed("node", "class_id"), "class_id", "left")
-    tasks = _tasks(known.withColumn("component", F.coalesce("component", "class_id")), dense, grouped)
-    tasks = tasks.repartition("task").sortWithinPartitions("task").withColumn("part", F.spark_partition_id())
-    pieces = materialise(tasks.mapInArrow(_second_round, "piece long, class_id binary, component binary"))
-    sets = _sets(pieces.select("class_id"), docs, classes, k)
-    more = pieces.join(sets, "class_id").groupBy("piece").applyInArrow(_compared(percent), "a binary, b binary")
-    links = links.unionByName(more)
+    known = materialise(known.withColumn("component", F.coalesce("component", "class_id")))
+    swept = _sweep(known, docs, classes, k, percent)
+    if swept is not None:
+        links = links.unionByName(swept)
+        more = connected_components(links).withColumnRenamed("node", "class_id")
+        known = known.drop("component").join(more, "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
+        known = materialise(known)
+    here, deep = _parted(known, CROWDED)
+    links = links.unionByName(_linked(known, here, docs, classes, k, percent, LEAST_SHARED))
+    if deep is not None:
+        links = links.unionByName(_deeper(deep, docs, classes, k, percent))
     grouped = classes.join(connected_components(links).withColumnRenamed("node", "class_id"), "class_id", "left")
     grouped = materialise(grouped.select("class_id", "sample", F.coalesce("component", "class_id").alias("component")))
     names = grouped.join(grouped.groupBy("component").agg(F.min("sample").alias("name")), "component").select("class_id", "name")
@@ -399,8 +547,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 def without_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` (doc_id, text, any columns) with one row of each component: that of the least id, null ids last, one of
     them if they repeat. All rows without words stay."""
-    first = labelled(docs, k, percent).filter("first").select("doc_id", "text_key").distinct().toDF("_first_id", "_first_key")
+    key, own, names = (unused(n, docs.columns) for n in ("_text_key", "_first_id", "_first_key"))
+    first = labelled(docs, k, percent).filter("first").select("doc_id", "text_key").distinct().toDF(own, names)
     worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    rows = docs.filter(worded).withColumn("_text_key", F.xxhash64("text"))
-    rows = rows.join(first, F.col("doc_id").eqNullSafe(F.col("_first_id")) & (F.col("_text_key") == F.col("_first_key")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "_text_key"]).drop("_text_key").unionByName(docs.filter(~worded))
+    rows = docs.filter(worded).withColumn(key, F.xxhash64("text"))
+    rows = rows.join(first, F.col("doc_id").eqNullSafe(F.col(own)) & (F.col(key) == F.col(names)), "left_semi")
+    return rows.dropDuplicates(["doc_id", key]).drop(key).unionByName(docs.filter(~worded))

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -56,9 +57,13 @@ def test_components_are_those_of_brute_force(spark, rows, k):
     assert len({n for n in names}) < len(rows) - 30  # groups there are
 
 
-def test_regions_cut_and_split_over_partitions(spark, rows, monkeypatch):
+@pytest.mark.parametrize("crowded", [1 << 18, 30])
+def test_regions_cut_and_split_over_partitions(spark, rows, monkeypatch, crowded):
     monkeypatch.setattr(nd, "REGION", 8)
     monkeypatch.setattr(nd, "REGION_SHINGLES", 2000)
+    monkeypatch.setattr(nd, "CROWDED", crowded)
+    monkeypatch.setattr(nd, "CROWDED_DEEPER", crowded)
+    monkeypatch.setattr(nd, "DEEPER", ((6, 40), (10, 160)))
     got = nd.near_duplicates(docs(spark, rows), k=4).collect()
     _, names = brute(rows, 4, 80)
     assert sorted((str(r["doc_id"]), str(r["component_id"])) for r in got) == sorted((str(i), str(n)) for (i, _), n in zip(rows, names))
@@ -100,12 +105,12 @@ def _met(batch):
 def test_candidates_of_any_size_meet():
     sketches = [bytes([k] * 10 + [7] * (nd.MINIMA - 10)) for k in range(2)]
     table = _sorted_rows(sketches, [600_000, 600_000])
-    assert _met(nd._pieces_of(table, 0)[0])[0] == {(0, 1)}
+    assert _met(nd._pieces_of(table, 0, nd.LEAST_SHARED)[0])[0] == {(0, 1)}
     rng = np.random.default_rng(1)
     sketches = rng.integers(0, 256, (60, nd.MINIMA), np.uint8)
     sketches[:, 12:] = 7
     sizes = rng.integers(1, nd.REGION_SHINGLES // 4, 60)
-    pairs, pieces = _met(nd._pieces_of(_sorted_rows([s.tobytes() for s in sketches], sizes), 0)[0])
+    pairs, pieces = _met(nd._pieces_of(_sorted_rows([s.tobytes() for s in sketches], sizes), 0, nd.LEAST_SHARED)[0])
     assert pairs == {(a, b) for b in range(60) for a in range(b)}
     assert max(sizes[own].sum() for own in pieces.values()) <= nd.REGION_SHINGLES
 
@@ -132,7 +137,7 @@ def test_every_pair_across_components_of_a_crowded_region_meets(spark, monkeypat
     known = dense.join(grouped.toDF("class_id", "component"), "class_id", "left").selectExpr("tree", "label", "class_id", "size", "coalesce(component, class_id) component")
     component[40:] = range(40, 45)
     tasks, seen = {}, {}
-    for r in nd._tasks(known, dense, grouped).collect():
+    for r in nd._tasks(known, nd._regions(known)).collect():
         tasks.setdefault((r["task"], bytes(r["label"])[0]), []).append((int.from_bytes(r["class_id"][:8], "big"), r["block"]))
     for (_, tree), own in tasks.items():
         for a, x in own:
@@ -142,3 +147,32 @@ def test_every_pair_across_components_of_a_crowded_region_meets(spark, monkeypat
     want = {(0, a, b) for a in range(n) for b in range(n) if component[a] < component[b]} | {(1, 1, 44), (1, 2, 44)}
     assert seen == dict.fromkeys(want, 1)
     assert len(tasks) > 20
+
+
+def _boilerplate(n, seed):
+    """Texts of 170 words that share 130 of them (similarity 0.6), and pairs of about 0.8 to 0.85 among them."""
+    rng = random.Random(seed)
+    shared = [f"w{i}" for i in range(130)]
+    rows, pairs = [], 0
+    for i in range(n):
+        own = [f"o{rng.randrange(1 << 40)}" for _ in range(40)]
+        rows.append((2 * i, " ".join(own + shared)))
+        if i % 20 == 0:
+            changed = [w if j >= 15 + i % 3 else f"c{rng.randrange(1 << 40)}" for j, w in enumerate(own)]
+            rows.append((2 * i + 1, " ".join(changed + shared)))
+            pairs += 1
+    return rows, pairs
+
+
+def test_a_crowded_region_keeps_its_links(spark):
+    """6,000 texts with a long passage in common: nothing is linked but the planted pairs, and all of these are."""
+    rows, pairs = _boilerplate(5700, 3)
+    start = time.monotonic()
+    got = nd.near_duplicates(docs(spark, rows), k=4).select("doc_id", "component_id").collect()
+    took = time.monotonic() - start
+    linked = [r for r in got if r["doc_id"] != r["component_id"]]
+    sets = {i: shingles(t, 4) for i, t in rows}
+    want = {i for i in sets if i % 2 and 100 * len(sets[i] & sets[i - 1]) >= 80 * len(sets[i] | sets[i - 1])}
+    assert pairs == 285 and len(want) > 200
+    assert {r["doc_id"] for r in linked} == want and all(r["component_id"] == r["doc_id"] - 1 for r in linked)
+    assert took < 60
