@@ -3,6 +3,7 @@
 from puspark.operators.balance import balanced_group_folds, numeric_strata
 from puspark.operators.confidence import classify, with_confidence
 from puspark.operators.density import density_at, kde_grid, kde_plan, linear_bin, raw_ratio, split_scores
+from puspark.operators.design import Scale, maximin_grid
 from puspark.operators.encoding import target_rates, with_target_rates
 from puspark.operators.ensemble import assessment_rows, beta_moments, ensemble_mean, entity_table, score_stats
 from puspark.operators.metrics import pu_metrics, recall
@@ -30,6 +31,7 @@ from puspark.plans.training import draw_samples, fit_models, fit_predict_cv, mod
 from puspark.sources.shared import workspace
 
 __all__ = [
+    "Scale",
     "assessment_rows",
     "assign_folds",
     "auc_by_fold",
@@ -64,6 +66,7 @@ __all__ = [
     "latin_hypercube",
     "linear_bin",
     "make_bags",
+    "maximin_grid",
     "members",
     "model_keys",
     "monte_carlo_splits",

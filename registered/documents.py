@@ -127,6 +127,20 @@ def grid_latin_hypercube(spark, folder):
     return grid.withColumn("subsampling_rate", F.round("subsampling_rate", 9))
 
 
+def grid_maximin(spark, folder):
+    """How often every value of every parameter is in a design of mixed types whose bounds depend on the data."""
+    rows = pu.data_ranges(labelled(spark, folder), "known_pos", ["source"])["min_instances_per_node"]
+    space = {
+        "min_instances": pu.Scale("whole", *rows),
+        "rate": pu.Scale("real", 0.5, 1.0),
+        "info_gain": pu.Scale("log", 0.0001, 0.1),
+        "impurity": pu.Scale("choice", values=(0.0, 1.0)),
+    }
+    grid = pu.maximin_grid(spark, space, 6, SEEDS)
+    each = F.inline(F.array(*[F.struct(F.lit(c).alias("parameter"), F.round(F.col(c).cast("double"), 9).alias("value")) for c in space]))
+    return grid.select("common_seed", each).groupBy("common_seed", "parameter", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- forests ---------------------------------------------------------------------------------------------------
 
 
@@ -292,6 +306,7 @@ QUERIES = {
         grid_explicit,
         grid_latin_hypercube,
         grid_data_bounds,
+        grid_maximin,
         tune_cv_scores,
         tune_cv_coverage,
         tune_cv_repeated,

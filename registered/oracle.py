@@ -397,6 +397,17 @@ own AS (SELECT common_seed, fold_id, source, COUNT(*) AS own_n, SUM(known_pos) A
 rest AS (
   SELECT a.common_seed, a.fold_id, COUNT(*) AS rest_n, SUM(known_pos) AS rest_p
   FROM (SELECT DISTINCT common_seed, fold_id FROM folds) a JOIN folds b ON a.common_seed = b.common_seed AND a.fold_id <> b.fold_id GROUP BY ALL)""",
+    ),
+    "grid_maximin": docs(
+        f"""SELECT CAST(s AS INTEGER) AS common_seed, parameter, {r('value', 9)}, COUNT(*) AS n FROM (
+  SELECT s, unnest([
+    {{'parameter': 'min_instances', 'value': CAST(2 + floor(part * (hi - 1)) AS DOUBLE)}},
+    {{'parameter': 'rate', 'value': CAST(0.5 AS DOUBLE) + part * CAST(0.5 AS DOUBLE)}},
+    {{'parameter': 'info_gain', 'value': CAST(0.0001 AS DOUBLE) * exp(part * ln(CAST(1000 AS DOUBLE)))}},
+    {{'parameter': 'impurity', 'value': CAST(floor(part * 2) AS DOUBLE)}}], recursive := true)
+  FROM seeds CROSS JOIN (SELECT (i + CAST(0.5 AS DOUBLE)) / 6 AS part FROM range(6) t(i))
+  CROSS JOIN (SELECT GREATEST(2, CAST(floor(MIN(n) * CAST(0.1 AS DOUBLE)) AS BIGINT)) AS hi FROM (SELECT COUNT(*) AS n FROM docs GROUP BY known_pos)))
+GROUP BY ALL"""
     ),
     "grid_data_bounds": docs(
         f"""SELECT CAST(s AS INTEGER) AS common_seed, CAST(c AS INTEGER) AS config,
