@@ -10,10 +10,10 @@ of copies by about as many pairs as rows. The second knows the components: rows
 another component meet in one task with their full sets, which hands on a spanning forest of the links it finds. No
 round emits all pairs of a group.
 
-Depth adapts to the region. Where many rows of different components share a prefix, neighbours in it meet first, which
-joins what is one group of copies. Rows that are still many, as texts with a long passage in common are, leave the tree
-for a deeper one: prefixes of 10 minima in 160 orders, then of 20 in 4096, drawn from 256 fresh minima, which also make
-a sharper sketch. There are as many more orders as a deeper prefix needs for the same recall, and rows of less
+Depth adapts to the region. Where many rows of different components share a prefix, as texts with a long passage in
+common do, they get a sharper sketch of 256 fresh minima. Where they are too many to compare even these, neighbours meet
+first, which joins what is one group of copies; rows that are still as many leave the tree for a deeper one: prefixes of
+10 of the fresh minima in 160 orders, then of 20 in 4096. There are as many more orders as a deeper prefix needs for the same recall, and rows of less
 similarity meet ever less often, so that the work stays below the square of the rows. What is crowded at the last depth
 too is compared whole, block by block.
 
@@ -43,11 +43,11 @@ FIRST_TREES = 2
 #: Candidates share at least this part of their minima; pairs of similarity 0.8 fall below it with a chance of 3e-6.
 LEAST_SHARED = 0.54
 #: Rows of a region that are compared in one task; of larger regions, blocks of half as many meet two by two.
-REGION = 512
-#: Regions with more pairs than this of a row outside the largest component with any row go to a deeper tree.
+REGION = 1024
+#: Rows of regions with more pairs than this of a row outside the largest component with any row get a sharper sketch.
 CROWDED = 1 << 18
-#: The same in a deeper tree, whose sketches tell more rows apart before their sets are compared.
-CROWDED_DEEPER = 1 << 22
+#: Rows of regions with more pairs than this go to a deeper tree; the same for regions of that tree.
+DEEP, DEEP_AGAIN = 1 << 26, 1 << 22
 #: Deeper trees: minima of a prefix, and orders.
 DEEPER = ((10, 160), (20, 4096))
 POOL = 256
@@ -412,30 +412,29 @@ def _swept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(pieces, pa.int64()), batch.column("class_id"), batch.column("component")], ["piece", "class_id", "component"])
 
 
-def _sweep(known: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame | None:
-    """Links among near rows of crowded regions; None if there are no such regions. What it misses is found later."""
-    regions = _regions(known).filter((F.col("n_all") - F.col("n_main")) * F.col("n_all") > CROWDED).select("tree", "region")
+def _pairs() -> Column:
+    """Pairs of a region's row outside its largest component with any row."""
+    return (F.col("n_all") - F.col("n_main")) * F.col("n_all")
+
+
+def _sweep(known: DataFrame, regions: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame | None:
+    """Links among near rows of the most crowded regions; None if there are none. What it misses is found later."""
+    regions = regions.filter(_pairs() > DEEP).select("tree", "region")
+    if regions.isEmpty():
+        return None
     region = F.substring("label", 1, 4 * PREFIX).alias("region")
     rows = known.filter(F.col("tree") < SWEEP_TREES).select("*", region).join(regions, ["tree", "region"], "left_semi").drop("region")
-    rows = materialise(rows)
-    if rows.isEmpty():
-        return None
-    rows = rows.repartitionByRange("tree", "label").sortWithinPartitions("tree", "label")
+    rows = materialise(rows).repartitionByRange("tree", "label").sortWithinPartitions("tree", "label")
     pieces = materialise(map_batches(rows, _swept, "piece long, class_id binary, component binary"))
     several = pieces.groupBy("piece").agg(F.count_distinct("component").alias("n")).filter("n > 1").select("piece")
     sets = _sets(pieces.select("class_id"), docs, classes, k)
     return materialise(pieces.join(several, "piece", "left_semi").join(sets, "class_id").groupBy("piece").applyInArrow(_compared(percent), "a binary, b binary"))
 
 
-def _parted(known: DataFrame, most: int | None) -> tuple[DataFrame, DataFrame | None]:
-    """Regions to compare, and the rows (class_id, size, component) of those with more than ``most`` pairs of rows."""
-    regions = materialise(_regions(known))
-    crowded = (F.col("n_all") - F.col("n_main")) * F.col("n_all") > (most or 0)
-    if most is None or regions.filter(crowded).isEmpty():
-        return regions, None
-    own = F.substring("label", 1, 4 * PREFIX).alias("region")
-    rows = known.select("tree", own, "class_id", "size", "component").join(regions.filter(crowded).select("tree", "region"), ["tree", "region"], "left_semi")
-    return regions.filter(~crowded), materialise(rows.select("class_id", "size", "component").distinct())
+def _rows_of(known: DataFrame, regions: DataFrame) -> DataFrame:
+    """Rows of ``known`` that are in ``regions``."""
+    region = F.substring("label", 1, 4 * PREFIX).alias("region")
+    return known.select("*", region).join(regions.select("tree", "region"), ["tree", "region"], "left_semi").drop("region")
 
 
 def _pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -456,8 +455,8 @@ def chosen_minima(depth: int, orders: int) -> np.ndarray:
 
 
 def _placed(depth: int, orders: int):
-    """(region, class_id, component): the rows' prefixes in all orders of a deeper tree, hashed to 12 bytes."""
-    chosen = chosen_minima(depth, orders)
+    """(label, class_id, size, component): the rows' prefixes in all orders of a deeper tree, hashed to 12 bytes."""
+    chosen, names = chosen_minima(depth, orders), ["class_id", "size", "component"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = np.arange(1, orders + 1, dtype=np.uint64)
@@ -471,29 +470,38 @@ def _placed(depth: int, orders: int):
                     second = second * np.uint64(0x9E3779B97F4A7C15) + own[:, chosen[:, j]]
                 name = np.concatenate((first.astype(">u8").reshape(-1, 1).view(np.uint8).reshape(-1, 8), mix(second).astype(">u4").reshape(-1, 1).view(np.uint8).reshape(-1, 4)), axis=1)
                 rows = pa.array(np.repeat(np.arange(at, at + len(own)), orders))
-                yield pa.RecordBatch.from_arrays([_binary(name), batch.column("class_id").take(rows), batch.column("component").take(rows)], ["label", "class_id", "component"])
+                yield pa.RecordBatch.from_arrays([_binary(name), *[batch.column(c).take(rows) for c in names]], ["label", *names])
 
     return run
 
 
-def _deeper(rows: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links across components among ``rows`` (class_id, size, component), by ever deeper trees."""
+def _crowded(known: DataFrame, regions: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links across components in crowded ``regions``: by a sharper sketch, those with most pairs by ever deeper trees."""
+    rows = materialise(_rows_of(known, regions).select("class_id", "size", "component").distinct())
     sets = _sets(rows.select("class_id"), docs, classes, k)
     pools = materialise(map_batches(rows.join(sets, "class_id"), _pooled, "class_id binary, size long, component binary, pool binary"))
     low = F.expr(f"unhex(array_join(transform(sequence(0, {POOL - 1}), i -> hex(substring(pool, 4 * i + 4, 1))), ''))")
-    sketches = materialise(pools.select("class_id", "size", low.alias("sketch")))
-    links = None
+    sketches = materialise(pools.select("class_id", low.alias("sketch")))
+
+    def linked(rows: DataFrame, here: DataFrame) -> DataFrame:
+        prefix = F.substring("label", 1, 4 * PREFIX)
+        sharp = rows.join(sketches, "class_id").select("tree", F.concat(prefix, "sketch").alias("label"), "class_id", "size", "component")
+        return _linked(sharp, here, docs, classes, k, percent, LEAST_SHARED_POOL)
+
+    here = regions.filter(_pairs() <= DEEP)
+    links = linked(_rows_of(known, here), here)
+    deep = regions.filter(_pairs() > DEEP)
     for n, (depth, orders) in enumerate(DEEPER):
-        placed = materialise(map_batches(pools, _placed(depth, orders), "label binary, class_id binary, component binary").withColumn("tree", F.lit(n)))
-        last = n + 1 == len(DEEPER)
-        here, deep = _parted(placed if last else placed.join(pools.select("class_id", "size"), "class_id"), None if last else CROWDED_DEEPER)
-        met = placed.join(here.select("tree", F.col("region").alias("label")), ["tree", "label"], "left_semi").join(sketches, "class_id")
-        known = met.select("tree", F.concat("label", "sketch").alias("label"), "class_id", "size", "component")
-        found = _linked(known, here, docs, classes, k, percent, LEAST_SHARED_POOL)
-        links = found if links is None else links.unionByName(found)
-        if deep is None:
+        if deep.isEmpty():
             break
-        pools = materialise(pools.join(deep.select("class_id"), "class_id", "left_semi"))
+        below = materialise(_rows_of(known, deep).select("class_id").distinct())
+        pools = materialise(pools.join(below, "class_id", "left_semi"))
+        known = materialise(map_batches(pools, _placed(depth, orders), "label binary, class_id binary, size long, component binary").withColumn("tree", F.lit(n)))
+        found = materialise(_regions(known))
+        most = DEEP_AGAIN if n + 1 < len(DEEPER) else None  # at the last depth all are compared
+        here = found if most is None else found.filter(_pairs() <= most)
+        deep = found.filter(F.lit(False)) if most is None else found.filter(_pairs() > most)
+        links = links.unionByName(linked(_rows_of(known, here), here))
     return links
 
 
@@ -512,16 +520,18 @@ def labelled(docs: DataFrame, k: int, percent: int) -> DataFrame:
     grouped = connected_components(links)
     known = dense.select("tree", "label", "class_id", "size").join(grouped.withColumnRenamed("node", "class_id"), "class_id", "left")
     known = materialise(known.withColumn("component", F.coalesce("component", "class_id")))
-    swept = _sweep(known, docs, classes, k, percent)
+    regions = materialise(_regions(known))
+    swept = _sweep(known, regions, docs, classes, k, percent)
     if swept is not None:
         links = links.unionByName(swept)
         more = connected_components(links).withColumnRenamed("node", "class_id")
         known = known.drop("component").join(more, "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
         known = materialise(known)
-    here, deep = _parted(known, CROWDED)
-    links = links.unionByName(_linked(known, here, docs, classes, k, percent, LEAST_SHARED))
-    if deep is not None:
-        links = links.unionByName(_deeper(deep, docs, classes, k, percent))
+        regions = materialise(_regions(known))
+    links = links.unionByName(_linked(known, regions.filter(_pairs() <= CROWDED), docs, classes, k, percent, LEAST_SHARED))
+    crowded = regions.filter(_pairs() > CROWDED)
+    if not crowded.isEmpty():
+        links = links.unionByName(_crowded(known, crowded, docs, classes, k, percent))
     grouped = classes.join(connected_components(links).withColumnRenamed("node", "class_id"), "class_id", "left")
     grouped = materialise(grouped.select("class_id", "sample", F.coalesce("component", "class_id").alias("component")))
     names = grouped.join(grouped.groupBy("component").agg(F.min("sample").alias("name")), "component").select("class_id", "name")

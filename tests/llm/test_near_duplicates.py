@@ -62,7 +62,8 @@ def test_regions_cut_and_split_over_partitions(spark, rows, monkeypatch, crowded
     monkeypatch.setattr(nd, "REGION", 8)
     monkeypatch.setattr(nd, "REGION_SHINGLES", 2000)
     monkeypatch.setattr(nd, "CROWDED", crowded)
-    monkeypatch.setattr(nd, "CROWDED_DEEPER", crowded)
+    monkeypatch.setattr(nd, "DEEP", crowded)
+    monkeypatch.setattr(nd, "DEEP_AGAIN", crowded)
     monkeypatch.setattr(nd, "DEEPER", ((6, 40), (10, 160)))
     got = nd.near_duplicates(docs(spark, rows), k=4).collect()
     _, names = brute(rows, 4, 80)
