@@ -57,6 +57,8 @@ LEAST_SHARED_POOL = 0.68
 SWEEP, SWEEP_TREES = 256, 4
 #: Shingles whose sets meet in one task: candidates of more are dealt over several, two longer ones have their own.
 REGION_SHINGLES = 1 << 20
+#: Bits of the filter of wanted texts: so many for each, and at most; a full one lets more texts through, none less.
+FILTER_BITS, MOST_FILTER_BITS = 32, 1 << 26
 LABEL = 4 * PREFIX + MINIMA
 
 _FACTORS = (mix(np.arange(1, MINIMA + 1, dtype=np.uint64)) | np.uint64(1)).tolist()
@@ -309,14 +311,16 @@ def _pieces_of(table: pa.Table, first_piece: int, least: float) -> tuple[pa.Reco
 
 
 def _second_round(least: float):
-    """Rows to compare, by piece."""
+    """Rows to compare, by piece. Pieces are named by a hash of their rows: those that meet in several trees are one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = 0
         for table in _whole_tasks(batches):
-            found, n = _pieces_of(table, (table["part"][0].as_py() << 32) + number, least)
-            yield found
-            number += n
+            found, n = _pieces_of(table, 0, least)
+            if n:
+                size = np.bincount(found.column("piece").to_numpy(), minlength=n)
+                ids = _bytes(found.column("class_id"), 16).copy().view(">u8").astype(np.uint64)
+                name = mix(np.add.reduceat(mix(ids[:, 0] ^ mix(ids[:, 1] + np.uint64(1))), np.cumsum(size) - size))
+                yield found.set_column(0, "piece", pa.array(np.repeat(name, size).view(np.int64)))
 
     return run
 
@@ -360,6 +364,24 @@ def _sorted(rows: DataFrame) -> DataFrame:
     return rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
+def _filtered(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of ``texts`` (doc_id, text_key, ...) without most of those that are not in ``wanted`` (i, t, ...), so that few
+    others are shuffled: what a broadcast bitmap of hashed keys, of bounded size, has no bit for."""
+    n = wanted.count()
+    bits = min(MOST_FILTER_BITS, 1 << max(15, (FILTER_BITS * n - 1).bit_length()))
+
+    def place(*key: str) -> Column:
+        return F.pmod(F.xxhash64(*key), F.lit(bits)) + 1
+
+    spots = wanted.select(place("i", "t").alias("_spot"))
+    maps = spots.groupBy(F.bitmap_bucket_number("_spot").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_spot")).alias("_bits"))
+    spot = F.bitmap_bit_position("_spot")
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(spot / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    there = byte.bitwiseAND(F.pow(F.lit(2), spot % 8).cast("int")) != 0
+    rows = texts.withColumn("_spot", place("doc_id", "text_key")).withColumn("_bucket", F.bitmap_bucket_number("_spot"))
+    return rows.join(F.broadcast(maps), "_bucket").filter(there).select(*texts.columns)
+
+
 def _sets(wanted: DataFrame, docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
     """(class_id, shingles) of the wanted class ids: sets are made again from one text of each class."""
 
@@ -373,8 +395,8 @@ def _sets(wanted: DataFrame, docs: DataFrame, classes: DataFrame, k: int) -> Dat
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.first, part.n), sets], ["class_id", "shingles"]).filter(same)
 
     wanted = wanted.distinct().join(classes.select("class_id", "sample.doc_id", "sample.text_key"), "class_id")
-    wanted = wanted.select("class_id", F.col("doc_id").alias("i"), F.col("text_key").alias("t"))
-    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    wanted = materialise(wanted.select("class_id", F.col("doc_id").alias("i"), F.col("text_key").alias("t")))
+    texts = _filtered(docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")), wanted)
     texts = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_key") == F.col("t")))
     texts = texts.groupBy("class_id").agg(F.any_value("text").alias("text"))
     return materialise(map_batches(texts, run, "class_id binary, shingles array<bigint>"))
@@ -391,8 +413,8 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, pe
 
 def _linked(known: DataFrame, regions: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int, least: float) -> DataFrame:
     """Links across the components of the rows of ``regions``."""
-    tasks = _tasks(known, regions).repartition("task").sortWithinPartitions("task").withColumn("part", F.spark_partition_id())
-    pieces = materialise(map_batches(tasks, _second_round(least), "piece long, class_id binary, component binary"))
+    tasks = _tasks(known, regions).repartition("task").sortWithinPartitions("task")
+    pieces = materialise(map_batches(tasks, _second_round(least), "piece long, class_id binary, component binary").distinct())
     sets = _sets(pieces.select("class_id"), docs, classes, k)
     return materialise(pieces.join(sets, "class_id").groupBy("piece").applyInArrow(_compared(percent), "a binary, b binary"))
 

@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 
 from puspark.llm import near_duplicates as nd
+from puspark.llm.components import connected_components
 from tests.llm.helpers import Union, ascii_lower, docs, words
 
 
@@ -177,3 +178,39 @@ def test_a_crowded_region_keeps_its_links(spark):
     assert pairs == 285 and len(want) > 200
     assert {r["doc_id"] for r in linked} == want and all(r["component_id"] == r["doc_id"] - 1 for r in linked)
     assert took < 60
+
+
+def test_rows_that_meet_in_several_trees_are_one_piece():
+    sketches = [bytes([k] * 10 + [7] * (nd.MINIMA - 10)) for k in range(3)]
+    one = _sorted_rows(sketches, [5, 6, 7])
+    tables = [one.set_column(one.column_names.index("task"), "task", pa.array([t] * 3, pa.int64())) for t in (1, 2)]
+    tables = [t.append_column("part", pa.array([0] * 3, pa.int32())) for t in tables]
+    found = pa.Table.from_batches(nd._second_round(nd.LEAST_SHARED)(b.combine_chunks().to_batches()[0] for b in tables))
+    assert found.num_rows == 6 and len(set(found["piece"].to_pylist())) == 1
+    other = nd._second_round(nd.LEAST_SHARED)(t.slice(1).combine_chunks().to_batches()[0] for t in tables[:1])
+    assert set(next(other).column("piece").to_pylist()).isdisjoint(found["piece"].to_pylist())
+
+
+def test_texts_that_are_not_wanted_are_not_shuffled(spark, monkeypatch):
+    texts = spark.range(20_000).selectExpr("if(id = 7, null, id) doc_id", "xxhash64('text', id) text_key", "'x' text")
+    wanted = texts.filter("doc_id is null or doc_id % 50 = 0").selectExpr("text class_id", "doc_id i", "text_key t")
+    names = {(r["i"], r["t"]) for r in wanted.collect()}
+    kept = {(r["doc_id"], r["text_key"]) for r in nd._filtered(texts, wanted).collect()}
+    assert names <= kept and len(kept) < 2000
+    monkeypatch.setattr(nd, "MOST_FILTER_BITS", 1 << 8)  # full: all that is wanted is still there
+    assert names <= {(r["doc_id"], r["text_key"]) for r in nd._filtered(texts, wanted).collect()}
+    assert nd._filtered(texts, wanted.limit(0)).count() == 0
+
+
+def test_few_edges_make_few_files(spark):
+    conf, old = "spark.sql.adaptive.coalescePartitions.enabled", {}
+    for name, value in ((conf, "false"), ("spark.sql.shuffle.partitions", "40")):
+        old[name] = spark.conf.get(name, "true")
+        spark.conf.set(name, value)
+    try:
+        found = connected_components(spark.range(300).selectExpr("id a", "id + 1 b"))
+        assert {r["component"] for r in found.collect()} == {0} and found.count() == 301
+        assert len(found.inputFiles()) <= spark.sparkContext.defaultParallelism
+    finally:
+        for name, value in old.items():
+            spark.conf.set(name, value)
