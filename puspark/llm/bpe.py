@@ -17,6 +17,7 @@ import re
 import unicodedata
 from collections.abc import Iterator, Sequence
 from functools import cache, cached_property
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -27,7 +28,8 @@ from pyspark.sql import DataFrame
 
 from puspark.llm.text import map_batches
 
-#: Words whose tokens a task keeps; beyond that it starts anew.
+#: Words, and texts without white space, whose tokens a task keeps since it last set aside those before; these it keeps
+#: till then as well, so that frequent ones stay.
 KEPT_WORDS = 1 << 17
 #: Answers about pairs of tokens that a task keeps.
 KEPT_PAIRS = 1 << 18
@@ -78,6 +80,7 @@ class Merges:
             made[i] = made[i] and made[self.left[i]] and made[self.right[i]]
         self.number = {s: i for s, i in number.items() if made[i]}
         self.shorter = [next((self.number[s[:n]] for n in range(len(s) - 1, 0, -1) if s[:n] in self.number), -1) for s in spelled]
+        self.most = max(map(len, self.number), default=0)
         self.automaton = ahocorasick.Automaton()
         for s, i in self.number.items():
             self.automaton.add_word(s, i)
@@ -113,7 +116,7 @@ class Merges:
         taken: list[int] = []
         at, last, size, known = 0, -1, self.size, self.known.get
         for _, token in self.automaton.iter_long(text):
-            if last >= 0 and not (known(last << 32 | token) or self.compatible(last, token)):
+            if last >= 0 and not (self.compatible(last, token) if (fits := known(last << 32 | token)) is None else fits):
                 return self._backtracked(text, taken, at, token)
             taken.append(token)
             at, last = at + size[token], token
@@ -125,16 +128,22 @@ class Merges:
         """The rest of ``encode`` from the first token, at ``at``, that may not follow the longest ones before it."""
         size, shorter, compatible, longest, end = self.size, self.shorter, self.compatible, self.automaton.iter_long, len(text)
         dead: set[int] = set()
+        number, known, most = self.number, self.known.get, self.most
         while True:
             last = taken[-1] if taken else -1
-            while token >= 0 and ((dead and at + size[token] in dead) or (last >= 0 and not compatible(last, token))):
+            while token >= 0:
+                if not (dead and at + size[token] in dead):
+                    if last < 0 or (compatible(last, token) if (fits := known(last << 32 | token)) is None else fits):
+                        break
                 token = shorter[token]
             if token >= 0:
                 taken.append(token)
                 at += size[token]
                 if at == end:
                     return taken
-                token = next(longest(text, at))[1]
+                # the rest of a word is often a token, and none is longer then
+                if end - at > most or (token := number.get(text[at:], -1)) < 0:
+                    token = next(longest(text, at))[1]
             elif taken:
                 dead.add(at)
                 at -= size[last]
@@ -143,6 +152,29 @@ class Merges:
                 raise ValueError(f"no tokens for {text[:40]!r}")
 
 
+class Recent:
+    """Tokens of short texts that were seen lately: ``fresh`` ones, and those set aside when there were too many."""
+
+    def __init__(self):
+        self.fresh: dict[str, tuple[int, ...]] = {}
+        self.aside: dict[str, tuple[int, ...]] = {}
+
+    def __len__(self) -> int:
+        return len(self.fresh) + len(self.aside)
+
+    def again(self, text: str) -> tuple[int, ...] | None:
+        """Tokens of a text that is not fresh; it is now."""
+        if (found := self.aside.get(text)) is not None:
+            self.keep(text, found)
+        return found
+
+    def keep(self, text: str, ids: tuple[int, ...]) -> None:
+        if len(text) <= 64:
+            if len(self.fresh) >= KEPT_WORDS:
+                self.fresh, self.aside = {}, self.fresh
+            self.fresh[text] = ids
+
+
 class Vocabulary:
     """A tokenizer file: NFC, white space to one space, lower case; words by a pattern; byte-level pairs with word ends.
 
@@ -183,8 +215,7 @@ class Vocabulary:
         for name, i in [*model["vocab"].items(), *self.added.items()]:
             spelled[i] = name.encode() + b" "
         self.offsets = Offsets(spelled)
-        self.known: dict[str, list[int]] = {}
-        self.chunks: dict[str, tuple[int, ...]] = {}
+        self.known, self.chunks = Recent(), Recent()
         self.settled: set[str] = set()
 
     @cached_property
@@ -209,33 +240,28 @@ class Vocabulary:
         self.settled |= fresh
         return True
 
-    def word_ids(self, word: str) -> list[int]:
+    def word_ids(self, word: str) -> tuple[int, ...]:
         raw, ids = word.encode(), self.ids
-        return [ids[t] for t in self.merges.encode(raw[:-1].decode("latin-1") + self.final[raw[-1]])]
+        return tuple([ids[t] for t in self.merges.encode(raw[:-1].decode("latin-1") + self.final[raw[-1]])])
 
     def chunk_ids(self, chunk: str) -> tuple[int, ...]:
         """Ids of a text without white space, and a note of them: words end at white space at the latest."""
-        out: list[int] = []
+        if (found := self.chunks.again(chunk)) is not None:
+            return found
+        out: list[tuple[int, ...]] = []
         for word in self.words(chunk):
-            if (found := self.known.get(word)) is None:
+            if (found := self.known.fresh.get(word)) is None and (found := self.known.again(word)) is None:
                 found = self.word_ids(word)
-                self._keep(word, found)
-            out += found
-        found = tuple(out)
-        self._keep(chunk, found, self.chunks)
+                self.known.keep(word, found)
+            out.append(found)
+        found = out[0] if len(out) == 1 else tuple(chain.from_iterable(out))
+        self.chunks.keep(chunk, found)
         return found
 
-    def _keep(self, text: str, ids: Sequence[int], known: dict | None = None) -> None:
-        known = self.known if known is None else known
-        if len(known) >= KEPT_WORDS:
-            known.clear()
-        if len(text) <= 64:
-            known[text] = ids
-
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
         parts = self.marks.split(text) if self.marks else [text]
-        get = self.chunks.get
+        get = self.chunks.fresh.get
         for i, part in enumerate(parts):
             if i % 2:
                 out.append(self.added[part])
@@ -244,6 +270,7 @@ class Vocabulary:
             for chunk in SPACE.split(part) if SEPARATORS.search(part) else part.split():
                 if (found := get(chunk)) is None:
                     found = self.chunk_ids(chunk)
+                    get = self.chunks.fresh.get
                 out += found
         return out
 

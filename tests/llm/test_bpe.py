@@ -85,3 +85,14 @@ def test_all_documents_equal_the_library(spark, small):
 def test_other_kinds_of_files_are_refused():
     with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file, pytest.raises((ValueError, TypeError)):
         bpe.Vocabulary(file.read())
+
+
+def test_frequent_words_stay_known(monkeypatch):
+    monkeypatch.setattr(bpe, "KEPT_WORDS", 8)
+    with open(PATH, encoding="utf-8") as file:
+        own = bpe.Vocabulary(file.read())
+    made, word_ids = [], own.word_ids
+    monkeypatch.setattr(own, "word_ids", lambda word: made.append(word) or word_ids(word))
+    text = " ".join(f"the q{chr(97 + i // 26)}{chr(97 + i % 26)}zx" for i in range(300))
+    assert own.encode(text) == LIBRARY.encode(text, add_special_tokens=False).ids
+    assert made.count("the") == 1 and len(made) == 301
