@@ -397,8 +397,12 @@ def _sets(wanted: DataFrame, docs: DataFrame, classes: DataFrame, k: int) -> Dat
     wanted = wanted.distinct().join(classes.select("class_id", "sample.doc_id", "sample.text_key"), "class_id")
     wanted = materialise(wanted.select("class_id", F.col("doc_id").alias("i"), F.col("text_key").alias("t")))
     texts = _filtered(docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")), wanted)
-    texts = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_key") == F.col("t")))
-    texts = texts.groupBy("class_id").agg(F.any_value("text").alias("text"))
+    # repeated rows meet where the join has put them: texts are shuffled once
+    texts = texts.withColumn("_at", F.xxhash64("doc_id", "text_key"))
+    keyed = wanted.withColumn("_to", F.xxhash64("i", "t"))
+    # written so that the join goes by one key; with the same text, any row will do
+    texts = texts.join(keyed, F.col("_at") == F.col("_to")).filter(F.col("text_key").bitwiseXOR(F.col("t")) == 0)
+    texts = texts.groupBy("_at", "class_id").agg(F.any_value("text").alias("text")).select("class_id", "text")
     return materialise(map_batches(texts, run, "class_id binary, shingles array<bigint>"))
 
 
