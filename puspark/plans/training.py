@@ -30,6 +30,8 @@ from puspark.sources.shared import materialise, table_path
 
 #: Tree nodes of the forests that score rows side by side: some 90 bytes of a task's binary each.
 NODES_PER_SCAN = 250_000
+#: Fits that run, and fits that wait for their place: so many times ``parallelism`` together.
+AHEAD = 2
 #: Between the seeds of a forest's slices.
 SEED_STEP = 1_000_003
 NOT_PARAMETERS = ("common_seed", "config")
@@ -149,8 +151,8 @@ def fit_models(
 ) -> Iterator[list[Fitted]]:
     """Fit one pipeline per key, in slices of at most ``nodes`` tree nodes; chunks hold slices of one split.
 
-    Driver threads only submit the jobs, ``parallelism`` at a time, and the next one as soon as one is done; the fits
-    themselves run on the executors. A chunk is handed out once slices with ``nodes`` nodes wait, or all of its split
+    Driver threads only submit the jobs, ``parallelism`` at a time, and the next one as soon as one is done, also while
+    the caller is busy with a chunk: as many as run wait for a thread. The fits themselves run on the executors. A chunk is handed out once slices with ``nodes`` nodes wait, or all of its split
     are done, and is not held here then. The first slice is drawn by the model's seed, further ones by their own.
     """
     model = ["common_seed", "bag", "fold_id"]
@@ -180,7 +182,7 @@ def fit_models(
         running: set[Future[Fitted]] = set()
         try:
             while slices or running:
-                while slices and len(running) < parallelism:
+                while slices and len(running) < AHEAD * parallelism:
                     running.add(pool.submit(wrapped, slices.pop(0)))
                 done, running = wait(running, return_when=FIRST_COMPLETED)
                 while done:

@@ -1,3 +1,6 @@
+import time
+from types import SimpleNamespace
+
 import pytest
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
@@ -175,3 +178,24 @@ def test_slices_of_a_forest():
     assert [s.trees for s in training.tree_slices(key, RandomForestClassifier(numTrees=7, maxDepth=3), 10**9, 15 * 7)] == [7]
     assert [s.trees for s in training.tree_slices(key, deep.copy().setMinInstancesPerNode(50), 100, 6)] == [2, 2, 2, 1]
     assert [s.trees for s in training.tree_slices(key, deep, 0, 100)] == [7]
+
+
+def test_fits_go_on_while_a_chunk_is_scored(spark, monkeypatch):
+    begun = []
+
+    class Fake:
+        def __init__(self, stages):
+            pass
+
+        def fit(self, sample):
+            begun.append(1)
+            return SimpleNamespace(stages=[SimpleNamespace(totalNumNodes=1)])
+
+    monkeypatch.setattr(training, "Pipeline", Fake)
+    rows = spark.createDataFrame([(1, 1, f"Fold{i}") for i in range(8)], "common_seed int, bag int, fold_id string")
+    keys = [training.ModelKey(1, 1, 1, f"Fold{i}", ()) for i in range(8)]
+    chunks = training.fit_models(rows, keys, [], RandomForestClassifier(), parallelism=2)
+    first = next(chunks)
+    time.sleep(1)
+    assert len(begun) >= 4  # two at a time, and the next two while the first chunk is out
+    assert len(first) + sum(map(len, chunks)) == 8
